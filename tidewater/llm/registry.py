@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewater.llm.mixing import OP10_SQL, op10_systematic_mix
+from tidewater.llm.neardup import op5_near_duplicates
 from tidewater.llm.quality import op9_quality_rules
 from tidewater.llm.secrets import op7_secret_scan
 from tidewater.llm.tokens import op1_token_counts
@@ -11,6 +12,7 @@ from tidewater.llm.tokens import op1_token_counts
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
+        "op5_near_duplicates": op5_near_duplicates,
         "op7_secret_scan": op7_secret_scan,
         "op9_quality_rules": op9_quality_rules,
         "op10_systematic_mix": op10_systematic_mix,
