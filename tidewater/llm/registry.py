@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidewater.llm.decontaminate import OP4_SQL, op4_decontamination
 from tidewater.llm.mixing import OP10_SQL, op10_systematic_mix
 from tidewater.llm.neardup import op5_near_duplicates
 from tidewater.llm.quality import op9_quality_rules
@@ -12,6 +13,7 @@ from tidewater.llm.tokens import op1_token_counts
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
+        "op4_decontamination": op4_decontamination,
         "op5_near_duplicates": op5_near_duplicates,
         "op7_secret_scan": op7_secret_scan,
         "op9_quality_rules": op9_quality_rules,
@@ -20,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op10_systematic_mix": OP10_SQL}
+    return {"op4_decontamination": OP4_SQL, "op10_systematic_mix": OP10_SQL}
