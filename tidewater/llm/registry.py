@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidewater.llm.decontaminate import OP4_SQL, op4_decontamination
 from tidewater.llm.mixing import OP10_SQL, op10_systematic_mix
 from tidewater.llm.neardup import op5_near_duplicates
+from tidewater.llm.pii import op2_pii_surrogates
 from tidewater.llm.quality import op9_quality_rules
 from tidewater.llm.secrets import op7_secret_scan
 from tidewater.llm.tokens import op1_token_counts
@@ -13,6 +14,7 @@ from tidewater.llm.tokens import op1_token_counts
 def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_pii_surrogates": op2_pii_surrogates,
         "op4_decontamination": op4_decontamination,
         "op5_near_duplicates": op5_near_duplicates,
         "op7_secret_scan": op7_secret_scan,
