@@ -44,6 +44,10 @@ def words(text: str | Column = "text") -> Column:
     return F.regexp_extract_all(F.translate(text_or_empty(text), _UPPER, _UPPER.lower()), F.lit(WORDS), F.lit(0))
 
 
+def word_count(text: str | Column = "text") -> Column:
+    return F.regexp_count(F.translate(text_or_empty(text), _UPPER, _UPPER.lower()), F.lit(WORDS)).cast("long")
+
+
 def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """``docs`` with dc_a and dc_b, which name a document by id and text."""
     t = text_or_empty(text)
@@ -181,7 +185,7 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = hits(docs, table(spark, sf_dir, "benchmark"))
-    counted = keyed(docs, "doc_id", "text").select("doc_id", "dc_a", "dc_b", F.regexp_count(F.translate(text_or_empty(), _UPPER, _UPPER.lower()), F.lit(WORDS)).cast("long").alias("n_words"))
+    counted = keyed(docs, "doc_id", "text").select("doc_id", "dc_a", "dc_b", word_count().alias("n_words"))
     n_hit = F.coalesce("dc_hit", F.lit(0)).cast("long")
     items = F.coalesce("dc_items", F.expr("cast(array() as array<string>)"))
     return counted.join(found, ["dc_a", "dc_b"], "left").select(
