@@ -150,8 +150,12 @@ def with_posterior(featured: DataFrame, rules: dict[str, tuple[str, str]] = RULE
 
 
 def judged(docs: DataFrame, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """Features, votes, q_good and q_kept: not failed by the base rule and probably good."""
-    scored = with_posterior(with_features(docs, text))
+    """Features, votes, q_good and q_kept: not failed by the base rule and probably good.
+
+    The features are stored: EM and the verdict read them, and a filter on the verdict
+    must not be pushed below them, where it would repeat their expressions.
+    """
+    scored = with_posterior(stored(with_features(docs, text)))
     return scored.withColumn("q_failed", base_failed()).withColumn("q_kept", ~F.col("q_failed") & (F.col("q_good") >= threshold))
 
 
