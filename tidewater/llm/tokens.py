@@ -13,6 +13,12 @@ right chunk holds from there on because it is proven on the left. If an overlap
 common boundary, the right chunk is widened to the left, and if all of it is used up the
 two chunks are encoded as one.
 
+Since words are encoded each by itself, a word's count holds wherever it stands. Given
+the word pattern of the tokenizer file, short texts are cut into words here and only
+words that a task hasn't met are encoded by the library, as texts of their own. That is
+done only for texts whose characters have the same class in every Unicode version
+(``SAFE``) and that hold no special string; all others are encoded whole.
+
 Defined results: a null text counts as empty and has 0 bytes and tokens; repeated rows
 are counted each; an empty table gives no rows.
 """
@@ -33,6 +39,9 @@ LIMIT = 1024
 HUGE, CHUNK, OVERLAP = 65536, 32768, 256
 #: Code points encoded at once.
 BATCH = 1 << 20
+#: Words whose counts a task keeps; then it starts anew.
+MEMO = 1 << 19
+SAFE = r"[\t\n\r\x20-\x7e\u00a1-\u00ac\u00ae-\u024f]*"
 
 
 def boundaries(encoding, start: int) -> dict[int, int]:
@@ -69,7 +78,24 @@ def spliced_count(encode, text: str, chunk: int = CHUNK, overlap: int = OVERLAP,
             size *= 2  # no word ends in the whole chunk: encode more of the text at once
 
 
-def _counter(path: str, huge: int, chunk: int, overlap: int):
+def word_memo(encode_all, pattern: str, specials: list[str]):
+    """A function: texts -> counts, None for those to be encoded whole."""
+    import regex
+
+    words, safe, memo = regex.compile(pattern), regex.compile(SAFE), {}
+
+    def counts(texts: list[str]) -> list[int | None]:
+        if len(memo) > MEMO:
+            memo.clear()
+        cut = [None if safe.fullmatch(t) is None or any(s in t for s in specials) else words.findall(t) for t in texts]
+        new = list({w for ws in cut if ws for w in ws if w not in memo})
+        memo.update(zip(new, map(len, encode_all(new)), strict=True))
+        return [None if ws is None else sum(map(memo.__getitem__, ws)) for ws in cut]
+
+    return counts
+
+
+def _counter(path: str, pattern: str | None, huge: int, chunk: int, overlap: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
@@ -79,41 +105,52 @@ def _counter(path: str, huge: int, chunk: int, overlap: int):
         tokenizer = Tokenizer.from_file(path)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        many = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        margin = 2 + max([len(t.content) for t in tokenizer.get_added_tokens_decoder().values()], default=0)
+        specials = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        margin = 2 + max(map(len, specials), default=0)
         one = lambda s: tokenizer.encode(s, add_special_tokens=False)
+        many = lambda texts: tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        by_word = word_memo(many, pattern, specials) if pattern else lambda texts: [None] * len(texts)
+
+        def group(texts: list[str]) -> list[int]:
+            found = by_word(texts)
+            left = [i for i, n in enumerate(found) if n is None]
+            for i, e in zip(left, many([texts[i] for i in left]), strict=True):
+                found[i] = len(e)
+            return found
+
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            counts = [0] * len(texts)
-            group, held = [], 0
-            for i, t in enumerate([*texts, None]):
-                if t is None or held > BATCH:
-                    for j, e in zip(group, many([texts[j] for j in group], add_special_tokens=False)):
-                        counts[j] = len(e.ids)
-                    group, held = [], 0
-                if t is None:
-                    continue
+            counts, held, size = [], [], 0
+            for t in batch.column(batch.num_columns - 1).to_pylist():
+                if len(t) > huge or size > BATCH:
+                    counts, held, size = counts + group(held), [], 0
                 if len(t) > huge:
-                    counts[i] = spliced_count(one, t, chunk, overlap, margin)
+                    counts.append(spliced_count(one, t, chunk, overlap, margin))
                 else:
-                    group.append(i)
-                    held += len(t)
+                    held.append(t)
+                    size += len(t)
+            counts += group(held)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])
 
     return run
 
 
-def with_token_counts(docs: DataFrame, path: str, text: str = "text", huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """The columns of ``docs`` but the text, with n_bytes and n_tokens. ``path``: a tokenizers file that each executor has."""
+def with_token_counts(
+    docs: DataFrame, path: str, text: str = "text", pattern: str | None = None, huge: int = HUGE, chunk: int = CHUNK, overlap: int = OVERLAP
+) -> DataFrame:
+    """The columns of ``docs`` but the text, with n_bytes and n_tokens.
+
+    ``path``: a tokenizers file that each executor has; ``pattern``: its word pattern, if known.
+    """
     own = [c for c in docs.columns if c not in (text, "n_bytes", "n_tokens")]
     t = text_or_empty(text)
     given = docs.select(*own, F.octet_length(t).cast("long").alias("n_bytes"), t.alias("tk_text"))
     schema = given.drop("tk_text").schema.add("n_tokens", "long")
-    return given.mapInArrow(_counter(path, huge, chunk, overlap), schema)
+    return given.mapInArrow(_counter(path, pattern, huge, chunk, overlap), schema)
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_token_counts(docs, public_tokenizers.path(TOKENIZER)).withColumn("over_limit", F.col("n_tokens") > LIMIT)
+    counted = with_token_counts(docs, public_tokenizers.path(TOKENIZER), pattern=public_tokenizers.PATTERN)
+    return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT)
