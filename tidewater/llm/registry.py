@@ -8,6 +8,7 @@ from tidewater.llm.neardup import op5_near_duplicates
 from tidewater.llm.pii import op2_pii_surrogates
 from tidewater.llm.quality import op9_quality_rules
 from tidewater.llm.secrets import op7_secret_scan
+from tidewater.llm.suffix_dedup import op3_suffix_dedup
 from tidewater.llm.tokens import op1_token_counts
 
 
@@ -15,6 +16,7 @@ def queries() -> dict:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_pii_surrogates": op2_pii_surrogates,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_decontamination": op4_decontamination,
         "op5_near_duplicates": op5_near_duplicates,
         "op7_secret_scan": op7_secret_scan,
