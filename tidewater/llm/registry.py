@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidewater.llm.decontaminate import OP4_SQL, op4_decontamination
+from tidewater.llm.fixity import OP8_SQL, op8_merkle_audit
 from tidewater.llm.mixing import OP10_SQL, op10_systematic_mix
 from tidewater.llm.neardup import op5_near_duplicates
 from tidewater.llm.pii import op2_pii_surrogates
@@ -10,6 +11,7 @@ from tidewater.llm.quality import op9_quality_rules
 from tidewater.llm.secrets import op7_secret_scan
 from tidewater.llm.suffix_dedup import op3_suffix_dedup
 from tidewater.llm.tokens import op1_token_counts
+from tidewater.llm.wrappers import op6_main_text
 
 
 def queries() -> dict:
@@ -19,11 +21,13 @@ def queries() -> dict:
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_decontamination": op4_decontamination,
         "op5_near_duplicates": op5_near_duplicates,
+        "op6_main_text": op6_main_text,
         "op7_secret_scan": op7_secret_scan,
+        "op8_merkle_audit": op8_merkle_audit,
         "op9_quality_rules": op9_quality_rules,
         "op10_systematic_mix": op10_systematic_mix,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_decontamination": OP4_SQL, "op10_systematic_mix": OP10_SQL}
+    return {"op4_decontamination": OP4_SQL, "op8_merkle_audit": OP8_SQL, "op10_systematic_mix": OP10_SQL}
