@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.operators import bots, clean, features, funnel, profile, report, sessions
+from tidewater.operators import bots, clean, extract, features, funnel, profile, report, sessions
 from tidewater.sources import io
 
 
@@ -86,8 +86,6 @@ def dashboard(reviews: DataFrame) -> dict[str, DataFrame]:
 
 def enrich_reviews(reviews: DataFrame, key: str, text: str, client, n: int, **options) -> DataFrame:
     """A sample of reviews with fields extracted by a client and joined back by key."""
-    from tidewater.operators import extract
-
     picked = features.sample_n(reviews, n, key)
     replies = extract.validate_reply(extract.extract(picked.select(key, text), text, client, **options), "reply")
     return clean.augment(picked, replies.drop(text, "reply"), key)

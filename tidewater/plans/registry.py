@@ -254,6 +254,7 @@ BAD = "length(review) % 11 = 0"
 on_r("l3_validate_reply", lambda r: replied(r).select("doc_id", "format_valid", "sentiment"), f"SELECT doc_id, NOT ({BAD}) AND length(review) % 4 <> 3 AND least(length(review) % 20, length(review)) <= 15 AS format_valid, CASE WHEN NOT ({BAD}) THEN ['正面', '负面', '中性', '?'][CAST(length(review) % 4 AS INTEGER) + 1] END AS sentiment FROM r")
 on_r("a28_extraction_success", lambda r: report.extraction_success(replied(r)), f"SELECT count(*) AS n, count(*) FILTER (NOT ({BAD}) AND length(review) % 4 <> 3 AND least(length(review) % 20, length(review)) <= 15) AS n_ok, round(count(*) FILTER (NOT ({BAD}) AND length(review) % 4 <> 3 AND least(length(review) % 20, length(review)) <= 15) / count(*), 6) AS rate FROM r")
 on_r("l4_quality_gate", lambda r: extract.quality_gate(r, ["cat", "sentiment", "nothing"], {"cat": ["en", "de"]}), "SELECT 'row_count' AS rule, CAST(0 AS BIGINT) AS n_violations, true AS passed UNION ALL SELECT 'required_columns', 1, false UNION ALL SELECT 'null_cat', count(*) FILTER (cat IS NULL), count(*) FILTER (cat IS NULL) = 0 FROM r UNION ALL SELECT 'null_sentiment', count(*) FILTER (sentiment IS NULL), count(*) FILTER (sentiment IS NULL) = 0 FROM r UNION ALL SELECT 'domain_cat', count(*) FILTER (cat NOT IN ('en','de')), count(*) FILTER (cat NOT IN ('en','de')) = 0 FROM r")
+on_r("c8_enrich_reviews", lambda r: jobs.enrich_reviews(r.select("doc_id", "cat", "review"), "doc_id", "review", reply, 200).drop("review"))
 on_r("l5_ab_test", lambda r: extract.ab_test(r, "doc_id", "review", {"a": reply, "b": lambda t: reply(t + " ")}).groupBy("model_id").agg(F.count_if("format_valid").alias("n_ok")))
 
 # streams, by their batch twins
