@@ -67,8 +67,5 @@ def test_induced_order(memory):
         s = t.tolist()
         order = induced.suffix_order(t, 50, memory)
         assert [s[i : i + 50] for i in order.tolist()] == [s[i : i + 50] for i in sorted(range(n), key=lambda i: s[i:])]
-        shared = induced.common_prefix(t, order, 50)
-        for j in range(1, n):
-            a, b = s[order[j - 1] :], s[order[j] :]
-            k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-            assert shared[j] == min(k, 50)
+        shared = induced.same_prefix(t, order, 20)
+        assert shared.tolist() == [j > 0 and order[j] + 20 <= n and s[order[j] : order[j] + 20] == s[order[j - 1] : order[j - 1] + 20] for j in range(n)]

@@ -2,8 +2,8 @@
 
 The queue of a first byte is a list of suffix arrays in their final relative order, so
 taking buckets in order is what a priority queue of suffix tuples would give. Only the
-suffixes at the leftmost-S places are sorted as such; those are named and sorted on the
-string of names, and the order of all others is induced from them: larger-type suffixes
+suffixes at the leftmost-S places are sorted as such, by words of seven bytes and only as deep
+as ties go, and the order of all others is induced from them: larger-type suffixes
 by a pass upwards, smaller-type ones by a pass downwards. Each step handles all suffixes
 of a bucket and round at once.
 """
@@ -14,6 +14,9 @@ import tempfile
 
 import numpy as np
 
+#: Values compared at once; 258 ** 7 is under 2 ** 63.
+STEP = 7
+
 
 class BucketQueues:
     """First-in first-out queues of arrays by bucket; beyond ``memory`` bytes, arrays wait on disk."""
@@ -23,7 +26,7 @@ class BucketQueues:
         self.memory, self.held, self.file = memory, 0, None
 
     def put(self, chars: np.ndarray, suffixes: np.ndarray) -> None:
-        order = np.argsort(chars, kind="stable")
+        order = np.argsort(chars.astype(np.uint16), kind="stable")  # sorted by radix
         chars, suffixes = chars[order], suffixes[order]
         cuts = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]]) if len(chars) else []
         for a, b in zip(cuts, [*cuts[1:], len(chars)]):
@@ -59,27 +62,34 @@ def _types(t: np.ndarray) -> np.ndarray:
     return after[run] > t
 
 
-def _lms_order(t: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
-    """Places of leftmost-S suffixes in order of their first ``depth`` characters and more."""
-    if not len(lms):
-        return lms
-    rank = _bounded_rank(t, lms, depth)
-    return lms[np.argsort(rank, kind="stable")]
-
-
-def _bounded_rank(t: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks by names of 8 characters, doubled on the string of names until ``depth`` is covered."""
-    padded = np.r_[t, np.zeros(depth + 16, t.dtype)].astype(np.int64)
-    rank = np.zeros(len(lms), np.int64)
-    for k in range(0, depth, 4):
-        value = np.zeros(len(lms), np.int64)
-        for j in range(4):
-            value = value * 257 + padded[lms + k + j]
-        _, name = np.unique(value, return_inverse=True)
-        distinct, rank = np.unique(rank * (int(name.max()) + 1) + name, return_inverse=True)
-        if len(distinct) == len(lms):
+def packed(t: np.ndarray, depth: int) -> np.ndarray:
+    """The STEP values from each place on as one number, and zeros for ``depth`` places beyond the end."""
+    padded = np.r_[t.astype(np.int64) + 1, np.zeros(depth + 2 * STEP, np.int64)]
+    n = len(t) + depth + STEP
+    out = padded[:n].copy()
+    for j in range(1, STEP):
+        out *= 258
+        out += padded[j : n + j]
+    return out
+
+
+def _lms_order(words: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
+    """Leftmost-S places in order of ``depth`` values: each turn refines only those still tied."""
+    order = np.argsort(words[lms], kind="stable")
+    key = words[lms[order]]
+    new = np.r_[True, key[1:] != key[:-1]]
+    for k in range(STEP, depth, STEP):
+        lone = new & np.r_[new[1:], True]
+        tied = np.flatnonzero(~lone)
+        if not len(tied):
             break
-    return rank
+        group = np.cumsum(new[tied])
+        key = words[lms[order[tied]] + k]
+        inner = np.lexsort((key, group))
+        order[tied] = order[tied][inner]
+        key, group = key[inner], group[inner]
+        new[tied] = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])]
+    return lms[order]
 
 
 def suffix_order(t: np.ndarray, depth: int, memory: int = 1 << 28) -> np.ndarray:
@@ -87,10 +97,11 @@ def suffix_order(t: np.ndarray, depth: int, memory: int = 1 << 28) -> np.ndarray
     n = len(t)
     if not n:
         return np.zeros(0, np.int64)
+    words = packed(t, depth)
     t = t.astype(np.int64)
     small = _types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    ordered = _lms_order(t, lms, depth)
+    ordered = _lms_order(words, lms, depth) if len(lms) else lms
     heads, seeds = BucketQueues(257, memory), BucketQueues(257, memory)
     seeds.put(t[ordered], ordered)
     heads.put(t[-1:], np.array([n - 1]))  # the suffix before the end is of type L
@@ -121,13 +132,13 @@ def suffix_order(t: np.ndarray, depth: int, memory: int = 1 << 28) -> np.ndarray
     return np.concatenate(out[::-1])
 
 
-def common_prefix(t: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Length, up to ``depth``, of the prefix that each suffix shares with the one before it in order."""
-    padded = np.r_[t.astype(np.int16), -np.arange(1, depth + 1, dtype=np.int16)]
-    out = np.zeros(len(order), np.int64)
+def same_prefix(t: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
+    """True where a suffix shares its first ``depth`` values with the one before it in order."""
+    words = packed(t, depth)
+    out = np.zeros(len(order), bool)
     alive = np.arange(1, len(order))
-    for k in range(depth):
-        a, b = padded[order[alive - 1] + k], padded[order[alive] + k]
-        alive = alive[a == b]
-        out[alive] += 1
+    for k in [*range(0, depth - STEP, STEP), depth - STEP]:
+        alive = alive[words[order[alive - 1] + k] == words[order[alive] + k]]
+    # beyond the end are zeros, which no value is: equal words are equal values
+    out[alive[order[alive] + depth <= len(t)]] = True
     return out

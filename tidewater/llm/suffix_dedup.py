@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.common import stored, table, text_or_empty
-from tidewater.llm.induced import common_prefix, suffix_order
+from tidewater.llm.induced import same_prefix, suffix_order
 from tidewater.llm.neardup import _slices
 from tidewater.llm.shingles import _BACK, _BASE, _powers, mix, text_bytes
 
@@ -77,6 +77,16 @@ def blocks(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: in
     return text[first], head - offsets[text[first]], count, key, body
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of numbers by place value: those that hardly change stand together and compress."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unplaned(parts: list[bytes], kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.concatenate([np.frombuffer(p, np.uint8).reshape(size, -1).T.copy().view(kind).ravel() for p in parts])
+
+
 def _pack(shards: int):
     def run(batches):
         for batch in _slices(batches):
@@ -87,8 +97,9 @@ def _pack(shards: int):
             cuts = np.flatnonzero(np.r_[True, np.diff(shard[order]) > 0]) if len(order) else []
             rows = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(order)])]
             of = lambda x, kind: pa.array([x[r].astype(kind).tobytes() for r in rows], pa.binary())
+            planes = lambda x, kind: pa.array([_planes(x[r].astype(kind)) for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(shard[r[0]]) for r in rows], pa.int64()), of(key >> np.uint64(32), "u4"), of(body, "u8"), of(ids[text], "i8"), of(head, "u4"), of(count, "u1")],
+                [pa.array([int(shard[r[0]]) for r in rows], pa.int64()), of(key >> np.uint64(32), "u4"), of(body, "u8"), planes(ids[text], "i8"), planes(head, "u4"), of(count, "u1")],
                 names=["sd_shard", "sd_key", "sd_body", "sd_doc", "sd_head", "sd_count"],
             )
 
@@ -101,7 +112,7 @@ _FOUND = T.StructType().add("sd_doc", "long").add("sd_head", "long").add("sd_cou
 def _resolve(shard: pa.Table) -> pa.Table:
     """Blocks of one shard: whole ones to remove, and edges of repeats for the suffix order."""
     join = lambda c, kind: np.frombuffer(b"".join(shard.column(c).to_pylist()), kind)
-    key, body, doc, head, count = join("sd_key", "u4"), join("sd_body", "u8"), join("sd_doc", "i8"), join("sd_head", "u4"), join("sd_count", "u1")
+    key, body, doc, head, count = join("sd_key", "u4"), join("sd_body", "u8"), _unplaned(shard.column("sd_doc").to_pylist(), "i8"), _unplaned(shard.column("sd_head").to_pylist(), "u4"), join("sd_count", "u1")
     order = np.lexsort((doc, body, key))
     key, body, doc, head, count = key[order], body[order], doc[order], head[order], count[order]
     new_key = np.r_[True, key[1:] != key[:-1]]
@@ -141,11 +152,11 @@ def repeated_starts(strings: list[bytes], docs: np.ndarray, counts: np.ndarray,
     begin = np.cumsum(sizes) - sizes
     data[begin + sizes - 1] = 0  # nothing goes on beyond a string
     order = suffix_order(data, length, memory)
-    shared = common_prefix(data, order, length)
+    shared = same_prefix(data, order, length)
     owner = np.searchsorted(begin, order, side="right") - 1
     place = order - begin[owner]
     mine = place < counts[owner]
-    run = np.cumsum(shared < length)[mine]
+    run = np.cumsum(~shared)[mine]
     owner, place = owner[mine], place[mine]
     if not len(run):
         return owner, place
