@@ -189,7 +189,7 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", l
         packed = packed.add(c, "binary")
     found = stored(given.mapInArrow(_pack(shards), packed).groupBy("sd_shard").applyInArrow(_resolve, _FOUND))
     edges = found.filter("sd_edge").groupBy("sd_doc").agg(F.collect_list(F.struct("sd_head", "sd_count", "sd_key")).alias("sd_edges"))
-    cut = edges.join(given, "sd_doc").select("sd_doc", "sd_edges", "sd_text").mapInArrow(_contexts(length), _CONTEXT).distinct()
+    cut = edges.join(given, "sd_doc").select("sd_doc", "sd_edges", "sd_text").mapInArrow(_contexts(length), _CONTEXT)
     spans = cut.groupBy(F.pmod("sd_key", F.lit(shards * 4)).alias("sd_shard")).applyInArrow(_suffixes(length, memory), _SPAN)
     whole = found.filter("not sd_edge").select("sd_doc", F.col("sd_head").alias("sd_from"), (F.col("sd_head") + F.col("sd_count") - 1 + length).alias("sd_to"))
     return whole.union(spans)
