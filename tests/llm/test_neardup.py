@@ -115,3 +115,26 @@ def test_word_hashes_follow_the_contract_words():
     name = {}
     assert all(name.setdefault(w, h) == h for (_, w), h in zip(want, words.tolist()))
     assert len(set(name.values())) == len(name)
+
+
+def test_pair_meets_in_a_later_bucket_than_its_first(spark):
+    """``y`` is settled in the first bucket it shares with ``l``, by the class of a lead that ``l`` isn't like."""
+    rng, bits = random.Random(11), np.random.default_rng(11)
+    base, y, l = prose(300, 1), 1000, 1003
+    texts = {1: vary(base, 6, rng), y: base, l: vary(base, 6, rng)} | {i: prose(40, i) for i in [*range(2, 200), 501, 502, 503]}
+    rows = list(texts.items())
+    want = classes(rows)
+    assert want[y] == want[l] == 1
+    keys = {i: [1000 * i + b for b in range(24)] for i in texts}
+    signs = {i: bits.integers(-(2**31), 2**31, 96).tolist() for i in texts}
+    for i in [1, y, l, *range(2, 200)]:
+        keys[i][0] = 1
+    for i in [501, 502, 503, y, l]:
+        keys[i][1] = 2
+    signs[l][:80] = signs[y][:80]
+    signed = [(i, i, i, len(t.split()), keys[i], signs[i]) for i, t in rows]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = spark.createDataFrame(signed, "nd_id long, nd_a long, nd_b long, nd_words long, nd_bands array<long>, nd_sign array<int>")
+    second = signed.filter("nd_bands[1] = 2").selectExpr("min_by(nd_id, xxhash64(nd_id))").first()[0]
+    assert second not in (y, l)
+    assert {tuple(r) for r in neardup.links(docs, signed).collect()} == {(1, y), (y, l)}

@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import let, stored, table, text_or_empty
+from tidewater.llm.common import stored, table, text_or_empty
 from tidewater.llm.shingles import mix, shingle_hashes, text_bytes, times, unit_regions, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -188,9 +187,7 @@ def _agreeing(waiting: DataFrame, leads: DataFrame, signs: DataFrame) -> DataFra
     theirs = leads.join(signs.select(F.col("nd_node").alias("nd_lead"), F.col("nd_sign").alias("nd_other")), "nd_lead").alias("t")
     equal = F.zip_with("nd_sign", "nd_other", lambda x, y: x == y)
     enough = F.size(F.filter(equal, lambda z: z)) >= AGREE
-    # a pair may share many buckets: it is taken from the first only
-    whole = let(equal, lambda e: F.array_position(F.transform(F.expr(f"sequence(0, size(nd_sign) div {ROWS} - 1)"), lambda i: reduce(lambda x, y: x & y, [F.get(e, i * ROWS + j) for j in range(ROWS)])), True))
-    on = (F.col("m.nd_band") == F.col("t.nd_band")) & (F.col("m.nd_key") == F.col("t.nd_key")) & (F.col("nd_node") != F.col("nd_lead")) & enough & (whole == F.col("m.nd_band") + 1)
+    on = (F.col("m.nd_band") == F.col("t.nd_band")) & (F.col("m.nd_key") == F.col("t.nd_key")) & (F.col("nd_node") != F.col("nd_lead")) & enough
     return mine.join(theirs, on).select("nd_node", "nd_lead").distinct()
 
 
