@@ -138,3 +138,14 @@ def test_pair_meets_in_a_later_bucket_than_its_first(spark):
     second = signed.filter("nd_bands[1] = 2").selectExpr("min_by(nd_id, xxhash64(nd_id))").first()[0]
     assert second not in (y, l)
     assert {tuple(r) for r in neardup.links(docs, signed).collect()} == {(1, y), (y, l)}
+
+
+def test_members_meet_settled_members(spark, monkeypatch):
+    """Copies of a text that are like it only, while other copies lead: each link is needed. In several blocks too."""
+    monkeypatch.setattr(neardup, "BLOCK", 50)
+    rng, base = random.Random(5), prose(300, 1)
+    rows = [(k, vary(base, 6, rng)) for k in range(120)] + [(10**6, base)]
+    want = classes(rows)
+    assert set(want.values()) == {0}
+    got = {r[0]: r[1] for r in neardup.with_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()}
+    assert got == want

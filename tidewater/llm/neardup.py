@@ -9,10 +9,11 @@ throws only about ``k ln k + 2 k`` darts, however long it is. Documents that hav
 coordinates left over throw on with a higher last rank.
 
 Bands of the signature are bucket keys. Texts that are equal word for word are one node.
-Within a bucket all members are compared with two leads only (the least node and the
-least by hash), never with each other; members that are
-not in the class of a lead meet more leads turn by turn, those that their signature agrees
-with, until each bucket is used up. Similarity is exact: shared regions over all regions. Classes are the connected
+Within a bucket all members are compared with two leads first (the least node and the
+least by hash), in large buckets also with some more. Then all pairs of a bucket that are
+not of one class yet meet: the members outside the bucket's largest class ask all others,
+in salted blocks whose signatures are compared as arrays, and those that agree are
+compared. Similarity is exact: shared regions over all regions. Classes are the connected
 components of the links, found by alternating large-star and small-star steps on stored
 edge tables.
 
@@ -39,11 +40,15 @@ from tidewater.llm.shingles import mix, shingle_hashes, text_bytes, times, unit_
 WIDTH, THRESHOLD = 5, 0.8
 #: 24 bands of 4 coordinates: a pair of similarity 0.8 is missed with probability 3e-6.
 BANDS, ROWS = 24, 4
-#: Leads that a member meets in a bucket at most in the turns after the first; the last holds on.
-LEADS = (16, 64, 256)
-#: Coordinates of 96 that must agree for a member and a later lead to be compared. At a
+#: Leads of the second turn in a bucket of more than ``LARGE`` members; it only spares comparisons of the last one.
+LEADS, LARGE = 16, 64
+#: Coordinates of 96 that must agree for a pair to be compared after the first turn. At a
 #: similarity of 0.8 fewer agree with probability 4e-5, at 0.55 as many with 0.05.
 AGREE = 61
+#: Coordinates from which a pair is probably alike: these pairs are compared before the rest.
+LIKELY = 78
+#: Members of a bucket on each side of a block of signatures.
+BLOCK = 1024
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,20 +180,53 @@ def _members(nodes: DataFrame) -> DataFrame:
     return members.join(shared.filter("nd_n > 1").drop("nd_n"), ["nd_band", "nd_key"])
 
 
-def _leads(members: DataFrame, turn: int) -> DataFrame:
-    """(nd_band, nd_key, nd_lead): the least node of each hash class of a bucket, other classes each turn."""
-    salt = F.pmod(F.xxhash64("nd_node", F.lit(turn)), F.lit(LEADS[min(turn, len(LEADS)) - 1]))
-    return members.groupBy("nd_band", "nd_key", salt.alias("nd_salt")).agg(F.min("nd_node").alias("nd_lead")).drop("nd_salt")
+def _agree(agree: int, first_only: bool, tile: int = 256):
+    """Pairs of askers and others of a block whose signatures agree in ``agree`` coordinates."""
+    rows = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, -1)
+
+    def run(block: pa.Table) -> pa.Table:
+        asks = block.column("nd_ask")
+        asker, other = block.filter(asks), block.filter(pc.invert(asks))
+        node, lead = (t.column("nd_node").to_numpy() for t in (asker, other))
+        mine, theirs = (t.column("nd_class").to_numpy() for t in (asker, other))
+        x, y = rows(asker, "nd_sign"), np.ascontiguousarray(rows(other, "nd_sign").T)
+        keys = [np.array(t.column("nd_bands").to_pylist(), np.int64) for t in (asker, other)]
+        out = []
+        for a in range(0, len(node), tile):
+            count = np.zeros((len(node[a : a + tile]), len(lead)), np.uint8)
+            for c in range(len(y)):
+                count += x[a : a + tile, c, None] == y[c]
+            i, j = np.nonzero(count >= agree)
+            same, i = count[i, j], i + a
+            keep = (mine[i] != theirs[j]) & (node[i] != lead[j])
+            if first_only:  # a pair may share many buckets, and meets in each of them
+                keep &= (keys[0][i] == keys[1][j]).argmax(axis=1) == block.column("nd_band")[0].as_py()
+            out.append((i[keep], j[keep], same[keep]))
+        i, j, same = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
+        return pa.table({"nd_node": asker.column("nd_node").take(pa.array(i)), "nd_lead": other.column("nd_node").take(pa.array(j)), "nd_same": pa.array(same.astype(np.int32))})
 
+    return run
+
+
+def _meetings(askers: DataFrame, members: DataFrame, signs: DataFrame, first_only: bool, agree: int = AGREE) -> DataFrame:
+    """(nd_low, nd_high, nd_same): pairs of an asker and any member of its bucket, of another class, that agree in ``agree`` coordinates.
 
-def _agreeing(waiting: DataFrame, leads: DataFrame, signs: DataFrame) -> DataFrame:
-    """Members with those leads of their bucket that their signature agrees with in ``AGREE`` coordinates."""
-    mine = waiting.join(signs, "nd_node").alias("m")
-    theirs = leads.join(signs.select(F.col("nd_node").alias("nd_lead"), F.col("nd_sign").alias("nd_other")), "nd_lead").alias("t")
-    equal = F.zip_with("nd_sign", "nd_other", lambda x, y: x == y)
-    enough = F.size(F.filter(equal, lambda z: z)) >= AGREE
-    on = (F.col("m.nd_band") == F.col("t.nd_band")) & (F.col("m.nd_key") == F.col("t.nd_key")) & (F.col("nd_node") != F.col("nd_lead")) & enough
-    return mine.join(theirs, on).select("nd_node", "nd_lead").distinct()
+    Both sides are dealt into blocks by hash, and every block of askers meets every block
+    of members, so no task holds a bucket.
+    """
+    bucket = ["nd_band", "nd_key"]
+    blocks = lambda d, c: d.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK).alias(c))
+    sizes = blocks(askers, "nd_rows").join(blocks(members, "nd_columns"), bucket)
+    salt = lambda c: F.pmod(F.xxhash64("nd_node", F.lit(7)), F.col(c))
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    cells = lambda d, ask: d.select(*bucket, "nd_node", "nd_class").join(sizes, bucket).withColumn("nd_ask", F.lit(ask))
+    rows = cells(askers, True).withColumn("nd_row", salt("nd_rows")).withColumn("nd_column", every("nd_columns"))
+    columns = cells(members, False).withColumn("nd_column", salt("nd_columns")).withColumn("nd_row", every("nd_rows"))
+    both = rows.unionByName(columns).drop("nd_rows", "nd_columns").join(signs, "nd_node")
+    schema = T.StructType([both.schema["nd_node"], T.StructField("nd_lead", both.schema["nd_node"].dataType)]).add("nd_same", "integer")
+    pairs = both.groupBy(*bucket, "nd_row", "nd_column").applyInArrow(_agree(agree, first_only), schema)
+    low, high = F.least("nd_node", "nd_lead").alias("nd_low"), F.greatest("nd_node", "nd_lead").alias("nd_high")
+    return pairs.select(low, high, "nd_same").distinct()
 
 
 def links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
@@ -198,32 +236,45 @@ def links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text: str
     members = stored(_members(nodes))
     named = members.select("nd_node").distinct()
     sets = stored(region_sets(docs, named, id_col, text, width))
-    signs = stored(signed.select(F.col("nd_id").alias("nd_node"), "nd_sign").join(named, "nd_node", "left_semi").groupBy("nd_node").agg(F.first("nd_sign").alias("nd_sign")))
+    # a byte a coordinate is compared: unequal ones look equal with 1/256, equal ones never unequal
+    brief = F.unhex(F.concat_ws("", F.transform("nd_sign", lambda v: F.lpad(F.hex(F.shiftrightunsigned(v, 24)), 2, "0"))))
     left = sets.select(F.col("nd_node").alias("nd_low"), F.col("nd_set").alias("nd_x"))
     right = sets.select(F.col("nd_node").alias("nd_high"), F.col("nd_set").alias("nd_y"))
     shared = F.size(F.array_intersect("nd_x", "nd_y"))
     score = shared / (F.size("nd_x") + F.size("nd_y") - shared)
+    alike = lambda pairs: stored(pairs.join(right, "nd_high").join(left, "nd_low").filter(score >= threshold).select("nd_low", "nd_high"))
+    of = lambda d, c, classes: d.join(classes.select(F.col("nd_node").alias(c), F.col("nd_class").alias(f"{c}_class")), c, "left").withColumn(f"{c}_class", F.coalesce(f"{c}_class", c))
     low, high = F.least("nd_node", "nd_lead").alias("nd_low"), F.greatest("nd_node", "nd_lead").alias("nd_high")
-    plain = waiting = members.select(*bucket, "nd_node")
     both = F.explode(F.array("nd_lead", "nd_second")).alias("nd_lead")
-    leads = members.select(*bucket, both).distinct()
-    tried = members.select("nd_node", both).filter("nd_node != nd_lead")
-    found, turn = None, 0
-    while True:
-        pairs = tried.select(low, high).distinct()
-        new = stored(pairs.join(right, "nd_high").join(left, "nd_low").filter(score >= threshold).select("nd_low", "nd_high"))
-        found, turn = new if found is None else found.union(new), turn + 1
-        if turn == 1 or not new.isEmpty():
-            classes = stored(components(found))
-        # who leads, or is in the class of a lead, is settled in this bucket; the others go on
-        of = lambda d, c: d.join(classes.withColumnRenamed("nd_node", c), c, "left").withColumn("nd_class", F.coalesce("nd_class", c))
-        settled = of(leads, "nd_lead").select(*bucket, "nd_class").distinct()
-        waiting = stored(of(waiting, "nd_node").join(settled, [*bucket, "nd_class"], "left_anti").drop("nd_class"))
-        if waiting.isEmpty():
-            return found.distinct()
-        # at first they meet leads of the whole bucket, then of those that are left
-        leads = stored(_leads(plain.join(waiting.select(*bucket).distinct(), bucket, "left_semi") if turn == 1 else waiting, turn))
-        tried = stored(_agreeing(waiting, leads, signs))
+    found = alike(members.select("nd_node", both).filter("nd_node != nd_lead").select(low, high).distinct())
+    # the two leads have met the whole bucket; the others have yet to meet those of other classes
+    rest = members.filter("nd_node != nd_lead and nd_node != nd_second").select(*bucket, "nd_node")
+
+    def unlike(rows: DataFrame, classes: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several classes, with the largest of these."""
+        placed = of(rows, "nd_node", classes).withColumnRenamed("nd_node_class", "nd_class")
+        kinds = placed.groupBy(*bucket, "nd_class").agg(F.count("*").alias("nd_n"))
+        mixed = kinds.groupBy(*bucket).agg(F.sum("nd_n").alias("nd_size"), F.count("*").alias("nd_kinds"), F.max(F.struct("nd_n", "nd_class"))["nd_class"].alias("nd_main"))
+        return stored(placed.join(mixed.filter("nd_kinds > 1").drop("nd_kinds"), bucket))
+
+    classes = stored(components(found))
+    open_ = unlike(rest, classes)
+    signs = stored(signed.select(F.col("nd_id").alias("nd_node"), "nd_sign", "nd_bands").filter(F.size("nd_bands") > 0).join(open_.select("nd_node").distinct(), "nd_node", "left_semi").dropDuplicates(["nd_node"]).select("nd_node", "nd_bands", brief.alias("nd_sign")))
+    large = open_.filter(F.col("nd_size") > LARGE)
+    if not large.isEmpty():
+        own = F.pmod(F.xxhash64("nd_node", F.lit(1)), F.lit(LEADS))
+        leads = large.groupBy(*bucket, own.alias("nd_salt")).agg(F.min(F.struct("nd_node", "nd_class")).alias("l")).select(*bucket, "l.*")
+        found = found.union(alike(_meetings(leads, large, signs, False)))
+        classes = stored(components(found))
+        open_ = unlike(open_.select(*bucket, "nd_node"), classes)
+    if open_.isEmpty():
+        return found.distinct()
+    # of two members of different classes one at least isn't of the largest, and asks
+    pairs = stored(_meetings(open_.filter("nd_class != nd_main"), open_, signs, True))
+    found = found.union(alike(pairs.filter(F.col("nd_same") >= LIKELY)))
+    classes = stored(components(found))
+    apart = of(of(pairs.filter(F.col("nd_same") < LIKELY), "nd_low", classes), "nd_high", classes).filter("nd_low_class != nd_high_class")
+    return found.union(alike(apart)).distinct()
 
 
 def components(edges: DataFrame, low: str = "nd_low", high: str = "nd_high") -> DataFrame:
