@@ -129,3 +129,20 @@ def test_suspects_are_left_out_before_sessions(spark):
     df = spark.createDataFrame([(1, 1, 1, "pv", 5)], "user_id long, item_id long, category_id long, behavior_type string, timestamp long")
     plan = jobs.elt(df, jobs.EltConfig())._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("LeftAnti")
+
+
+def test_registered_models_are_whole(spark, sf, monkeypatch):
+    from tidewater.plans import registry
+
+    seen = []
+    train = models.train_purchase_model
+
+    def small(df, trees=100, depth=10, seed=42):
+        seen.append((trees, depth))
+        return train(df, 2, 2, seed)
+
+    monkeypatch.setattr(models, "train_purchase_model", small)
+    registry.queries()["m15_feature_ranking"](spark, sf)
+    assert seen == [(100, 10)]
+    assert registry.queries()["m7_cross_validate"](spark, sf).count() == 5
+    assert seen == [(100, 10)] * 6

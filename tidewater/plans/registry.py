@@ -202,7 +202,7 @@ on_r("m16_binary_metrics", lambda r: features.binary_metrics(r.filter("label is
 
 def _model(spark: SparkSession, d: str):
     events = behavior(spark, d)
-    return events, models.train_purchase_model(models.purchase_features(events), trees=5, depth=3)
+    return events, models.train_purchase_model(models.purchase_features(events))
 
 
 @_query("m9_score")
@@ -218,7 +218,7 @@ def _scoring(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("m7_cross_validate")
 def _folds(spark: SparkSession, d: str) -> DataFrame:
-    folds = models.cross_validate(models.purchase_features(behavior(spark, d)), "event_id", 3, trees=5, depth=3)
+    folds = models.cross_validate(models.purchase_features(behavior(spark, d)), "event_id")
     return spark.createDataFrame(folds, "accuracy double, auc double")
 
 
