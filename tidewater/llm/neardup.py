@@ -9,13 +9,13 @@ throws only about ``k ln k + 2 k`` darts, however long it is. Documents that hav
 coordinates left over throw on with a higher last rank.
 
 Bands of the signature are bucket keys. Texts that are equal word for word are one node.
-Within a bucket all members are compared with two leads first (the least node and the
-least by hash), in large buckets also with some more. Then all pairs of a bucket that are
-not of one class yet meet: the members outside the bucket's largest class ask all others,
-in salted blocks whose signatures are compared as arrays, and those that agree are
-compared. Similarity is exact: shared regions over all regions. Classes are the connected
+Within a bucket all members are compared with its least node first. Then all pairs of a
+bucket that are not of one class yet meet: the members outside the bucket's largest class
+ask all others, in salted blocks whose signatures are compared as arrays, and those that
+agree are compared. A comparison is exact: shared regions over all regions, 64-bit hashes.
+It is made in cells, to which each set of regions comes once. Classes are the connected
 components of the links, found by alternating large-star and small-star steps on stored
-edge tables.
+edge tables, which are deleted once they are superseded.
 
 Defined results: a text without words is like no other and is a class of its own; rows
 with the same id are the same document; a null id can't be named, its class is null; a
@@ -40,15 +40,11 @@ from tidewater.llm.shingles import mix, shingle_hashes, text_bytes, times, unit_
 WIDTH, THRESHOLD = 5, 0.8
 #: 24 bands of 4 coordinates: a pair of similarity 0.8 is missed with probability 3e-6.
 BANDS, ROWS = 24, 4
-#: Leads of the second turn in a bucket of more than ``LARGE`` members; it only spares comparisons of the last one.
-LEADS, LARGE = 16, 64
-#: Coordinates of 96 that must agree for a pair to be compared after the first turn. At a
-#: similarity of 0.8 fewer agree with probability 4e-5, at 0.55 as many with 0.05.
-AGREE = 61
-#: Coordinates from which a pair is probably alike: these pairs are compared before the rest.
-LIKELY = 78
-#: Members of a bucket on each side of a block of signatures.
-BLOCK = 1024
+#: Coordinates of 96 that must agree for a pair of the second turn to be compared. At a
+#: similarity of 0.8 fewer agree with probability 3e-6.
+AGREE = 58
+#: Members of a bucket on each side of a block of signatures, and sets on each side of a cell.
+BLOCK, CELL = 1024, 512
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -156,32 +152,87 @@ def _regions(width: int):
         for batch in _slices(batches):
             words, text = word_hashes(*text_bytes(batch.column(1)))
             regions, owner = unit_regions(*shingle_hashes(words, text, width))
-            small = (regions >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            lists = _list_array(pa.array(small), np.bincount(owner, minlength=batch.num_rows))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["nd_node", "nd_set"])
+            regions = regions[np.lexsort((regions, owner))]
+            ends = np.cumsum(np.bincount(owner, minlength=batch.num_rows)) * 8
+            sets = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(np.r_[0, ends].astype(np.int64)), pa.py_buffer(regions)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets.cast(pa.binary())], names=["nd_node", "nd_set"])
 
     return run
 
 
 def region_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text: str, width: int) -> DataFrame:
-    """(nd_node, nd_set): the regions of each node's text, as 32-bit hashes."""
-    given = (
-        docs.select(F.col(id_col).alias("nd_node"), text_or_empty(text).alias("nd_text"))
-        .join(nodes, "nd_node", "left_semi")
-        .dropDuplicates(["nd_node"])
-    )
-    return given.mapInArrow(_regions(width), given.drop("nd_text").schema.add("nd_set", T.ArrayType(T.IntegerType())))
+    """(nd_node, nd_set): the sorted regions of each node's text, 64 bits each. Of several texts of an id the least by hash counts."""
+    given = docs.select(F.col(id_col).alias("nd_node"), text_or_empty(text).alias("nd_text")).join(nodes, "nd_node", "left_semi")
+    one = given.groupBy("nd_node").agg(F.min_by("nd_text", F.struct(F.xxhash64("nd_text"), F.hash("nd_text"))).alias("nd_text"))
+    return one.mapInArrow(_regions(width), one.drop("nd_text").schema.add("nd_set", T.BinaryType()))
 
 
 def _members(nodes: DataFrame) -> DataFrame:
-    """(nd_band, nd_key, nd_node) of the buckets that have two nodes and more."""
+    """(nd_band, nd_key, nd_n, nd_lead, nd_node) of the buckets that have two nodes and more; nd_lead is the least node."""
     members = nodes.select("nd_node", F.posexplode("nd_bands").alias("nd_band", "nd_key"))
-    shared = members.groupBy("nd_band", "nd_key").agg(F.count("*").alias("nd_n"), F.min("nd_node").alias("nd_lead"), F.min_by("nd_node", F.xxhash64("nd_node")).alias("nd_second"))
-    return members.join(shared.filter("nd_n > 1").drop("nd_n"), ["nd_band", "nd_key"])
+    shared = members.groupBy("nd_band", "nd_key").agg(F.count("*").alias("nd_n"), F.min("nd_node").alias("nd_lead"))
+    return members.join(shared.filter("nd_n > 1"), ["nd_band", "nd_key"])
+
+
+def _alike(threshold: float):
+    """Rows of cells, each cell's sets before its pairs: the pairs whose similarity is ``threshold`` or more."""
+
+    def whole(cells: pa.Table) -> pa.RecordBatch:
+        is_set = pc.is_valid(cells.column("nd_set"))
+        sets, pairs = cells.filter(is_set), cells.filter(pc.invert(is_set))
+        sets_of: dict = {}
+        for cell, node, raw in zip(sets.column("nd_cell").to_pylist(), sets.column("nd_low").to_pylist(), sets.column("nd_set").to_pylist()):
+            sets_of.setdefault(cell, {})[node] = np.frombuffer(raw, np.uint64)
+        low, high = [], []
+        todo: dict = {}
+        for cell, x, y in zip(*(pairs.column(c).to_pylist() for c in ("nd_cell", "nd_low", "nd_high"))):
+            todo.setdefault((cell, x), []).append(y)
+        for (cell, x), others in todo.items():
+            nodes = sets_of[cell]
+            mine = nodes[x]
+            others = [y for y in others if threshold * max(len(nodes[y]), len(mine)) <= min(len(nodes[y]), len(mine))]
+            if not others or not len(mine):
+                continue
+            sizes = np.array([len(nodes[y]) for y in others])
+            values = np.concatenate([nodes[y] for y in others])
+            both = np.add.reduceat((mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values).astype(np.int64), np.cumsum(sizes) - sizes)
+            for y, good in zip(others, both >= threshold * (sizes + len(mine) - both)):
+                if good:
+                    low.append(x)
+                    high.append(y)
+        kind = cells.schema.field("nd_low").type
+        return pa.RecordBatch.from_arrays([pa.array(low, kind), pa.array(high, kind)], names=["nd_low", "nd_high"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            cell = held.column("nd_cell").to_numpy()
+            begin = int(np.flatnonzero(cell != cell[-1])[-1]) + 1 if len(cell) and cell[0] != cell[-1] else 0
+            if begin:  # the last cell may go on in the next batch
+                yield whole(held.slice(0, begin))
+                held = held.slice(begin)
+        if held is not None and held.num_rows:
+            yield whole(held)
+
+    return run
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(nd_low, nd_high): of ``pairs`` (+ nd_cell) those that are alike, by their whole sets of regions.
+
+    A cell brings each of its sets once, however many pairs need it, and the caller keeps cells small.
+    """
+    ends = pairs.select("nd_cell", F.explode(F.array("nd_low", "nd_high")).alias("nd_node")).distinct()
+    rows = ends.join(sets, "nd_node").select("nd_cell", F.col("nd_node").alias("nd_low"), F.lit(None).cast(pairs.schema["nd_high"].dataType).alias("nd_high"), "nd_set")
+    asked = pairs.select("nd_cell", "nd_low", "nd_high", F.lit(None).cast("binary").alias("nd_set"))
+    dealt = rows.unionByName(asked).repartition("nd_cell").sortWithinPartitions("nd_cell", F.col("nd_set").isNull())
+    return dealt.mapInArrow(_alike(threshold), pairs.select("nd_low", "nd_high").schema)
 
 
-def _agree(agree: int, first_only: bool, tile: int = 256):
-    """Pairs of askers and others of a block whose signatures agree in ``agree`` coordinates."""
+def _agree(agree: int, tile: int = 256):
+    """Pairs of askers and others of a block whose signatures agree in ``agree`` coordinates and that share no earlier bucket."""
     rows = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, -1)
 
     def run(block: pa.Table) -> pa.Table:
@@ -191,98 +242,89 @@ def _agree(agree: int, first_only: bool, tile: int = 256):
         mine, theirs = (t.column("nd_class").to_numpy() for t in (asker, other))
         x, y = rows(asker, "nd_sign"), np.ascontiguousarray(rows(other, "nd_sign").T)
         keys = [np.array(t.column("nd_bands").to_pylist(), np.int64) for t in (asker, other)]
+        band = block.column("nd_band")[0].as_py()
         out = []
         for a in range(0, len(node), tile):
             count = np.zeros((len(node[a : a + tile]), len(lead)), np.uint8)
             for c in range(len(y)):
                 count += x[a : a + tile, c, None] == y[c]
             i, j = np.nonzero(count >= agree)
-            same, i = count[i, j], i + a
+            i += a
             keep = (mine[i] != theirs[j]) & (node[i] != lead[j])
-            if first_only:  # a pair may share many buckets, and meets in each of them
-                keep &= (keys[0][i] == keys[1][j]).argmax(axis=1) == block.column("nd_band")[0].as_py()
-            out.append((i[keep], j[keep], same[keep]))
-        i, j, same = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
-        return pa.table({"nd_node": asker.column("nd_node").take(pa.array(i)), "nd_lead": other.column("nd_node").take(pa.array(j)), "nd_same": pa.array(same.astype(np.int32))})
+            i, j = i[keep], j[keep]
+            # a pair may share many buckets: it is told in the first
+            first = (keys[0][i] == keys[1][j]).argmax(axis=1) == band
+            out.append((i[first], j[first]))
+        i, j = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+        take = lambda t, c, k: t.column(c).take(pa.array(k))
+        return pa.table({"nd_node": take(asker, "nd_node", i), "nd_other": take(other, "nd_node", j), "nd_home": take(asker, "nd_home", i), "nd_there": take(other, "nd_home", j)})
 
     return run
 
 
-def _meetings(askers: DataFrame, members: DataFrame, signs: DataFrame, first_only: bool, agree: int = AGREE) -> DataFrame:
-    """(nd_low, nd_high, nd_same): pairs of an asker and any member of its bucket, of another class, that agree in ``agree`` coordinates.
+def _meetings(open_: DataFrame, agree: int = AGREE) -> DataFrame:
+    """(nd_low, nd_high, nd_cell): pairs of an asker and any member of its bucket, of another class, that agree in ``agree`` coordinates.
 
     Both sides are dealt into blocks by hash, and every block of askers meets every block
-    of members, so no task holds a bucket.
+    of members, so no task holds a bucket. nd_cell is made of the homes of the two nodes.
     """
     bucket = ["nd_band", "nd_key"]
-    blocks = lambda d, c: d.groupBy(*bucket).agg(F.ceil(F.count("*") / BLOCK).alias(c))
-    sizes = blocks(askers, "nd_rows").join(blocks(members, "nd_columns"), bucket)
-    salt = lambda c: F.pmod(F.xxhash64("nd_node", F.lit(7)), F.col(c))
-    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    cells = lambda d, ask: d.select(*bucket, "nd_node", "nd_class").join(sizes, bucket).withColumn("nd_ask", F.lit(ask))
-    rows = cells(askers, True).withColumn("nd_row", salt("nd_rows")).withColumn("nd_column", every("nd_columns"))
-    columns = cells(members, False).withColumn("nd_column", salt("nd_columns")).withColumn("nd_row", every("nd_rows"))
-    both = rows.unionByName(columns).drop("nd_rows", "nd_columns").join(signs, "nd_node")
-    schema = T.StructType([both.schema["nd_node"], T.StructField("nd_lead", both.schema["nd_node"].dataType)]).add("nd_same", "integer")
-    pairs = both.groupBy(*bucket, "nd_row", "nd_column").applyInArrow(_agree(agree, first_only), schema)
-    low, high = F.least("nd_node", "nd_lead").alias("nd_low"), F.greatest("nd_node", "nd_lead").alias("nd_high")
-    return pairs.select(low, high, "nd_same").distinct()
+    n_rows, n_columns = F.ceil(F.col("nd_asks") / BLOCK), F.ceil(F.col("nd_size") / BLOCK)
+    salt = lambda n: F.pmod(F.xxhash64("nd_node", F.lit(7)), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    kept = [*bucket, "nd_node", "nd_class", "nd_home", "nd_sign", "nd_bands"]
+    rows = open_.filter("nd_class != nd_main").select(*kept, F.lit(True).alias("nd_ask"), salt(n_rows).alias("nd_row"), every(n_columns).alias("nd_column"))
+    columns = open_.select(*kept, F.lit(False).alias("nd_ask"), every(n_rows).alias("nd_row"), salt(n_columns).alias("nd_column"))
+    id_ = open_.schema["nd_node"].dataType
+    schema = T.StructType().add("nd_node", id_).add("nd_other", id_).add("nd_home", "long").add("nd_there", "long")
+    pairs = rows.unionByName(columns).groupBy(*bucket, "nd_row", "nd_column").applyInArrow(_agree(agree), schema)
+    # two members that are not of the main class both ask
+    asked_low = F.col("nd_node") < F.col("nd_other")
+    side = lambda a, b, c: F.when(asked_low, F.col(a)).otherwise(F.col(b)).alias(c)
+    ordered = pairs.select(side("nd_node", "nd_other", "nd_low"), side("nd_other", "nd_node", "nd_high"), side("nd_home", "nd_there", "h"), side("nd_there", "nd_home", "t"))
+    return ordered.select("nd_low", "nd_high", F.xxhash64("h", "t").alias("nd_cell")).distinct()
 
 
 def links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """(nd_low, nd_high): links of similarity ``threshold`` or more that connect the classes. A node is the least id of equal texts."""
     bucket = ["nd_band", "nd_key"]
-    nodes = signed.filter(F.col("nd_id").isNotNull() & (F.col("nd_words") > 0)).groupBy("nd_a", "nd_b").agg(F.min("nd_id").alias("nd_node"), F.min("nd_bands").alias("nd_bands"))
+    nodes = stored(nodes_of(signed))
     members = stored(_members(nodes))
-    named = members.select("nd_node").distinct()
-    sets = stored(region_sets(docs, named, id_col, text, width))
-    # a byte a coordinate is compared: unequal ones look equal with 1/256, equal ones never unequal
-    brief = F.unhex(F.concat_ws("", F.transform("nd_sign", lambda v: F.lpad(F.hex(F.shiftrightunsigned(v, 24)), 2, "0"))))
-    left = sets.select(F.col("nd_node").alias("nd_low"), F.col("nd_set").alias("nd_x"))
-    right = sets.select(F.col("nd_node").alias("nd_high"), F.col("nd_set").alias("nd_y"))
-    shared = F.size(F.array_intersect("nd_x", "nd_y"))
-    score = shared / (F.size("nd_x") + F.size("nd_y") - shared)
-    alike = lambda pairs: stored(pairs.join(right, "nd_high").join(left, "nd_low").filter(score >= threshold).select("nd_low", "nd_high"))
-    of = lambda d, c, classes: d.join(classes.select(F.col("nd_node").alias(c), F.col("nd_class").alias(f"{c}_class")), c, "left").withColumn(f"{c}_class", F.coalesce(f"{c}_class", c))
+    named = members.groupBy("nd_node").agg(F.max(F.struct("nd_n", "nd_key")).alias("nd_most"))
+    sets = stored(region_sets(docs, members.select("nd_node").distinct(), id_col, text, width))
+    spread = lambda key, n: F.xxhash64(key, F.pmod(F.xxhash64("nd_node", F.lit(3)), F.ceil(F.col(n) / CELL)))
     low, high = F.least("nd_node", "nd_lead").alias("nd_low"), F.greatest("nd_node", "nd_lead").alias("nd_high")
-    both = F.explode(F.array("nd_lead", "nd_second")).alias("nd_lead")
-    found = alike(members.select("nd_node", both).filter("nd_node != nd_lead").select(low, high).distinct())
-    # the two leads have met the whole bucket; the others have yet to meet those of other classes
-    rest = members.filter("nd_node != nd_lead and nd_node != nd_second").select(*bucket, "nd_node")
-
-    def unlike(rows: DataFrame, classes: DataFrame) -> DataFrame:
-        """Members of the buckets that hold several classes, with the largest of these."""
-        placed = of(rows, "nd_node", classes).withColumnRenamed("nd_node_class", "nd_class")
-        kinds = placed.groupBy(*bucket, "nd_class").agg(F.count("*").alias("nd_n"))
-        mixed = kinds.groupBy(*bucket).agg(F.sum("nd_n").alias("nd_size"), F.count("*").alias("nd_kinds"), F.max(F.struct("nd_n", "nd_class"))["nd_class"].alias("nd_main"))
-        return stored(placed.join(mixed.filter("nd_kinds > 1").drop("nd_kinds"), bucket))
-
+    led = members.filter("nd_node != nd_lead").select(low, high, spread("nd_lead", "nd_n").alias("nd_cell")).groupBy("nd_low", "nd_high").agg(F.min("nd_cell").alias("nd_cell"))
+    found = stored(verified(led, sets, threshold))
     classes = stored(components(found))
-    open_ = unlike(rest, classes)
-    signs = stored(signed.select(F.col("nd_id").alias("nd_node"), "nd_sign", "nd_bands").filter(F.size("nd_bands") > 0).join(open_.select("nd_node").distinct(), "nd_node", "left_semi").dropDuplicates(["nd_node"]).select("nd_node", "nd_bands", brief.alias("nd_sign")))
-    large = open_.filter(F.col("nd_size") > LARGE)
-    if not large.isEmpty():
-        own = F.pmod(F.xxhash64("nd_node", F.lit(1)), F.lit(LEADS))
-        leads = large.groupBy(*bucket, own.alias("nd_salt")).agg(F.min(F.struct("nd_node", "nd_class")).alias("l")).select(*bucket, "l.*")
-        found = found.union(alike(_meetings(leads, large, signs, False)))
-        classes = stored(components(found))
-        open_ = unlike(open_.select(*bucket, "nd_node"), classes)
-    if open_.isEmpty():
-        return found.distinct()
+    # the lead has met its whole bucket; the others have yet to meet those of other classes
+    home = F.xxhash64("nd_most.nd_key", F.pmod(F.xxhash64("nd_node", F.lit(3)), F.ceil(F.col("nd_most.nd_n") / CELL)))
+    placed = named.select("nd_node", home.alias("nd_home")).join(classes, "nd_node", "left").select("nd_node", "nd_home", F.coalesce("nd_class", "nd_node").alias("nd_class"))
+    rest = stored(members.filter("nd_node != nd_lead").select(*bucket, "nd_node").join(placed, "nd_node"))
+    kinds = rest.groupBy(*bucket, "nd_class").agg(F.count("*").alias("nd_n"))
+    mixed = kinds.groupBy(*bucket).agg(F.sum("nd_n").alias("nd_size"), F.count("*").alias("nd_kinds"), F.max(F.struct("nd_n", "nd_class")).alias("m")).filter("nd_kinds > 1")
+    # a byte a coordinate is compared: unequal ones look equal with 1/256, equal ones never unequal
+    brief = F.unhex(F.concat_ws("", F.transform("nd_sign", lambda v: F.lpad(F.hex(v.bitwiseAND(F.lit(255))), 2, "0"))))
+    signs = nodes.groupBy("nd_node").agg(F.min(F.struct("nd_bands", "nd_sign")).alias("s")).select("nd_node", "s.*")
+    open_ = rest.join(mixed.select(*bucket, "nd_size", (F.col("nd_size") - F.col("m.nd_n")).alias("nd_asks"), F.col("m.nd_class").alias("nd_main")), bucket)
     # of two members of different classes one at least isn't of the largest, and asks
-    pairs = stored(_meetings(open_.filter("nd_class != nd_main"), open_, signs, True))
-    found = found.union(alike(pairs.filter(F.col("nd_same") >= LIKELY)))
-    classes = stored(components(found))
-    apart = of(of(pairs.filter(F.col("nd_same") < LIKELY), "nd_low", classes), "nd_high", classes).filter("nd_low_class != nd_high_class")
-    return found.union(alike(apart)).distinct()
+    pairs = stored(_meetings(stored(open_.join(signs, "nd_node").withColumn("nd_sign", brief))))
+    return stored(found.union(verified(pairs, sets, threshold)), nodes, members, sets, rest, pairs)
+
+
+def nodes_of(signed: DataFrame) -> DataFrame:
+    """(nd_a, nd_b, nd_node, nd_bands, nd_sign): the distinct texts with words, each named by its least id."""
+    named = signed.filter(F.col("nd_id").isNotNull() & (F.col("nd_words") > 0))
+    return named.groupBy("nd_a", "nd_b").agg(F.min("nd_id").alias("nd_node"), F.first("nd_bands").alias("nd_bands"), F.first("nd_sign").alias("nd_sign"))
 
 
 def components(edges: DataFrame, low: str = "nd_low", high: str = "nd_high") -> DataFrame:
-    """(nd_node, nd_class): each node of an edge and the least node of its component.
+    """(nd_node, nd_class): each node of an edge that isn't the least of its component, and that least node.
 
     Alternating algorithm: the large-star step hangs a node's larger neighbours on its
     least neighbour, the small-star step its smaller ones, until nothing changes. Each
-    step is a grouped minimum and an equi-join; tables are stored between rounds.
+    step is a grouped minimum and an equi-join; tables are stored between rounds and
+    deleted once they are superseded.
     """
 
     def star(e: DataFrame, large: bool) -> DataFrame:
@@ -295,16 +337,17 @@ def components(edges: DataFrame, low: str = "nd_low", high: str = "nd_high") ->
     state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     current = stored(edges.select(F.col(high).alias("u"), F.col(low).alias("v")).distinct())
     before = None
-    while (now := state(current)) != before:
+    while (now := state(current)) != before and now[0]:
         before = now
-        current = stored(star(star(current, True), False))
+        current = stored(star(star(current, True), False), current)
     return current.select(F.col("u").alias("nd_node"), F.col("v").alias("nd_class"))
 
 
 def with_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """(id, class_id) for every row: class_id is the least id of the class."""
     signed = stored(signatures(docs, id_col, text, width))
-    classes = components(links(docs, signed, id_col, text, width, threshold))
+    found = links(docs, signed, id_col, text, width, threshold)
+    classes = components(found)
     named = signed.filter(F.col("nd_id").isNotNull() & (F.col("nd_words") > 0)).groupBy("nd_a", "nd_b").agg(F.min("nd_id").alias("nd_node"))
     placed = named.join(classes, "nd_node", "left").select("nd_a", "nd_b", F.coalesce("nd_class", "nd_node").alias("nd_class"))
     # equal texts may be very many: the classes are joined to rows, and skewed joins are split
@@ -312,7 +355,8 @@ def with_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     full = rows.filter("nd_words > 0").join(placed, ["nd_a", "nd_b"], "left")
     class_ = F.when(F.col("nd_id").isNotNull(), F.coalesce("nd_class", "nd_id"))
     out = full.select(F.col("nd_id").alias(id_col), class_.alias("class_id"))
-    return out.union(rows.filter("nd_words = 0").select("nd_id", "nd_id"))
+    out = out.union(rows.filter("nd_words = 0").select("nd_id", "nd_id"))
+    return stored(out, signed, found, classes)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
