@@ -8,6 +8,8 @@ document is taken.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,13 +25,15 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the least id, of each class of near-duplicates (operator 5).
 
-    Rows with the same id are one document. Rows without an id can't be named in a
-    class and all stay.
+    Rows with the same id are one document, and the least of them in the order of all
+    columns stays. Rows without an id can't be named in a class and all stay.
     """
     classes = neardup.with_classes(docs)
-    kept = classes.filter("doc_id = class_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
+    kept = classes.filter("doc_id = class_id").groupBy("doc_id").agg(F.count("*").alias("nd_rows"))
+    named = docs.join(kept, "doc_id")
+    several = named.filter("nd_rows > 1").groupBy("doc_id").agg(F.min(F.struct(*[c for c in docs.columns if c != "doc_id"])).alias("nd_row"))
+    parts = [named.filter("nd_rows = 1"), several.select("doc_id", "nd_row.*"), docs.filter("doc_id is null")]
+    return reduce(DataFrame.unionByName, [p.select(*docs.columns) for p in parts])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,7 +71,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        docs = stored(stage(spark, docs, sf_dir), docs)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
