@@ -13,7 +13,7 @@ Within a bucket all members are compared with its least node first. Then all pai
 bucket that are not of one class yet meet: the members outside the bucket's largest class
 ask all others, in salted blocks whose signatures are compared as arrays, and those that
 agree are compared. A comparison is exact: shared regions over all regions, 64-bit hashes.
-It is made in cells, to which each set of regions comes once. Classes are the connected
+Only links that join something new in their block leave it. Classes are the connected
 components of the links, found by alternating large-star and small-star steps on stored
 edge tables, which are deleted once they are superseded.
 
@@ -43,7 +43,7 @@ BANDS, ROWS = 24, 4
 #: Coordinates of 96 that must agree for a pair of the second turn to be compared. At a
 #: similarity of 0.8 fewer agree with probability 3e-6.
 AGREE = 58
-#: Members of a bucket on each side of a block of signatures, and sets on each side of a cell.
+#: Members of a bucket on each side of a block, and sets that meet a lead in one cell.
 BLOCK, CELL = 1024, 512
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -128,7 +128,7 @@ def _sign(width: int, bands: int, rows: int):
             regions, owner = unit_regions(*shingle_hashes(words, text, width))
             darts = dart_signatures(regions, owner, n, bands * rows)
             keys = band_keys(darts, rows).view(np.int64)
-            short = (darts >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            short = darts.astype(np.uint8).astype(np.int32)  # the high bits hold the coordinate
             has = count > 0
             lists = _list_array(pa.array(keys[has].ravel()), np.where(has, bands, 0))
             signs = _list_array(pa.array(short[has].ravel()), np.where(has, bands * rows, 0))
@@ -141,7 +141,7 @@ def _sign(width: int, bands: int, rows: int):
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(nd_id, nd_a, nd_b, nd_words, nd_bands, nd_sign): name of the word sequence, keys of its bands, its signature in 32 bits."""
+    """(nd_id, nd_a, nd_b, nd_words, nd_bands, nd_sign): name of the word sequence, keys of its bands, its signature in 8 bits a coordinate."""
     given = docs.select(F.col(id_col).alias("nd_id"), text_or_empty(text).alias("nd_text"))
     schema = given.drop("nd_text").schema.add("nd_a", "long").add("nd_b", "long").add("nd_words", "long").add("nd_bands", T.ArrayType(T.LongType())).add("nd_sign", T.ArrayType(T.IntegerType()))
     return given.mapInArrow(_sign(width, bands, rows), schema)
@@ -231,85 +231,93 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(_alike(threshold), pairs.select("nd_low", "nd_high").schema)
 
 
-def _agree(agree: int, tile: int = 256):
-    """Pairs of askers and others of a block whose signatures agree in ``agree`` coordinates and that share no earlier bucket."""
+def _meet(agree: int, threshold: float, tile: int = 256):
+    """Links of a block of askers and others that join different classes.
+
+    A pair is looked at in the first bucket that it shares, if its signatures agree in
+    ``agree`` coordinates; links that join nothing new in the block are left out.
+    """
     rows = lambda t, c: np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(t.num_rows, -1)
 
     def run(block: pa.Table) -> pa.Table:
         asks = block.column("nd_ask")
         asker, other = block.filter(asks), block.filter(pc.invert(asks))
-        node, lead = (t.column("nd_node").to_numpy() for t in (asker, other))
-        mine, theirs = (t.column("nd_class").to_numpy() for t in (asker, other))
+        node, lead = (t.column("nd_node").to_pylist() for t in (asker, other))
+        _, kinds = np.unique(np.r_[asker.column("nd_class").to_numpy(), other.column("nd_class").to_numpy()], return_inverse=True)
+        mine, theirs = kinds[: len(node)], kinds[len(node) :]
         x, y = rows(asker, "nd_sign"), np.ascontiguousarray(rows(other, "nd_sign").T)
         keys = [np.array(t.column("nd_bands").to_pylist(), np.int64) for t in (asker, other)]
+        sets = [np.frombuffer(v, np.uint64) for v in other.column("nd_set").to_pylist()]
+        size = np.array([len(v) for v in sets])
         band = block.column("nd_band")[0].as_py()
-        out = []
+        root = np.arange(kinds.max() + 1)  # classes that links of this block have joined
+        low, high = [], []
         for a in range(0, len(node), tile):
             count = np.zeros((len(node[a : a + tile]), len(lead)), np.uint8)
             for c in range(len(y)):
                 count += x[a : a + tile, c, None] == y[c]
-            i, j = np.nonzero(count >= agree)
-            i += a
-            keep = (mine[i] != theirs[j]) & (node[i] != lead[j])
-            i, j = i[keep], j[keep]
-            # a pair may share many buckets: it is told in the first
-            first = (keys[0][i] == keys[1][j]).argmax(axis=1) == band
-            out.append((i[first], j[first]))
-        i, j = (np.concatenate(z) for z in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
-        take = lambda t, c, k: t.column(c).take(pa.array(k))
-        return pa.table({"nd_node": take(asker, "nd_node", i), "nd_other": take(other, "nd_node", j), "nd_home": take(asker, "nd_home", i), "nd_there": take(other, "nd_home", j)})
+            for i, same in enumerate(count, a):
+                j = np.flatnonzero((same >= agree) & (root[theirs] != root[mine[i]]))
+                own = np.frombuffer(asker.column("nd_set")[i].as_py(), np.uint64)
+                j = j[(np.minimum(size[j], len(own)) >= threshold * np.maximum(size[j], len(own))) & (size[j] > 0)]
+                j = j[(keys[0][i] == keys[1][j]).argmax(axis=1) == band]
+                if not len(j):
+                    continue
+                values = np.concatenate([sets[k] for k in j])
+                both = np.add.reduceat((own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values).astype(np.int64), np.cumsum(size[j]) - size[j])
+                for k in j[both >= threshold * (size[j] + len(own) - both)]:
+                    if root[theirs[k]] != root[mine[i]]:
+                        root[root == root[theirs[k]]] = root[mine[i]]
+                        low.append(min(node[i], lead[k]))
+                        high.append(max(node[i], lead[k]))
+        kind = block.schema.field("nd_node").type
+        return pa.table({"nd_low": pa.array(low, kind), "nd_high": pa.array(high, kind)})
 
     return run
 
 
-def _meetings(open_: DataFrame, agree: int = AGREE) -> DataFrame:
-    """(nd_low, nd_high, nd_cell): pairs of an asker and any member of its bucket, of another class, that agree in ``agree`` coordinates.
+def meetings(rest: DataFrame, features: DataFrame, threshold: float, agree: int = AGREE) -> DataFrame:
+    """(nd_low, nd_high): links between members of a bucket that are of different classes.
 
-    Both sides are dealt into blocks by hash, and every block of askers meets every block
-    of members, so no task holds a bucket. nd_cell is made of the homes of the two nodes.
+    Of two members of different classes one at least isn't of the bucket's largest class,
+    and asks. Askers and members are dealt into blocks by hash, and every block of askers
+    meets every block of members, so no task holds a bucket.
     """
     bucket = ["nd_band", "nd_key"]
-    n_rows, n_columns = F.ceil(F.col("nd_asks") / BLOCK), F.ceil(F.col("nd_size") / BLOCK)
-    salt = lambda n: F.pmod(F.xxhash64("nd_node", F.lit(7)), n)
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    kept = [*bucket, "nd_node", "nd_class", "nd_home", "nd_sign", "nd_bands"]
-    rows = open_.filter("nd_class != nd_main").select(*kept, F.lit(True).alias("nd_ask"), salt(n_rows).alias("nd_row"), every(n_columns).alias("nd_column"))
-    columns = open_.select(*kept, F.lit(False).alias("nd_ask"), every(n_rows).alias("nd_row"), salt(n_columns).alias("nd_column"))
+    kinds = rest.groupBy(*bucket, "nd_class").agg(F.count("*").alias("nd_n"))
+    mixed = kinds.groupBy(*bucket).agg(F.sum("nd_n").alias("nd_size"), F.count("*").alias("nd_kinds"), F.max(F.struct("nd_n", "nd_class")).alias("m")).filter("nd_kinds > 1")
+    mixed = mixed.select(*bucket, F.col("m.nd_class").alias("nd_main"), F.ceil((F.col("nd_size") - F.col("m.nd_n")) / BLOCK).alias("nd_rows"), F.ceil(F.col("nd_size") / BLOCK).alias("nd_columns"))
+    open_ = stored(rest.join(mixed, bucket))
+    salt = lambda n: F.pmod(F.xxhash64("nd_node", F.lit(7)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    kept = [*bucket, "nd_node", "nd_class"]
+    rows = open_.filter("nd_class != nd_main").select(*kept, F.lit(True).alias("nd_ask"), salt("nd_rows").alias("nd_row"), every("nd_columns").alias("nd_column"))
+    columns = open_.select(*kept, F.lit(False).alias("nd_ask"), every("nd_rows").alias("nd_row"), salt("nd_columns").alias("nd_column"))
+    dealt = rows.unionByName(columns).join(features, "nd_node")
     id_ = open_.schema["nd_node"].dataType
-    schema = T.StructType().add("nd_node", id_).add("nd_other", id_).add("nd_home", "long").add("nd_there", "long")
-    pairs = rows.unionByName(columns).groupBy(*bucket, "nd_row", "nd_column").applyInArrow(_agree(agree), schema)
-    # two members that are not of the main class both ask
-    asked_low = F.col("nd_node") < F.col("nd_other")
-    side = lambda a, b, c: F.when(asked_low, F.col(a)).otherwise(F.col(b)).alias(c)
-    ordered = pairs.select(side("nd_node", "nd_other", "nd_low"), side("nd_other", "nd_node", "nd_high"), side("nd_home", "nd_there", "h"), side("nd_there", "nd_home", "t"))
-    return ordered.select("nd_low", "nd_high", F.xxhash64("h", "t").alias("nd_cell")).distinct()
+    found = dealt.groupBy(*bucket, "nd_row", "nd_column").applyInArrow(_meet(agree, threshold), T.StructType().add("nd_low", id_).add("nd_high", id_))
+    return stored(found.distinct(), open_)
 
 
 def links(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH, threshold: float = THRESHOLD) -> DataFrame:
     """(nd_low, nd_high): links of similarity ``threshold`` or more that connect the classes. A node is the least id of equal texts."""
-    bucket = ["nd_band", "nd_key"]
     nodes = stored(nodes_of(signed))
     members = stored(_members(nodes))
-    named = members.groupBy("nd_node").agg(F.max(F.struct("nd_n", "nd_key")).alias("nd_most"))
-    sets = stored(region_sets(docs, members.select("nd_node").distinct(), id_col, text, width))
-    spread = lambda key, n: F.xxhash64(key, F.pmod(F.xxhash64("nd_node", F.lit(3)), F.ceil(F.col(n) / CELL)))
+    sets = region_sets(docs, members.select("nd_node").distinct(), id_col, text, width)
+    # a byte a coordinate is compared: unequal ones look equal with 1/256, equal ones never unequal
+    brief = F.unhex(F.concat_ws("", F.transform("s.nd_sign", lambda v: F.lpad(F.hex(v.bitwiseAND(F.lit(255))), 2, "0"))))
+    signs = nodes.groupBy("nd_node").agg(F.min(F.struct("nd_bands", "nd_sign")).alias("s")).select("nd_node", "s.nd_bands", brief.alias("nd_sign"))
+    features = stored(sets.join(signs, "nd_node"), nodes)
     low, high = F.least("nd_node", "nd_lead").alias("nd_low"), F.greatest("nd_node", "nd_lead").alias("nd_high")
-    led = members.filter("nd_node != nd_lead").select(low, high, spread("nd_lead", "nd_n").alias("nd_cell")).groupBy("nd_low", "nd_high").agg(F.min("nd_cell").alias("nd_cell"))
-    found = stored(verified(led, sets, threshold))
-    classes = stored(components(found))
+    cell = F.xxhash64("nd_lead", F.pmod(F.xxhash64("nd_node", F.lit(3)), F.ceil(F.col("nd_n") / CELL))).alias("nd_cell")
+    led = members.filter("nd_node != nd_lead").select(low, high, cell).groupBy("nd_low", "nd_high").agg(F.min("nd_cell").alias("nd_cell"))
+    found = stored(verified(led, features.select("nd_node", "nd_set"), threshold))
+    classes = components(found)
     # the lead has met its whole bucket; the others have yet to meet those of other classes
-    home = F.xxhash64("nd_most.nd_key", F.pmod(F.xxhash64("nd_node", F.lit(3)), F.ceil(F.col("nd_most.nd_n") / CELL)))
-    placed = named.select("nd_node", home.alias("nd_home")).join(classes, "nd_node", "left").select("nd_node", "nd_home", F.coalesce("nd_class", "nd_node").alias("nd_class"))
-    rest = stored(members.filter("nd_node != nd_lead").select(*bucket, "nd_node").join(placed, "nd_node"))
-    kinds = rest.groupBy(*bucket, "nd_class").agg(F.count("*").alias("nd_n"))
-    mixed = kinds.groupBy(*bucket).agg(F.sum("nd_n").alias("nd_size"), F.count("*").alias("nd_kinds"), F.max(F.struct("nd_n", "nd_class")).alias("m")).filter("nd_kinds > 1")
-    # a byte a coordinate is compared: unequal ones look equal with 1/256, equal ones never unequal
-    brief = F.unhex(F.concat_ws("", F.transform("nd_sign", lambda v: F.lpad(F.hex(v.bitwiseAND(F.lit(255))), 2, "0"))))
-    signs = nodes.groupBy("nd_node").agg(F.min(F.struct("nd_bands", "nd_sign")).alias("s")).select("nd_node", "s.*")
-    open_ = rest.join(mixed.select(*bucket, "nd_size", (F.col("nd_size") - F.col("m.nd_n")).alias("nd_asks"), F.col("m.nd_class").alias("nd_main")), bucket)
-    # of two members of different classes one at least isn't of the largest, and asks
-    pairs = stored(_meetings(stored(open_.join(signs, "nd_node").withColumn("nd_sign", brief))))
-    return stored(found.union(verified(pairs, sets, threshold)), nodes, members, sets, rest, pairs)
+    rest = members.filter("nd_node != nd_lead").select("nd_band", "nd_key", "nd_node").join(classes, "nd_node", "left")
+    rest = stored(rest.withColumn("nd_class", F.coalesce("nd_class", "nd_node")), members, classes)
+    more = meetings(rest, features, threshold)
+    return stored(found.union(more), found, more, features, rest)
 
 
 def nodes_of(signed: DataFrame) -> DataFrame:
