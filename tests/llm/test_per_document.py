@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm import mixing, quality, secrets, tokens
 
@@ -137,6 +138,30 @@ def test_ownership_tells_examples_from_live_values(spark):
     assert {r["s_repos"] for r in got if not r["s_live"]} == {5}
 
 
+def test_owners_of_one_repository_tell_examples_too(spark):
+    rows = [(i, "hot", f"l{i % 4}", "token = EXAMPLEVALUE123") for i in range(8)] + [(9, "hot", "l0", "secret: live0live0live0")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, text string")
+    got = secrets.classify(secrets.with_spans(docs), ["doc_id"], "source", F.concat_ws("/", "source", "lang")).collect()
+    assert {r["doc_id"]: (r["s_live"], r["s_repos"], r["s_owners"]) for r in got} == {**{i: (False, 1, 4) for i in range(8)}, 9: (True, 1, 1)}
+
+
+def test_secrets_of_repeated_and_null_ids(spark, tmp_path):
+    rows = [(1, "a", "en", "token = live0live0live0"), (1, "a", "en", "token = live0live0live0"), (None, "b", "en", "token = other0other0x"), (1, "b", "en", "nothing"), (2, None, None, "x secret=hunter2hunter2 token=hunter2hunter2")]
+    spark.createDataFrame(rows, "doc_id long, source string, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r["doc_id"] or 0, r["n_assign"], r["n_live"], r["n_example"]) for r in secrets.op7_secret_scan(spark, str(tmp_path)).collect())
+    assert got == [(0, 1, 1, 0), (1, 0, 0, 0), (1, 1, 1, 0), (1, 1, 1, 0), (2, 2, 2, 0)]
+
+
+def test_secrets_of_hostile_and_very_long_texts(spark):
+    n = 350_000
+    texts = ["-----BEGIN " + "AB " * n, "eyJ" * n, "eyJaaaaaaaaa." * (n // 4), "token" + " " * 3 * n, "AKIA " * (n // 2), "a" * 3 * n, "ghp_" * n, "xoxb-" * n, "secret=abcdefgh " * 60_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8).withColumn("s_base", F.lit("clash"))
+    got = {r["doc_id"]: r["spans"] for r in secrets.with_spans(docs).selectExpr("doc_id", "transform(s_all, s -> concat_ws(':', s.kind, s.start, s.end)) spans").collect()}
+    for i, t in enumerate(texts):
+        kept = [s for s in got[i] if s.split(":")[0] in ("assign", "access", "hex")]
+        assert kept == [f"{k}:{a}:{b}" for a, _, b, k in base_spans(t)]
+
+
 def test_mix(spark, data):
     d, rows = data
     got = mixing.op10_systematic_mix(spark, d).collect()

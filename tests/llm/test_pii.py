@@ -104,3 +104,69 @@ def test_collisions_are_settled(spark, monkeypatch):
 
 def test_empty(spark, edge_dir):
     assert pii.op2_pii_surrogates(spark, f"{edge_dir}/none").count() == 0
+
+
+def test_coreference(spark):
+    rows = [
+        (1, "Mr John Smith met Mr. JOHN SMITH. Dr John Smith, John Smith; MR JOHN SMITH and John Smithson"),
+        (2, "+1 555 123 4567 or 555-123-4567"),
+        (3, "John Smith alone, in a text without a title"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    name = re.match(r"Mr (\w+n \w+n) met", got[1])[1]
+    assert got[1] == f"Mr {name} met Mr. {name.upper()}. Dr {name}, {name}; MR {name.upper()} and John Smithson"
+    a, b = re.fullmatch(r"\+1 (\d{3} \d{3} \d{4}) or (\d{3}-\d{3}-\d{4})", got[2]).groups()
+    assert a.replace(" ", "-") == b != "555-123-4567"
+    assert got[3] == rows[2][1]
+
+
+def test_brute_force(spark):
+    """Entities, and what is equal to what, as plain Python finds them; and the map is one to one."""
+    import random
+
+    rng = random.Random(2)
+    made = {
+        "email": lambda: f"{rng.choice('abc')}{rng.randrange(30)}@{rng.choice(['q.de', 'mail.x.org'])}",
+        "ip": lambda: f"10.{rng.randrange(3)}.0.{rng.randrange(9)}",
+        "card": lambda: f"49{rng.randrange(10**14):014d}",
+        "phone": lambda: f"+1 (0{rng.randrange(10)}7) 555-7{rng.randrange(900):03d}",
+    }
+    rows, want = [], []
+    for i in range(60):
+        parts, kinds = [], []
+        for _ in range(rng.randrange(9)):
+            kind = rng.choice([*made, "word"])
+            word = made[kind]() if kind in made else rng.choice(["plain", "text", "12", "a.b"])
+            parts.append(word)
+            kinds.append(kind)
+        rows.append((i, " ; ".join(parts)))
+        want.append(list(zip(kinds, parts)))
+    got = {r["doc_id"]: r["text"] for r in pii.with_surrogates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    there, back = {}, {}
+    for (i, text), parts in zip(rows, want):
+        after = got[i].split(" ; ") if text else []
+        assert len(after) == len(parts)
+        for (kind, x), y in zip(parts, after):
+            if kind == "word":
+                assert x == y
+            else:
+                assert pii_kind(y) == kind and x != y
+                assert there.setdefault(x, y) == y and back.setdefault(y, x) == x
+    assert not there.keys() & back.keys()
+
+
+def pii_kind(word):
+    return next(k for k, p in PLANTED.items() if p.fullmatch(word))
+
+
+def hostile(n):
+    """Long texts that make careless patterns recurse or run in quadratic time."""
+    return ["a@" + "b." * n, "a@" + "b-" * n, "a." * n, "1." * n, "+1" + "-" * 2 * n, "(12) " * n, "Mr " * n, "Mr Aa" + " Bb" * n, "x@" * n, "1 " * n, "+1 2 " * n, "Mr A" + "a" * 2 * n]
+
+
+def test_hostile_texts(spark):
+    rows = list(enumerate(hostile(500_000)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["n"] for r in pii.with_surrogates(docs).selectExpr("doc_id", "length(text) n").collect()}
+    assert got.keys() == dict(rows).keys()
+    assert all(got[i] == len(t) for i, t in rows if not t.startswith("Mr "))

@@ -357,14 +357,15 @@ def with_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     found = links(docs, signed, id_col, text, width, threshold)
     classes = components(found)
     named = signed.filter(F.col("nd_id").isNotNull() & (F.col("nd_words") > 0)).groupBy("nd_a", "nd_b").agg(F.min("nd_id").alias("nd_node"))
-    placed = named.join(classes, "nd_node", "left").select("nd_a", "nd_b", F.coalesce("nd_class", "nd_node").alias("nd_class"))
+    # stored, so that the join below is one of two tables and a key of very many rows can be split
+    placed = stored(named.join(classes, "nd_node", "left").select("nd_a", "nd_b", F.coalesce("nd_class", "nd_node").alias("nd_class")), classes)
     # equal texts may be very many: the classes are joined to rows, and skewed joins are split
     rows = signed.select("nd_id", "nd_a", "nd_b", "nd_words")
     full = rows.filter("nd_words > 0").join(placed, ["nd_a", "nd_b"], "left")
     class_ = F.when(F.col("nd_id").isNotNull(), F.coalesce("nd_class", "nd_id"))
     out = full.select(F.col("nd_id").alias(id_col), class_.alias("class_id"))
     out = out.union(rows.filter("nd_words = 0").select("nd_id", "nd_id"))
-    return stored(out, signed, found, classes)
+    return stored(out, signed, found, placed)
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

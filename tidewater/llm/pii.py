@@ -3,8 +3,11 @@
 Detected entities are replaced by surrogates of the same type. The corpus-wide table of
 distinct entities (type and canonical value) is made first, so one entity has one
 surrogate everywhere, however its occurrences are written: numbers are compared by their
-digits, addresses and names without regard to case, and the surrogate is written back in
-the form of each occurrence. Characters come from a keyed digest of the entity: letters
+digits (North American ones with or without country code), addresses and names without
+regard to case, names also without title, and the surrogate is written back in the form
+of each occurrence. A name is found after a title; a full name of two words and more is
+then found in the same text without one too. Its gender is that of its titles, if they
+agree. Characters come from a keyed digest of the entity: letters
 stay letters of their script, digits stay digits, card numbers keep their checksum state,
 names get names of the gender of their title.
 
@@ -17,9 +20,10 @@ Only texts with entities are shuffled, and only their (hash, place, entity) rows
 table. An entity may be in a third of all texts; rows are combined before the shuffle and
 skewed joins are split.
 
-Defined results: a null text stays null and counts as empty; repeated rows get equal
-results; other columns pass through, but those named pi_* are dropped; an empty table
-gives no rows.
+Defined results: a null text stays null and counts as empty; repeated rows, ties and null
+ids get equal results for equal texts; texts of any length are scanned whole, in linear
+time; other columns pass through, but those named pi_* are dropped; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.common import stored, table, text_or_empty
 
+#: Default key of the surrogates, for tests.
 KEY = "surrogates-1"
 _SEP = r"[ .\-/#*$%&!]"
 _L = r"\p{L}\p{N}"
@@ -40,15 +45,16 @@ TITLES = {
     "f": ["Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Señorita", "Госпожа"],
     "n": ["Dr", "Prof", "Professor"],
 }
-_TITLE = "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True))
+_FORMS = {g: [*ts, *(t.upper() for t in ts)] for g, ts in TITLES.items()}
+_TITLE = "|".join(t for ts in _FORMS.values() for t in sorted(ts, key=len, reverse=True))
 _NAME = r"\p{Lu}[\p{L}'’]+(?:[ \-]\p{Lu}[\p{L}'’]+){0,2}"
 #: Type -> pattern, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": rf"(?<![{_L}._+\-])[{_L}._+\-]++@(?:[{_L}\-]++\.)+\p{{L}}{{2,}}",
+    "email": rf"(?<![{_L}._+\-])[{_L}._+\-]++@[{_L}\-][{_L}\-.]*\.\p{{L}}{{2,}}",
     "ip": r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<!\d)(?:\d{4}(?:[ \-]?\d{4}){3}|\d{13,19})(?!\d)",
-    "phone": rf"(?<![{_L}+.\-])(?:\+\d{{8,15}}|\+\d{{1,3}}{_SEP}*(?:\(\d{{1,4}}\)|\d{{1,4}})(?:{_SEP}+\d{{2,4}}){{1,4}}|\(\d{{2,4}}\){_SEP}*\d{{3,4}}{_SEP}+\d{{3,4}}|\d{{3}}[\-. ]\d{{3}}[\-. ]\d{{4}})(?!\p{{N}})",
+    "phone": rf"(?<![{_L}+.\-])(?:\+\d{{8,15}}|\+\d{{1,3}}{_SEP}{{0,3}}(?:\(\d{{1,4}}\)|\d{{1,4}})(?:{_SEP}{{1,3}}\d{{2,4}}){{1,4}}|\(\d{{2,4}}\){_SEP}{{0,3}}\d{{3,4}}{_SEP}{{1,3}}\d{{3,4}}|\d{{3}}[\-. ]\d{{3}}[\-. ]\d{{4}})(?!\p{{N}})",
     "name": rf"\b(?:{_TITLE})\b\.? {_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -73,13 +79,35 @@ def _title(match: Column) -> Column:
     return F.regexp_extract(match, rf"^(?:{_TITLE})\b\.? ", 0)
 
 
+def _untitled(match: Column) -> Column:
+    return F.regexp_replace(match, rf"^(?:{_TITLE})\b\.? ", "")
+
+
 def canonical(kind: Column, match: Column) -> Column:
-    """The value by which occurrences are the same entity."""
+    """The value by which occurrences are the same entity: names without title and case, North American numbers without country code."""
     digits = F.concat(F.when(match.startswith("+"), "+").otherwise(""), F.regexp_replace(match, r"\D", ""))
-    gender = F.regexp_replace(_title(match), r"\.? $", "")
-    sex = F.when(gender.isin(TITLES["m"]), "m").when(gender.isin(TITLES["f"]), "f").otherwise("n")
-    name = F.concat(sex, F.lit(":"), F.lower(F.regexp_replace(match, rf"^(?:{_TITLE})\b\.? ", "")))
-    return F.when(kind.isin(*NUMBERS), digits).when(kind == "name", name).otherwise(F.lower(match))
+    phone = F.regexp_replace(digits, r"^\+1(?=\d{10}$)", "")
+    return F.when(kind == "phone", phone).when(kind.isin(*NUMBERS), digits).when(kind == "name", F.lower(_untitled(match))).otherwise(F.lower(match))
+
+
+def gender(match: Column) -> Column:
+    """m or f by the title of a match, null without one that tells."""
+    title = F.regexp_replace(_title(match), r"\.? $", "")
+    return F.when(title.isin(_FORMS["m"]), "m").when(title.isin(_FORMS["f"]), "f")
+
+
+def pattern_of(text: Column) -> Column:
+    """The pattern of a text: that of all types, and full names that stand after a title in it, in any case, wherever they stand."""
+    names = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(PATTERNS["name"]), F.lit(0)), lambda m: F.lower(_untitled(m))))
+    full = F.filter(names, lambda n: n.rlike("[ -]"))
+    longest = F.reverse(F.array_sort(F.transform(full, lambda n: F.struct(F.length(n).alias("n"), n.alias("s")))))
+    more = F.concat(F.lit(rf"{ANY}|(?<![{_L}])(?=\p{{Lu}})(?iu:"), F.array_join(F.transform(longest, lambda x: x["s"]), "|"), F.lit(rf")(?![{_L}])"))
+    return F.when(text.rlike(PATTERNS["name"]) & (F.size(full) > 0), more).otherwise(F.lit(ANY))
+
+
+def shown(kind: Column, value: Column) -> Column:
+    """A value without the gender that stands before names."""
+    return F.when(kind == "name", F.substr(value, F.lit(3))).otherwise(value)
 
 
 def _draw(digest: Column, i: Column, most: int) -> Column:
@@ -113,7 +141,7 @@ def _luhn(digits: Column) -> Column:
 
 def _name(value: Column, digest: Column) -> Column:
     """Made-up names, one for each word, of the script of the first letter and the gender before the colon."""
-    sex, words = F.substring(value, 1, 1), F.split(F.substring(value, 3, 1000), r"(?<=[ \-])")
+    sex, words = F.substring(value, 1, 1), F.split(F.substr(value, F.lit(3)), r"(?<=[ \-])")
 
     def made(script: str) -> Column:
         syllables = F.array(*[F.lit(s) for s in SYLLABLES[script]])
@@ -121,7 +149,7 @@ def _name(value: Column, digest: Column) -> Column:
         part = lambda i, k: F.get(syllables, _draw(digest, i * 5 + k, len(SYLLABLES[script])))
         return F.array_join(F.transform(words, lambda w, i: F.concat(part(i, 0), part(i, 1), part(i, 2), end, F.regexp_extract(w, r"[ \-]$", 0))), "")
 
-    letters = F.substring(value, 3, 1000)
+    letters = F.substr(value, F.lit(3))
     other = letters.rlike(r"^[\p{IsHan}\p{IsGreek}]")
     return F.concat(sex, F.lit(":"), F.when(letters.rlike(r"^\p{IsCyrillic}"), made("cyrillic")).when(other, _recharactered(letters, digest)).otherwise(made("latin")))
 
@@ -155,16 +183,18 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
     One round settles all entities whose candidates collide with nothing; those left, few
     and fewer, go on with the next attempt against all that are settled.
     """
-    values = entities.select("pi_kind", F.col("pi_value").alias("pi_surrogate"))
+    kind = F.col("pi_kind")
+    values = entities.select("pi_kind", shown(kind, F.col("pi_value")).alias("pi_shown"))
     waiting, settled, attempt = entities, None, 0
     while True:
         tried = waiting.withColumn("pi_surrogate", candidate(F.col("pi_kind"), F.col("pi_value"), F.lit(attempt), key))
-        taken = values if settled is None else values.union(settled.select("pi_kind", "pi_surrogate"))
-        first = F.row_number().over(Window.partitionBy("pi_kind", "pi_surrogate").orderBy("pi_value")) == 1
+        tried = tried.withColumn("pi_shown", shown(kind, F.col("pi_surrogate")))
+        taken = values if settled is None else values.union(settled.select("pi_kind", shown(kind, F.col("pi_surrogate"))))
+        first = F.row_number().over(Window.partitionBy("pi_kind", "pi_shown").orderBy("pi_value")) == 1
         tried = stored(
-            tried.join(taken.distinct().withColumn("pi_used", F.lit(True)), ["pi_kind", "pi_surrogate"], "left")
+            tried.join(taken.distinct().withColumn("pi_used", F.lit(True)), ["pi_kind", "pi_shown"], "left")
             .withColumn("pi_good", first & F.col("pi_used").isNull())
-            .drop("pi_used")
+            .drop("pi_used", "pi_shown")
         )
         good = tried.filter("pi_good").select("pi_kind", "pi_value", "pi_surrogate")
         settled = good if settled is None else settled.union(good)
@@ -176,7 +206,9 @@ def surrogate_table(entities: DataFrame, key: str = KEY) -> DataFrame:
 
 def rendered(kind: Column, match: Column, surrogate: Column) -> Column:
     """The surrogate in the form of one occurrence: its separators, title and case."""
-    digits = F.regexp_replace(surrogate, r"\D", "")
+    plain_digits = F.regexp_replace(surrogate, r"\D", "")
+    country = (kind == "phone") & match.startswith("+1") & (F.length(F.regexp_replace(match, r"\D", "")) == 11) & (F.length(plain_digits) < 11)
+    digits = F.when(country, F.concat(F.lit("1"), plain_digits)).otherwise(plain_digits)
     filled = F.aggregate(
         F.split(match, ""),
         F.struct(F.lit("").alias("s"), F.lit(1).alias("k")),
@@ -187,9 +219,9 @@ def rendered(kind: Column, match: Column, surrogate: Column) -> Column:
         lambda acc: F.concat(acc["s"], F.substring(digits, acc["k"], F.lit(99))),
     )
     title = _title(match)
-    plain = F.regexp_replace(match, rf"^(?:{_TITLE})\b\.? ", "")
+    plain = _untitled(match)
     cased = lambda like, s: F.when((like == F.upper(like)) & (like != F.lower(like)), F.upper(s)).otherwise(s)
-    proper = F.array_join(F.transform(F.split(F.substring(surrogate, 3, 1000), r"(?<=[ \-])"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), "")
+    proper = F.array_join(F.transform(F.split(shown(kind, surrogate), r"(?<=[ \-])"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
     return F.when(kind.isin(*NUMBERS), filled).when(kind == "name", F.concat(title, cased(plain, proper))).otherwise(cased(match, surrogate))
 
 
@@ -199,14 +231,19 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> Data
     given = docs.select(*own)
     has = F.coalesce(F.col(text).rlike(ANY), F.lit(False))
     found = given.filter(has).withColumn("pi_a", F.xxhash64(text)).withColumn("pi_b", F.hash(text))
-    each = found.select("pi_a", "pi_b", F.posexplode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("pi_at", "pi_match"))
+    pattern = pattern_of(F.col(text))
+    each = found.select("pi_a", "pi_b", F.posexplode(F.regexp_extract_all(text, pattern, F.lit(0))).alias("pi_at", "pi_match"))
     # texts that are equal have equal matches: one row for each text and place, and few in all
     each = stored(each.distinct().withColumn("pi_kind", kind_of(F.col("pi_match"))).withColumn("pi_value", canonical(F.col("pi_kind"), F.col("pi_match"))))
-    names = surrogate_table(each.select("pi_kind", "pi_value").distinct(), key)
+    sexes = F.collect_set(F.when(F.col("pi_kind") == "name", gender(F.col("pi_match")))).alias("pi_sexes")
+    sex = F.when(F.size("pi_sexes") == 1, F.col("pi_sexes")[0]).otherwise("n")
+    full = F.when(F.col("pi_kind") == "name", F.concat(sex, F.lit(":"), "pi_value")).otherwise(F.col("pi_value")).alias("pi_value")
+    names = surrogate_table(each.groupBy("pi_kind", "pi_value").agg(sexes).select("pi_kind", full), key)
+    names = names.withColumn("pi_value", shown(F.col("pi_kind"), F.col("pi_value")))
     placed = each.join(names, ["pi_kind", "pi_value"]).select("pi_a", "pi_b", F.struct("pi_at", "pi_kind", rendered(F.col("pi_kind"), F.col("pi_match"), F.col("pi_surrogate")).alias("new")).alias("pi_one"))
     by_text = placed.groupBy("pi_a", "pi_b").agg(F.array_sort(F.collect_list("pi_one")).alias("pi_all"))
     joined = found.join(by_text, ["pi_a", "pi_b"])
-    gaps = F.split(F.col(text), ANY, -1)
+    gaps = F.split(F.col(text), pattern, -1)
     filled = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("pi_all")), F.col("pi_all"), lambda g, e: F.concat(g, e["new"])), ""), F.element_at(gaps, -1))
     count = lambda k: F.size(F.filter("pi_all", lambda e: e["pi_kind"] == k)).cast("long")
     tally = F.map_from_arrays(F.array(*[F.lit(k) for k in PATTERNS]), F.array(*[count(k) for k in PATTERNS]))
@@ -215,6 +252,11 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> Data
     return replaced.union(given.filter(~has).select(*own, zero.alias("pi_counts")))
 
 
+def secret_key(spark: SparkSession) -> str:
+    """The session's ``tidewater.surrogate.key``, to be set to a secret in production."""
+    return spark.conf.get("tidewater.surrogate.key", KEY)
+
+
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), key=secret_key(spark))
     return out.select("doc_id", *[F.col("pi_counts")[k].alias(f"n_{k}") for k in PATTERNS], text_or_empty().alias("text"))

@@ -4,15 +4,18 @@ Spans come from patterns. The texts between the matches of a pattern and the mat
 themselves alternate, so running sums of their lengths give every span's place in code
 points. Each candidate value is hashed, and the corpus is asked how many distinct
 repositories (sources) and owners (source and language) hold it: a value spread over
-many repositories is a copied example, one that stays with an owner looks live.
+many repositories or owners is a copied example, one that stays with few looks live.
 
 Distinct counting runs in two steps (hash with repository and owner, then hash), each
 with partial aggregation, so a value that sits in a third of all documents costs one
 row a task. Only hashes are shuffled, never the values.
 
 Defined results: a null or empty text has no spans, counts of zero and the digest of
-the empty string; repeated rows are reported each; ties in place are ordered by kind;
-an empty table gives no rows.
+the empty string; repeated rows and null ids are reported each, with the same counts for
+the same values; a null source or language is one of its own; ties in place are ordered
+by kind; columns named s_base, s_added and s_all are replaced and others pass through;
+texts of any length are scanned whole, in time linear in their length; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import stored, table, text_or_empty
+from tidewater.llm.common import let, stored, table, text_or_empty
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -34,44 +37,47 @@ BASE = {
 }
 #: Kinds that the method adds.
 ADDED = {
-    "pem": (r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0),
+    "pem": (r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0),
     "hub": (r"gh[pousr]_[A-Za-z0-9]{36,}", 40),
     "chat": (r"xox[abprs]-[A-Za-z0-9-]{10,}", 15),
-    "jwt": (r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 28),
+    "jwt": (r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", 28),
 }
 LEAST_VALUE = 8
-#: A value in this many repositories is a copied example.
-EXAMPLE_REPOS = 3
+#: A value in this many repositories, or with this many owners, is a copied example.
+EXAMPLE_REPOS, EXAMPLE_OWNERS = 3, 4
+#: Matches of a text whose places are summed up together; places of chunks are summed up after.
+CHUNK = 256
 
 
 def _spans(t: Column, kind: str, order: int, pattern: str) -> Column:
     """Spans of one pattern: array of (start, rank, end, kind, value), code points, end exclusive."""
     found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
     between = F.split(t, pattern, -1)
-    ends = F.aggregate(
-        F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m"))),
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,value:string>>)").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + x["gap"]).alias("start"),
-                        F.lit(order).alias("rank"),
-                        (acc["at"] + x["gap"] + F.length(x["m"])).alias("end"),
-                        F.lit(kind).alias("kind"),
-                        x["m"].alias("value"),
-                    )
-                ),
-            ).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+    pieces = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("m")))
+    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,value:string>>)")
+
+    def placed(chunk: Column, at: Column) -> Column:
+        def one(acc: Column, x: Column) -> Column:
+            start, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + F.length(x["m"])
+            span = F.struct(start.alias("start"), F.lit(order).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["m"].alias("value"))
+            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+
+        return F.aggregate(chunk, F.struct(at.alias("at"), none.alias("out")), one, lambda acc: acc["out"])
+
+    # a list is copied when it grows: chunks keep a text of very many matches linear
+    def by_chunk(all_: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda c: F.slice(all_, c * CHUNK + 1, F.lit(CHUNK)))
+        starts = F.aggregate(
+            chunks,
+            F.array(F.lit(0)),
+            lambda acc, chunk: F.concat(acc, F.array(F.element_at(acc, -1) + F.aggregate(chunk, F.lit(0), lambda n, x: n + x["gap"] + F.length(x["m"])))),
+        )
+        return F.flatten(F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), placed))
+
+    ends = let(pieces, by_chunk)
     if kind == "assign":
         value = lambda s: F.regexp_extract(s["value"], pattern, 2)
         ends = F.transform(F.filter(ends, lambda s: F.length(value(s)) >= LEAST_VALUE), lambda s: s.withField("value", value(s)))
-    none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string,value:string>>)")
     return F.when(t.rlike(pattern), ends).otherwise(none)
 
 
@@ -100,24 +106,34 @@ def ownership(spanned: DataFrame, repo: str = "source", owner: Column | None = N
     return repos.groupBy("s_hash").agg(F.count("*").alias("s_repos"), F.sum("owners").alias("s_owners"), F.sum("n").alias("s_docs"))
 
 
-def classify(spanned: DataFrame, id_cols: list[str], repo: str = "source", owner: Column | None = None, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
+def is_live(repos: str = "s_repos", owners: str = "s_owners", example_repos: int = EXAMPLE_REPOS, example_owners: int = EXAMPLE_OWNERS) -> Column:
+    """Owner-specific: in few repositories and with few owners."""
+    return (F.col(repos) < example_repos) & (F.col(owners) < example_owners)
+
+
+def classify(spanned: DataFrame, id_cols: list[str], repo: str = "source", owner: Column | None = None, example_repos: int = EXAMPLE_REPOS, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
     """One row a span: id columns, kind, start, end, hash, its ownership and s_live (owner-specific)."""
     spans = spanned.select(*id_cols, F.explode("s_all").alias("s")).select(*id_cols, "s.kind", "s.start", "s.end", value_hash(F.col("s.value")).alias("s_hash"))
-    return spans.join(ownership(spanned, repo, owner), "s_hash").withColumn("s_live", F.col("s_repos") < example_repos)
+    return spans.join(ownership(spanned, repo, owner), "s_hash").withColumn("s_live", is_live("s_repos", "s_owners", example_repos, example_owners))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     # spans are few and small; they are read by the ownership count, its join and the report
     spanned = stored(with_spans(docs).drop("text"))
-    kinds = classify(spanned.filter(F.size("s_all") > 0), ["doc_id"], "source", F.concat_ws("/", "source", "lang"))
-    shares = kinds.groupBy("doc_id").agg(
-        F.count_if("s_live").alias("n_live"), F.count_if(~F.col("s_live")).alias("n_example"), F.max("s_repos").alias("most_repos")
+    # what is said of a row hangs on its values alone: lists of values are joined, so ids may repeat or be null
+    values = F.transform("s_all", lambda s: value_hash(s["value"]))
+    found = spanned.filter(F.size("s_all") > 0)
+    lists = found.select(F.sha2(F.array_join(values, ","), 256).alias("s_list"), values.alias("s_hashes")).groupBy("s_list").agg(F.first("s_hashes").alias("s_hashes"))
+    owned = lists.select("s_list", F.explode("s_hashes").alias("s_hash")).join(ownership(found, "source", F.concat_ws("/", "source", "lang")), "s_hash")
+    shares = owned.groupBy("s_list").agg(
+        F.count_if(is_live()).alias("n_live"), F.count_if(~is_live()).alias("n_example"), F.max("s_repos").alias("most_repos"), F.max("s_owners").alias("most_owners")
     )
     label = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("s_base", lambda s: s["kind"] == kind)).cast("long")
     return (
-        spanned.join(shares, "doc_id", "left")
+        spanned.withColumn("s_list", F.when(F.size("s_all") > 0, F.sha2(F.array_join(values, ","), 256)))
+        .join(shares, "s_list", "left")
         .select(
             "doc_id",
             count("assign").alias("n_assign"),
@@ -128,5 +144,6 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
             F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
             F.coalesce("most_repos", F.lit(0)).cast("long").alias("most_repos"),
+            F.coalesce("most_owners", F.lit(0)).cast("long").alias("most_owners"),
         )
     )
