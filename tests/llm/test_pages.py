@@ -89,3 +89,49 @@ def test_missing_and_extra_records(spark):
     got = {(r["id"], r["status"]) for r in fixity.audit(a, b, "id", ["t"], 8).collect() if r["status"] != "moved"}
     assert got == {(7, "corrupt"), (250, "missing"), (300, "extra")}
     assert fixity.audit(a, a, "id", ["t"]).count() == 0
+
+
+def site(words, k, ad="buy now", cls="header-story"):
+    """A site whose names mislead: the story stands in a div named like a header, a teaser in <article>, and a slogan in the story is on all pages."""
+    story = "".join(f"<p>{words} number {k} part {j} goes on for a while</p>" for j in range(16 + k % 5))
+    note = "<p>extra</p>" if k % 2 else ""
+    return f'<html><body><div class="top">Site of things</div><article>teaser {k}</article><div class="{cls}"><div>Our slogan here</div>{story}{note}</div><div>{ad} {k % 3}</div><footer>all rights {k}</footer></body></html>'
+
+
+def test_wrapper_decides_the_region(spark):
+    rows = [(k, "http://odd.example/x", site(f"story {k * 7}", k)) for k in range(30)] + [(100, "http://one.example/", site("lonely", 1))]
+    got = {r["page_id"]: r["text"] for r in wrappers.with_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), group=4).collect()}
+    for k in range(30):
+        want = [f"story {k * 7} number {k} part {j} goes on for a while" for j in range(16 + k % 5)] + ["extra"] * (k % 2)
+        assert got[k] == " ".join(want)
+        assert wrappers.main_text(rows[k][2], set()) == f"teaser {k}"  # what tags alone say
+    told = {r["wr_host"]: r for r in wrappers.wrappers(spark.createDataFrame(rows, "page_id long, url string, html string"), group=4).collect()}
+    assert told["odd.example"]["wr_region"] == "body:1/div.header-story:1"
+    assert {"Our slogan here", "Site of things"} <= set(told["odd.example"]["wr_frame"])
+
+
+def test_named_parts_of_an_article(spark):
+    article = lambda k: f'<body><article><h1>Title {k}</h1><div class="share-story" data-id="ad-1">' + "".join(f"<p>text {k} {j} is long enough</p>" for j in range(9)) + f'</div><div class="share">tell {k}</div><p data-id="menu">ad-hoc {k}</p></article></body>'
+    rows = [(k, "http://a.example/x", article(k)) for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in wrappers.with_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(6):
+        assert got[k] == f"Title {k} " + " ".join(f"text {k} {j} is long enough" for j in range(9)) + f" ad-hoc {k}"
+
+
+def test_alignment_of_wrappers_and_long_groups():
+    long_ = lambda n: [x for _ in range(n) for x in [("<", "li"), *[y for t in "abcdefgh" for y in (("<", t), ("", t), (">", t))], (">", "li")]]
+    assert [x[0] for x in wrappers.align(long_(1), long_(4))] == ["rep"]
+    pages = [wrappers.stream(wrappers.labelled(page(t, e, n))) for t, e, n in (("a", "", 1), ("b", "", 4), ("c", "<hr>", 2), ("d", "<table><tr><td>q</td></tr></table>", 2))]
+    whole = wrappers.merged([wrappers.merged(pages[:2]), wrappers.merged(pages[2:])])
+    assert {"Site name", "All rights reserved"} <= set(wrappers.frame_texts(whole))
+
+
+@pytest.mark.parametrize("hostile", ["<a" * 500_000, "<a " * 300_000 + '"', '<a b="' * 200_000, "<div>x" * 100_000, "<!--" * 200_000, "<script>" * 100_000, "<p><b>t" * 100_000, "</x>" * 200_000 + "<x>", "<a '>x" * 150_000])
+def test_linear_time(hostile):
+    import time
+
+    began = time.perf_counter()
+    wrappers.main_text(hostile, set())
+    wrappers.masses(wrappers.labelled(hostile), set())
+    wrappers.stream(wrappers.labelled(hostile))
+    assert time.perf_counter() - began < 30
