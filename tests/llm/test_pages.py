@@ -135,3 +135,27 @@ def test_linear_time(hostile):
     wrappers.masses(wrappers.labelled(hostile), set())
     wrappers.stream(wrappers.labelled(hostile))
     assert time.perf_counter() - began < 30
+
+
+def test_descent_follows_paths_only(spark):
+    rows = [(i, f"text {i}") for i in range(5000)]
+    faults = {17, 18, 2500, 4999}
+    a = spark.createDataFrame(rows, "id long, t string")
+    b = spark.createDataFrame([(i, t[:-1] if i in faults else t) for i, t in rows], "id long, t string")
+    trees = [fixity.tree(fixity.placed(fixity.records(d, "id", ["t"]))) for d in (a, b)]
+    levels = fixity.descent(*trees)
+    visited = sum(x.count() for x in levels)
+    assert visited <= 1 + len(faults) * len(levels) * fixity.FANOUT < len(rows) / 20
+    assert {r["no"] for r in levels[-1].filter("differs").collect()} == faults
+    assert {(r["id"], r["status"]) for r in fixity.audit(a, b, "id", ["t"]).collect()} == {(i, "corrupt") for i in faults}
+
+
+def test_audit_of_any_ids(spark):
+    rows = [(f"id{i}" if i % 3 else None, f"text {i}") for i in range(400)]
+    a = spark.createDataFrame(rows, "id string, t string")
+    b = spark.createDataFrame([(i, "x" if t == "text 7" else t) for i, t in rows], "id string, t string")
+    assert {(r["id"], r["status"], r["length"]) for r in fixity.audit(a, b, "id", ["t"]).collect()} == {("id7", "corrupt", 6)}
+    wide = [(i * 2**52 - 2**62, f"t{i}") for i in range(1000)]
+    got = sorted((r["fx_no"], r["fx_id"]) for r in fixity.placed(fixity.records(spark.createDataFrame(wide, "id long, t string"), "id", ["t"]), 16).collect())
+    assert got == [(i, w[0]) for i, w in enumerate(wide)]
+    assert [r["status"] for r in fixity.audit(a, a, "id", ["t"]).collect()] == []

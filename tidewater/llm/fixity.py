@@ -1,29 +1,34 @@
 """Merkle fixity audit of replicas of an archive.
 
 An archive is a table of records in order; each has a byte length and a digest. Records
-are leaves of a tree: a node covers ``FANOUT`` ** level neighbouring record numbers and
-its hash is that of its children's hashes and the byte range that it covers. A replica's
-root is one hash. Two replicas are compared from the root down, and only children of
-nodes that differ are looked at on the next level, so an audit reads the whole of a level
-only where corruption is everywhere.
+are leaves of a tree: a node covers ``FANOUT`` ** level neighbouring record numbers, and
+its hash is that of its children's lengths and hashes in order, and so of their offset
+ranges relative to its own begin. A replica's root is one hash. Two replicas are compared
+from the root down, and only children of nodes that differ are looked at on the next
+level: a changed record costs a path, also if its length has changed.
 
 Record numbers and offsets are running counts and sums over the whole archive, made in
-two levels (blocks of ids, then inside each block). Levels are grouped aggregates by
-node; each shrinks its input by ``FANOUT``, and no node has more children than that.
-
-Defined results: a null payload has length 0 and a digest of its own; records with the
-same id are ordered by digest; records that one replica lacks differ from there on in
-place but are told by id; empty replicas have equal roots and no findings.
+two levels (blocks of neighbouring ids, as wide as the number of records calls for, then
+inside each block). Levels are grouped aggregates by node; each shrinks its input by
+``FANOUT``, and no node has more children than that.
+
+Defined results: a null payload has length 0 and a digest of its own; whole-number ids
+are in their order, others in that of a digest; null ids come first; records with the
+same id are ordered by digest; if one replica lacks a record, those after it stand
+elsewhere and are told as moved; payloads of any length are hashed whole; columns besides
+id and payload are not looked at, and may have any name; empty replicas have equal roots
+and no findings.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.llm.common import stored, table
 
-FANOUT = 64
+FANOUT = 8
 BLOCK = 4096
 
 
@@ -36,7 +41,16 @@ def records(df: DataFrame, id_col: str, parts: list[str]) -> DataFrame:
 
 def placed(recs: DataFrame, block: int = BLOCK) -> DataFrame:
     """Adds fx_no (from 0) and fx_offset, in the order of ids, nulls first."""
-    based = recs.withColumn("fx_block", F.coalesce(F.floor(F.col("fx_id") / F.lit(block)), F.lit(-(2**62))))
+    whole = isinstance(recs.schema["fx_id"].dataType, T.IntegralType)
+    keyed = recs.withColumn("fx_key", F.col("fx_id").cast("long") if whole else F.when(F.col("fx_id").isNotNull(), F.xxhash64("fx_id")))
+    # so wide that a block has about ``block`` records; one row
+    low, high, n = keyed.agg(F.min("fx_key"), F.max("fx_key"), F.count("fx_key")).first()
+    width = max(1, ((high or 0) - (low or 0)) * block // max(n, 1))
+    span = F.lit(str(low or 0)).cast("decimal(38,0)")
+    numbered = F.floor((F.col("fx_key").cast("decimal(38,0)") - span) / F.lit(str(width)).cast("decimal(38,0)")).cast("long")
+    # null ids are in the order of their digests, whose first digits make blocks
+    unnamed = F.conv(F.substring("fx_hash", 1, 3), 16, 10).cast("long") - 4096
+    based = keyed.withColumn("fx_block", F.coalesce(numbered, unnamed))
     sums = based.groupBy("fx_block").agg(F.count("*").alias("n"), F.sum("fx_len").alias("bytes"))
     # blocks of blocks, so that the running sum over all blocks is short in every task
     upper = sums.withColumn("fx_upper", F.floor(F.col("fx_block") / F.lit(block)))
@@ -45,50 +59,54 @@ def placed(recs: DataFrame, block: int = BLOCK) -> DataFrame:
     tops = tops.select("fx_upper", (F.sum("n").over(along) - F.col("n")).alias("n_top"), (F.sum("bytes").over(along) - F.col("bytes")).alias("b_top"))
     inner = Window.partitionBy("fx_upper").orderBy("fx_block")
     starts = upper.join(tops, "fx_upper").select("fx_block", (F.col("n_top") + F.sum("n").over(inner) - F.col("n")).alias("n0"), (F.col("b_top") + F.sum("bytes").over(inner) - F.col("bytes")).alias("b0"))
-    w = Window.partitionBy("fx_block").orderBy(F.col("fx_id").asc_nulls_first(), "fx_hash")
+    w = Window.partitionBy("fx_block").orderBy(F.col("fx_key").asc_nulls_first(), F.col("fx_id").asc_nulls_first(), "fx_hash")
     return based.join(starts, "fx_block").select(
         "fx_id", "fx_len", "fx_hash", (F.col("n0") + F.row_number().over(w) - 1).alias("fx_no"), (F.col("b0") + F.sum("fx_len").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("fx_len")).alias("fx_offset")
     )
 
 
 def _node(children: Column) -> Column:
-    return F.sha2(F.array_join(F.transform(F.array_sort(children), lambda c: F.concat_ws(":", c["no"].cast("string"), c["from"].cast("string"), c["to"].cast("string"), c["hash"])), ","), 256)
+    return F.sha2(F.array_join(F.transform(F.array_sort(children), lambda c: F.concat_ws(":", c["len"].cast("string"), c["hash"])), ","), 256)
 
 
 def tree(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels of (no, from, to, hash), the leaves first, the root's level last; each stored."""
-    level = stored(leaves.select(F.col("fx_no").alias("no"), F.col("fx_offset").alias("from"), (F.col("fx_offset") + F.col("fx_len")).alias("to"), F.col("fx_hash").alias("hash")))
+    """Levels of (no, len, hash), the leaves first, the root's level last; each stored."""
+    level = stored(leaves.select(F.col("fx_no").alias("no"), F.col("fx_len").alias("len"), F.col("fx_hash").alias("hash")))
     levels = [level]
     while level.filter("no > 0").limit(1).count():
-        children = F.collect_list(F.struct("no", "from", "to", "hash"))
-        level = stored(level.groupBy(F.floor(F.col("no") / fanout).alias("no")).agg(F.min("from").alias("from"), F.max("to").alias("to"), _node(children).alias("hash")).select("no", "from", "to", "hash"))
+        children = F.collect_list(F.struct("no", "len", "hash"))
+        level = stored(level.groupBy(F.floor(F.col("no") / fanout).alias("no")).agg(F.sum("len").alias("len"), _node(children).alias("hash")).select("no", "len", "hash"))
         levels.append(level)
     return levels
 
 
-def differing(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
-    """(no, a_hash, b_hash) of the leaves that differ, found from the roots down."""
-    top = max(len(a), len(b)) - 1
-    suspects = None
-    for k in range(top, -1, -1):
-        side = lambda levels, name: (levels[k] if k < len(levels) else levels[-1].limit(0)).select("no", F.struct("from", "to", "hash").alias(name))
+def descent(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> list[DataFrame]:
+    """The nodes that are compared on each level (no, differs), from the roots down to the leaves; each stored."""
+    out = []
+    for k in range(max(len(a), len(b)) - 1, -1, -1):
+        side = lambda levels, name: (levels[k] if k < len(levels) else levels[-1].limit(0)).select("no", F.struct("len", "hash").alias(name))
         x, y = side(a, "x"), side(b, "y")
-        if suspects is not None:
-            parent = F.floor(F.col("no") / fanout)
-            x, y = (s.withColumn("p", parent).join(suspects, "p", "left_semi").drop("p") for s in (x, y))
-        found = stored(x.join(y, "no", "full").filter(~F.col("x").eqNullSafe(F.col("y"))))
-        suspects = found.select(F.col("no").alias("p"))
-    return found.select("no", F.col("x.from").alias("a_from"), F.col("x.to").alias("a_to"), F.col("x.hash").alias("a_hash"), F.col("y.hash").alias("b_hash"))
+        if out:
+            suspects = out[-1].filter("differs").select(F.col("no").alias("p"))
+            x, y = (s.withColumn("p", F.floor(F.col("no") / fanout)).join(suspects, "p", "left_semi").drop("p") for s in (x, y))
+        out.append(stored(x.join(y, "no", "full").select("no", (~F.col("x").eqNullSafe(F.col("y"))).alias("differs"))))
+    return out
+
+
+def differing(a: list[DataFrame], b: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
+    """(no) of the leaves that differ, found from the roots down."""
+    found = descent(a, b, fanout)
+    return stored(found[-1].filter("differs").select("no"), *a, *b, *found)
 
 
 def audit(a: DataFrame, b: DataFrame, id_col: str, parts: list[str], fanout: int = FANOUT) -> DataFrame:
     """Where replica ``b`` isn't ``a``: (id, record_no, offset, length, status) in terms of ``a``.
 
     status: corrupt (same id, other bytes), missing or extra (the id is on one side only)
-    or moved (the record is whole, but stands elsewhere since others are missing).
+    or moved (the record is whole, but stands elsewhere since others are missing or extra).
     """
     x, y = stored(placed(records(a, id_col, parts))), stored(placed(records(b, id_col, parts)))
-    bad = differing(tree(x, fanout), tree(y, fanout), fanout).select("no")
+    bad = differing(tree(x, fanout), tree(y, fanout), fanout)
     mine = x.join(bad, x["fx_no"] == bad["no"], "left_semi").alias("x")
     other = y.join(bad, y["fx_no"] == bad["no"], "left_semi").alias("y")
     # equal ids are told apart by their order
@@ -109,9 +127,9 @@ def replica(pages: DataFrame) -> DataFrame:
 
 
 def op8_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page whose record in the faulty replica differs or has moved, with its place in the first."""
+    """Every page whose record in the faulty replica differs, with its place in the first."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return audit(pages, replica(pages), "page_id", ["url", "html"]).filter("status != 'moved'")
+    return audit(pages, replica(pages), "page_id", ["url", "html"])
 
 
 OP8_SQL = r"""
