@@ -124,7 +124,11 @@ def test_samples_and_splits_are_stable(spark):
     df = spark.range(5000).select("id", (F.col("id") % 5 == 0).cast("int").alias("y"))
     s = features.stratified_sample(df, "y", 1000, "id")
     assert 850 < s.count() < 1150 and abs(s.agg(F.avg("y")).first()[0] - 0.2) < 0.05
+    assert s.count() == 1000 and s.agg(F.sum("y")).first()[0] == 200
     train, test = features.split_stratified(df, "y", "id")
+    assert test.count() == 1000 and test.agg(F.sum("y")).first()[0] == 200
+    folds = features.stratified_folds(df, "y", "id").groupBy("fold").agg(F.count("*"), F.sum("y")).collect()
+    assert sorted(map(tuple, folds)) == [(i, 1000, 200) for i in range(5)]
     assert train.count() + test.count() == 5000 and train.join(test, "id").count() == 0
     assert features.sample_n(df, 10, "id").collect() == features.sample_n(df.repartition(7), 10, "id").collect()
 
@@ -164,3 +168,26 @@ def test_reports(spark):
 def test_checks(events):
     assert validate.check_columns(events([])) == ["item_id", "session_id"]
     assert not validate.check_funnel(events([(1, 0, "buy")])).first()["passed"]
+
+
+def test_every_typo_is_mended(spark):
+    from tidewater.operators import clean
+
+    rows = [(k,) for k in clean.EVENT_TYPOS]
+    got = clean.remap(spark.createDataFrame(rows, "event_type string"), "event_type", clean.EVENT_TYPOS).groupBy("event_type").count().collect()
+    assert {tuple(r) for r in got} == {(k, 4) for k in ("click", "login", "logout", "payment")}
+
+
+def test_the_elt_summary_sums_users_once(spark, sf):
+    """One deduplicated branch for the rows, one for the suspects; none is repeated for the statistics."""
+    import contextlib
+    import io
+
+    from tidewater.plans import jobs, registry
+    from tidewater.plans.shapes import behavior
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        jobs.elt_funnel(behavior(spark, sf), registry.ELT).explain()
+    plan = out.getvalue().split("Initial Plan")[0]
+    assert plan.count("FileScan") <= 2 and plan.count("CartesianProduct") == 0 and "BroadcastNestedLoopJoin" not in plan

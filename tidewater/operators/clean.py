@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 
 #: Misspelt event types of raw logs and what they stand for.
 EVENT_TYPOS = {
-    "logn": "login", "lgin": "login", "logiin": "login", "log_in": "login",
-    "clik": "click", "clck": "click", "cliick": "click", "clicck": "click",
-    "paymnt": "payment", "pyment": "payment", "paymment": "payment", "pay_ment": "payment",
-    "logot": "logout", "lgout": "logout", "logoout": "logout", "log_out": "logout",
-}
+    "clik": "click", "clic": "click", "clcik": "click", "clikc": "click",
+    "loign": "login", "logn": "login", "logi": "login", "lgoin": "login",
+    "logut": "logout", "lgout": "logout", "logot": "logout", "loout": "logout",
+    "paymet": "payment", "payent": "payment", "pymt": "payment", "paymant": "payment",
+}
 
 
 def drop_blank(df: DataFrame, col: str) -> DataFrame:

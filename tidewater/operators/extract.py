@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -68,6 +69,6 @@ def quality_gate(df: DataFrame, required: list[str], domains: dict[str, list], l
 
 
 def ab_test(df: DataFrame, key: str, text: str, clients: dict[str, Callable[[str], str]], **options) -> DataFrame:
-    """Both clients' validated replies over the same rows, one row a model and key, with model_id."""
+    """All clients' validated replies over the same rows, one row a model and key, with model_id."""
     runs = [validate_reply(extract(df.select(key, text), text, c, **options), "reply").withColumn("model_id", F.lit(m)) for m, c in clients.items()]
-    return runs[0].unionByName(runs[1])
+    return reduce(DataFrame.unionByName, runs)

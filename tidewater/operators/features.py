@@ -37,17 +37,36 @@ def time_features(df: DataFrame, ts: str = "timestamp") -> DataFrame:
 
 
 def _hashed(key: str, seed: int) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
+
+
+def class_ranks(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
+    """Adds _rank (from 1, in the order of a digest of key and seed) within the class and _class, the size of it.
+
+    Ranks come in two levels, blocks of the digest first, so no task sorts a class. Rows
+    of one key are in the order of their class only, so keys should be unique.
+    """
+    based = df.withColumn("_hash", _hashed(key, seed)).withColumn("_block", F.substring("_hash", 1, 3)).withColumn("_label", F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("")))
+    counts = based.groupBy("_label", "_block").agg(F.count("*").alias("_n"))
+    along = Window.partitionBy("_label").orderBy("_block")  # at most 4096 rows a class
+    before = counts.select("_label", "_block", (F.sum("_n").over(along) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("_label")).alias("_class"))
+    inside = Window.partitionBy("_label", "_block").orderBy("_hash")
+    return based.join(before, ["_label", "_block"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside)).drop("_hash", "_block", "_before")
 
 
 def stratified_sample(df: DataFrame, label: str, n: int, key: str, seed: int = 42) -> DataFrame:
-    """About ``n`` rows in the classes' own proportions; the choice hangs on key and seed only.
+    """``n`` rows (all, if there are fewer) in the classes' own proportions; the choice hangs on key and seed only.
 
-    A row is taken if its hash is in the share n / rows, so no class is sorted.
+    A class gives the whole part of its share, the largest class also what is then left.
     """
-    total = df.count()
-    share = min(1.0, n / total) if total else 0.0
-    return df.filter(F.pmod(F.xxhash64(F.col(label), F.col(key), F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    ranked = class_ranks(df, label, key, seed)
+    sizes = df.groupBy(F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit("")).alias("_label")).agg(F.count("*").alias("c"))
+    every = Window.partitionBy()  # one row a class
+    part = F.floor(F.least(F.lit(n), F.sum("c").over(every)) * F.col("c") / F.sum("c").over(every))
+    quotas = sizes.select("_label", "c", part.alias("q"), F.least(F.lit(n), F.sum("c").over(every)).alias("n"))
+    first = F.row_number().over(Window.orderBy(F.desc("c"), "_label")) == 1
+    quotas = quotas.select("_label", (F.col("q") + F.when(first, F.col("n") - F.sum("q").over(every)).otherwise(0)).alias("_quota"))
+    return ranked.join(quotas, "_label").filter("_rank <= _quota").select(*df.columns)
 
 
 def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -55,15 +74,23 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 
 
 def split_stratified(df: DataFrame, label: str, key: str, test: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Train and test rows; a row's side hangs on its class, key and seed only."""
-    side = F.pmod(F.xxhash64(F.col(label), F.col(key), F.lit(seed)), F.lit(10**6)) < int(test * 10**6)
-    return df.filter(~side), df.filter(side)
+    """Train and test rows; of each class the rounded share ``test`` is for the test."""
+    ranked = class_ranks(df, label, key, seed)
+    side = F.col("_rank") <= F.floor(F.col("_class") * F.lit(test) + 0.5)
+    return ranked.filter(~side).select(*df.columns), ranked.filter(side).select(*df.columns)
+
+
+def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """Adds ``fold`` (from 0): each class is dealt evenly to the folds."""
+    return class_ranks(df, label, key, seed).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).select(*df.columns, "fold")
 
 
 def char_tfidf(df: DataFrame, key: str, col: str, k: int = 500) -> DataFrame:
     """(key, term, weight): characters weighted by count and smoothed rarity, of length 1 a row."""
-    docs = df.filter(F.col(col).isNotNull())
-    each = docs.select(key, F.explode(F.split(F.lower(col), "")).alias("term")).filter("term != ''").groupBy(key, "term").agg(F.count("*").alias("tf"))
+    docs = df.filter(F.col(col).isNotNull()).select(key, F.lower(col).alias("_t"))
+    # a row's characters are counted within the row
+    counted = F.transform(F.array_distinct(F.split("_t", "")), lambda c: F.struct(c.alias("term"), (F.length("_t") - F.length(F.replace(F.col("_t"), c, F.lit("")))).cast("long").alias("tf")))
+    each = docs.select(key, F.explode(counted).alias("e")).select(key, "e.term", "e.tf").filter("term != ''")
     stats = each.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
     kept = stats.orderBy(F.desc("cf"), "term").limit(k)
     n = docs.agg(F.count("*").alias("n"))
@@ -73,6 +100,14 @@ def char_tfidf(df: DataFrame, key: str, col: str, k: int = 500) -> DataFrame:
     return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
+def to_vectors(entries: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, vector): the entries of a row as an array over the ``k`` terms, in the order of the terms."""
+    terms = entries.select("term").distinct()
+    places = terms.withColumn("_i", F.row_number().over(Window.orderBy("term")) - 1)  # at most k rows
+    by_row = entries.join(F.broadcast(places), "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_i", "weight"))).alias("_m"))
+    return by_row.select(key, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))).alias("vector"))
+
+
 def vector_density(entries: DataFrame, key: str, k: int) -> DataFrame:
     return entries.groupBy(key).agg(F.count("*").alias("c")).agg(F.round(F.sum("c") / (F.count("*") * k), 6).alias("density"))
 

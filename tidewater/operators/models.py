@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import statistics
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.features import split_stratified, time_features
+from tidewater.operators.features import split_stratified, stratified_folds, time_features
 
 FEATURES = ("category_id", "hour", "dayofweek")
 MESSAGE = 50
@@ -22,21 +24,25 @@ def purchase_features(df: DataFrame, value: str = "buy") -> DataFrame:
 
 
 def train_purchase_model(df: DataFrame, trees: int = 100, depth: int = 10, seed: int = 42) -> PipelineModel:
-    """Impute, assemble, random forest. Trees need no scaling."""
+    """Impute, assemble, scale, random forest."""
     filled = [f"{c}_filled" for c in FEATURES]
-    steps = [Imputer(inputCols=list(FEATURES), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="features"), RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)]
+    steps = [Imputer(inputCols=list(FEATURES), outputCols=filled, strategy="median"), VectorAssembler(inputCols=filled, outputCol="raw_features"), StandardScaler(inputCol="raw_features", outputCol="features", withMean=True), RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed)]
     return Pipeline(stages=steps).fit(df.filter(F.col("label").isNotNull()))
 
 
-def cross_validate(df: DataFrame, key: str, k: int = 5, hard_labels: bool = False, **options) -> list[tuple[float, float]]:
-    """(accuracy, AUC) of each fold; a row's fold hangs on class and key."""
-    folded = df.withColumn("fold", F.pmod(F.xxhash64("label", key), F.lit(k)))
-    out = []
-    for i in range(k):
-        scored = train_purchase_model(folded.filter(F.col("fold") != i), **options).transform(folded.filter(F.col("fold") == i))
-        accuracy = scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0]
-        out.append((accuracy, BinaryClassificationEvaluator(rawPredictionCol="prediction" if hard_labels else "probability").evaluate(scored)))
-    return out
+def cross_validate(df: DataFrame, key: str, k: int = 5, hard_labels: bool = False, **options) -> list[tuple[str, float, float]]:
+    """(fold, accuracy, AUC) of each of ``k`` stratified folds, then their mean and population deviation."""
+    folded = stratified_folds(df.filter(F.col("label").isNotNull()), "label", key, k).persist()
+    try:
+        out = []
+        for i in range(k):
+            scored = train_purchase_model(folded.filter(F.col("fold") != i), **options).transform(folded.filter(F.col("fold") == i))
+            accuracy = scored.agg(F.avg((F.col("label") == F.col("prediction")).cast("int"))).first()[0]
+            out.append((str(i), accuracy, BinaryClassificationEvaluator(rawPredictionCol="prediction" if hard_labels else "probability").evaluate(scored)))
+    finally:
+        folded.unpersist()
+    columns = list(zip(*out))[1:]
+    return [*out, ("mean", *map(statistics.fmean, columns)), ("std", *map(statistics.pstdev, columns))]
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -79,15 +85,20 @@ def fuse(df: DataFrame, cols: list[str], out: str = "features") -> DataFrame:
     return VectorAssembler(inputCols=cols, outputCol=out, handleInvalid="keep").transform(df)
 
 
-def ablation(df: DataFrame, arms: dict[str, list[str]], key: str, label: str = "label", rounds: int = 20, seed: int = 42) -> list[tuple[str, float, float]]:
-    """(arm, accuracy, AUC) of boosted trees on each set of columns, on one split for all."""
-    train, test = split_stratified(df, label, key, 0.2, seed)
+def ablation(df: DataFrame, arms: dict[str, list[str]], key: str, label: str = "label", rounds: int = 100, depth: int = 5, seed: int = 42) -> list[tuple[str, float, float, PipelineModel]]:
+    """(arm, accuracy, AUC, model) of boosted trees on each set of columns, on one stratified split for all."""
+    train, test = (x.persist() for x in split_stratified(df, label, key, 0.2, seed))
     out = []
-    for arm, cols in arms.items():
-        steps = [VectorAssembler(inputCols=cols, outputCol="features"), GBTClassifier(labelCol=label, maxIter=rounds, seed=seed)]
-        scored = Pipeline(stages=steps).fit(train).transform(test)
-        accuracy = scored.agg(F.avg((F.col(label) == F.col("prediction")).cast("int"))).first()[0]
-        out.append((arm, accuracy, BinaryClassificationEvaluator(labelCol=label).evaluate(scored)))
+    try:
+        for arm, cols in arms.items():
+            steps = [VectorAssembler(inputCols=cols, outputCol="features"), GBTClassifier(labelCol=label, maxIter=rounds, maxDepth=depth, seed=seed)]
+            model = Pipeline(stages=steps).fit(train)
+            scored = model.transform(test)
+            accuracy = scored.agg(F.avg((F.col(label) == F.col("prediction")).cast("int"))).first()[0]
+            out.append((arm, accuracy, BinaryClassificationEvaluator(labelCol=label).evaluate(scored), model))
+    finally:
+        train.unpersist()
+        test.unpersist()
     return out
 
 

@@ -85,6 +85,14 @@ def duplicate_count(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return df.groupBy(*(keys or df.columns)).agg(F.count("*").alias("c")).agg(F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("n_duplicates"), F.count_if(F.col("c") > 1).alias("n_keys"))
 
 
+def duplicate_report(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows before and after deduplication by ``keys``, how many go, and both shares in per cent."""
+    by = df.groupBy(*keys).agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n_before"), F.count("*").alias("n_after"))
+    share = lambda part: F.round(F.when(F.col("n_before") > 0, part * 100.0 / F.col("n_before")), 4)
+    gone = F.col("n_before") - F.col("n_after")
+    return by.select("n_before", "n_after", gone.alias("n_duplicates"), share(gone).alias("duplicate_rate"), share(F.col("n_after")).alias("kept_rate"))
+
+
 def class_balance(df: DataFrame, label: str) -> DataFrame:
     return value_shares(df, label, 6)
 
@@ -99,8 +107,8 @@ def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None) ->
     return joined.filter(F.col(col).isNotNull()).groupBy(*keys, bin_.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def cleaning_report(df: DataFrame) -> DataFrame:
+def cleaning_report(df: DataFrame, kinds: tuple = ("pv", "cart", "fav", "buy")) -> DataFrame:
     return df.agg(
-        F.count("*").alias("n_rows"), F.count_if(F.col("behavior_type") == "pv").alias("n_pv"), F.count_if(F.col("behavior_type") == "buy").alias("n_buy"), F.min("timestamp").alias("min_epoch"), F.max("timestamp").alias("max_epoch"),
+        F.count("*").alias("n_rows"), F.max(F.lit(len(df.columns))).alias("n_columns"), *[F.count_if(F.col("behavior_type") == k).alias(f"n_{k}") for k in kinds], F.min("timestamp").alias("min_epoch"), F.max("timestamp").alias("max_epoch"),
         F.count_distinct("user_id").alias("n_users"), F.count_distinct("item_id").alias("n_items"), F.count_distinct("category_id").alias("n_categories"),
     )

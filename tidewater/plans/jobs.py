@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.operators import bots, clean, extract, features, funnel, profile, report, sessions
+from tidewater.operators import bots, clean, extract, features, funnel, models, profile, report, sessions
 from tidewater.sources import io
+from tidewater.streaming import streams
 
 
 @dataclass
@@ -40,10 +43,11 @@ def elt(events: DataFrame, c: EltConfig) -> DataFrame:
 
 
 def elt_funnel(events: DataFrame, c: EltConfig) -> DataFrame:
-    """The job's summary: sessions, users, and the funnel over what is kept."""
+    """The job's summary: rows, users, sessions, and the funnel over what is kept; each user is summed up once."""
     kept = elt(events, c)
-    stats = kept.agg(F.count("*").alias("n_rows"), F.count_distinct("user_id").alias("n_users"), F.count_distinct("session_id").alias("n_sessions"))
-    return stats.crossJoin(funnel.funnel(funnel.behavior_matrix(kept)))  # one row each
+    users = funnel.behavior_matrix(kept, extra=[F.count("*").alias("rows_"), F.count_distinct("session_id").alias("sessions_")])
+    stats = [F.coalesce(F.sum("rows_"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_users"), F.coalesce(F.sum("sessions_"), F.lit(0)).alias("n_sessions")]
+    return funnel.funnel(users, extra=stats)
 
 
 def elt_to(spark: SparkSession, source: str, target: str, c: EltConfig) -> DataFrame:
@@ -69,11 +73,36 @@ def clean_behavior(events: DataFrame, low: int, high: int, kinds: tuple = ("pv",
     return clean.keep_positive(clean.add_time_columns(clean.keep_between(kept, "timestamp", low, high)), ["user_id", "item_id"])
 
 
+def clean_logs_to(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Raw logs (CSV with a header) to clean Parquet; what that saves."""
+    io.write_parquet(clean_logs(io.read_csv(spark, source, multiline=True)), target)
+    return io.storage_report(spark, source, target)
+
+
+def clean_behavior_to(spark: SparkSession, events: DataFrame, target: str, low: int, high: int) -> DataFrame:
+    """Clean behaviour to Parquet; the report of what is there."""
+    io.write_parquet(clean_behavior(events, low, high), target)
+    return profile.cleaning_report(io.read_table(spark, target))
+
+
 def clean_to_partitions(spark: SparkSession, events: DataFrame, path: str) -> DataFrame:
     io.write_partitioned(clean.keep_valid_events(events), path, ["behavior_type"])
     return io.read_partitioned(spark, path)
 
 
+def partitions_report(spark: SparkSession, source: str, target: str) -> tuple[DataFrame, DataFrame]:
+    """Behaviour CSV without a header to folders by behaviour; the storage and the layout report."""
+    stored = clean_to_partitions(spark, io.read_behavior_csv(spark, source), target)
+    return io.storage_report(spark, source, target), io.layout_report(stored, ["behavior_type"])
+
+
+def score_stream_job(spark: SparkSession, source: str, model: PipelineModel, folder: str, max_files: int = 1, strict: bool = False) -> DataFrame:
+    """Scores behaviour CSV as a stream until all that is there is done; tallies of scored rows and dead letters."""
+    query = streams.stream_score(streams.stream_behavior(spark, source, max_files), model, f"{folder}/good", f"{folder}/dead", f"{folder}/checkpoint", strict=strict)
+    query.awaitTermination()
+    return streams.tallies(spark, f"{folder}/good", f"{folder}/dead")
+
+
 def dashboard(reviews: DataFrame) -> dict[str, DataFrame]:
     """The dashboard's queries over one table; persist it before where it is small."""
     return {
@@ -84,8 +113,29 @@ def dashboard(reviews: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def enrich_reviews(reviews: DataFrame, key: str, text: str, client, n: int, **options) -> DataFrame:
-    """A sample of reviews with fields extracted by a client and joined back by key."""
+def enrich_reviews(reviews: DataFrame, key: str, text: str, client, n: int, template: str = "{review_text}", **options) -> DataFrame:
+    """A sample of reviews with fields extracted by a client from a prompt and joined back by key."""
     picked = features.sample_n(reviews, n, key)
-    replies = extract.validate_reply(extract.extract(picked.select(key, text), text, client, **options), "reply")
-    return clean.augment(picked, replies.drop(text, "reply"), key)
+    asked = picked.select(key, extract.render_prompt(template, text).alias("prompt"))
+    replies = extract.validate_reply(extract.extract(asked, "prompt", client, **options), "reply")
+    return clean.augment(picked, replies.drop("prompt", "reply"), key)
+
+
+def enrichment_job(spark: SparkSession, reviews: DataFrame, key: str, text: str, client, n: int, target: str, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Enriched reviews written as CSV and read back, the quality gate over them, and the share that was extracted."""
+    io.write_csv(enrich_reviews(reviews, key, text, client, n, **options), target)
+    done = io.read_csv(spark, target, multiline=True)
+    gate = extract.quality_gate(done, [key, "sentiment", "category"], {"sentiment": list(extract.SENTIMENTS), "category": list(extract.CATEGORIES)})
+    return done, gate, done.agg(F.count("*").alias("n"), F.round(F.avg(F.col("format_valid").cast("int")), 6).alias("success"))
+
+
+def classification_study(reviews: DataFrame, key: str, text: str, dense: list[str], label: str = "label", terms: int = 500, rounds: int = 100, top: int = 15) -> tuple[list[tuple], list[tuple]]:
+    """Characters against fields against both, on one split: (arm, accuracy, AUC) by arm, and the strongest features of both."""
+    known = reviews.filter(F.col(label).isNotNull()).select(key, F.coalesce(text, F.lit("")).alias(text), F.col(label).cast("double").alias(label), *dense)
+    entries = features.char_tfidf(known, key, text, terms)
+    names = [r[0] for r in entries.select("term").distinct().orderBy("term").collect()]  # at most ``terms``
+    vectors = features.to_vectors(entries, key, max(1, len(names))).withColumn("text_vector", array_to_vector("vector")).drop("vector")
+    coded = features.ordinal_encode(known.drop(text), dense).join(vectors, key)
+    codes = [f"{c}_code" for c in dense]
+    found = models.ablation(coded, {"A": ["text_vector"], "B": codes, "C": ["text_vector", *codes]}, key, label, rounds)
+    return [f[:3] for f in found], models.feature_ranking(found[-1][3], [*names, *dense], top)

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import bots, clean, extract, features, funnel, models, profile, report, sessions, validate
-from tidewater.plans import jobs
+from tidewater.plans import jobs, registry_stored
 from tidewater.plans.shapes import BEHAVIOR_SQL, REVIEWS_SQL, behavior, reviews
+from tidewater.session import scratch
 from tidewater.sources import io
 from tidewater.streaming import streams
 
@@ -54,8 +55,6 @@ def _view(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("SELECT o_orderstatus, count(*) AS n FROM tidewater_orders GROUP BY o_orderstatus")
 
 
-_query("k6_layout", None)(lambda s, d: io.layout_report(io.table(s, d, "lineitem"), ["l_returnflag"]))
-_query("k7_schema", None)(lambda s, d: io.describe_schema(io.table(s, d, "lineitem")))
 
 # filters and projections
 on_r("p1_drop_blank", lambda r: clean.drop_blank(r.withColumn("sentiment", F.coalesce("sentiment", F.lit(" "))), "sentiment").select("doc_id"), "SELECT doc_id FROM r WHERE trim(coalesce(sentiment, ' ')) <> ''")
@@ -172,7 +171,7 @@ on_r("a24_drilldown", lambda r: report.drilldown(r, "en"), "SELECT category, cou
 on_r("a25_word_counts", lambda r: report.word_counts(r, ["review"], stopwords=("the", "of"), cat="en"), r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(review), '\p{L}{2,}')) AS word FROM r WHERE cat = 'en') WHERE word NOT IN ('the', 'of') GROUP BY 1 ORDER BY n DESC, word LIMIT 50")
 on_r("a29_class_balance", lambda r: profile.class_balance(r, "label"), "SELECT label, count(*) AS n, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct FROM r GROUP BY 1")
 on_b("a31_histogram", lambda b: profile.histogram(b, "value", 20, "behavior_type"), "SELECT behavior_type, CAST(CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) / ((hi - lo) / 20)), 19) END AS INTEGER) AS bin, count(*) AS n FROM b JOIN (SELECT behavior_type, min(value) AS lo, max(value) AS hi FROM b GROUP BY 1) USING (behavior_type) WHERE value IS NOT NULL GROUP BY 1, 2")
-on_b("a32_cleaning_report", profile.cleaning_report, "SELECT count(*) AS n_rows, count(*) FILTER (behavior_type = 'pv') AS n_pv, count(*) FILTER (behavior_type = 'buy') AS n_buy, min(timestamp) AS min_epoch, max(timestamp) AS max_epoch, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(DISTINCT category_id) AS n_categories FROM b")
+on_b("a32_cleaning_report", profile.cleaning_report, "SELECT count(*) AS n_rows, CAST(8 AS INTEGER) AS n_columns, count(*) FILTER (behavior_type = 'pv') AS n_pv, count(*) FILTER (behavior_type = 'cart') AS n_cart, count(*) FILTER (behavior_type = 'fav') AS n_fav, count(*) FILTER (behavior_type = 'buy') AS n_buy, min(timestamp) AS min_epoch, max(timestamp) AS max_epoch, count(DISTINCT user_id) AS n_users, count(DISTINCT item_id) AS n_items, count(DISTINCT category_id) AS n_categories FROM b")
 on_b("t2_head", lambda b: b.orderBy("timestamp", "event_id").limit(10).select(*EVENT), f"SELECT {E} FROM b ORDER BY timestamp, event_id LIMIT 10")
 on_r("t4_review_page", lambda r: report.review_page(r, "doc_id", "review", 20, "token", cat="en")[0].select("doc_id"), "SELECT doc_id FROM r WHERE cat = 'en' AND regexp_matches(review, '(?i)token') ORDER BY doc_id LIMIT 20")
 on_r("t4_review_total", lambda r: report.review_page(r, "doc_id", "review", 20, "token", cat="en")[1], "SELECT count(*) AS total FROM r WHERE cat = 'en' AND regexp_matches(review, '(?i)token')")
@@ -191,11 +190,9 @@ def scaled(b: DataFrame) -> DataFrame:
 on_b("m2_scale", lambda b: scaled(b).select("event_id", F.round("item_id_scaled", 6).alias("item_id_scaled")), SCALED)
 on_b("a30_drift", lambda b: features.drift_report(b.select((F.col("value") / 50 - 1).alias("x")), ["x"]), "SELECT 'x' AS \"column\", round(avg(value / 50 - 1), 6) AS mean, round(stddev_pop(value / 50 - 1), 6) AS std, round(abs(avg(value / 50 - 1)), 6) AS mean_shift, round(abs(stddev_pop(value / 50 - 1) - 1), 6) AS std_shift FROM b")
 on_b("m3_time_features", lambda b: features.time_features(b).select("event_id", "hour", "dayofweek"), "SELECT event_id, CAST(hour(make_timestamp(timestamp * 1000000)) AS INTEGER) AS hour, CAST(isodow(make_timestamp(timestamp * 1000000)) - 1 AS INTEGER) AS dayofweek FROM b")
-on_b("m4_stratified_sample", lambda b: features.stratified_sample(b, "behavior_type", 500, "event_id").select("event_id", "behavior_type"))
-on_b("m5_sample", lambda b: features.sample_n(b, 100, "event_id").select("event_id"))
-TFIDF = "c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split(lower(review), '')) AS term FROM r WHERE review IS NOT NULL) WHERE term <> '' GROUP BY 1, 2), st AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM c GROUP BY 1 ORDER BY cf DESC, term LIMIT 30), w AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM r WHERE review IS NOT NULL)) / (1 + df)) + 1) AS w FROM c JOIN st USING (term))"
-on_r("m10_char_tfidf", lambda r: features.char_tfidf(r, "doc_id", "review", 30).withColumn("weight", F.round("weight", 6)), f"WITH {TFIDF} SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w")
-on_r("a33_density", lambda r: features.vector_density(features.char_tfidf(r, "doc_id", "review", 30), "doc_id", 30), f"WITH {TFIDF} SELECT round(sum(n) / (count(*) * 30), 6) AS density FROM (SELECT doc_id, count(*) AS n FROM w GROUP BY 1)")
+TFIDF = "c AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(string_split(lower(review), '')) AS term FROM r WHERE review IS NOT NULL) WHERE term <> '' GROUP BY 1, 2), st AS (SELECT term, sum(tf) AS cf, count(*) AS df FROM c GROUP BY 1 ORDER BY cf DESC, term LIMIT 500), w AS (SELECT doc_id, term, tf * (ln((1 + (SELECT count(*) FROM r WHERE review IS NOT NULL)) / (1 + df)) + 1) AS w FROM c JOIN st USING (term))"
+on_r("m10_char_tfidf", lambda r: features.char_tfidf(r, "doc_id", "review", 500).withColumn("weight", F.round("weight", 6)), f"WITH {TFIDF} SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w")
+on_r("a33_density", lambda r: features.vector_density(features.char_tfidf(r, "doc_id", "review", 500), "doc_id", 500), f"WITH {TFIDF} SELECT round(sum(n) / (count(*) * 500), 6) AS density FROM (SELECT doc_id, count(*) AS n FROM w GROUP BY 1)")
 on_r("m11_ordinal_encode", lambda r: features.ordinal_encode(r.select("doc_id", "sentiment"), ["sentiment"]).select("doc_id", "sentiment_code"), "SELECT doc_id, CAST(dense_rank() OVER (ORDER BY coalesce(sentiment, 'Unknown')) - 1 AS INTEGER) AS sentiment_code FROM r")
 on_r("m16_binary_metrics", lambda r: features.binary_metrics(r.filter("label is not null").withColumn("score", F.least(F.round(F.length("review") / 2000, 2), F.lit(1.0))), "label", "score"), "SELECT round(avg(CAST(CAST(s >= 0.5 AS INT) = label AS INT)), 6) AS accuracy, round((sum(CASE WHEN label = 1 THEN rk END) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2) / (count(*) FILTER (label = 1) * count(*) FILTER (label = 0)), 6) AS auc FROM (SELECT label, s, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS rk FROM (SELECT label, least(round(length(review) / 2000, 2), 1) AS s FROM r WHERE label IS NOT NULL))")
 
@@ -219,13 +216,28 @@ def _scoring(spark: SparkSession, d: str) -> DataFrame:
 @_query("m7_cross_validate")
 def _folds(spark: SparkSession, d: str) -> DataFrame:
     folds = models.cross_validate(models.purchase_features(behavior(spark, d)), "event_id")
-    return spark.createDataFrame(folds, "accuracy double, auc double")
+    return spark.createDataFrame(folds, "fold string, accuracy double, auc double")
+
+
+_STUDIES: dict = {}
+
+
+def _study(spark: SparkSession, d: str) -> tuple[list, list]:
+    """The study over one folder, done once a session: two queries show parts of its few rows."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STUDIES:
+        _STUDIES[key] = jobs.classification_study(reviews(spark, d), "doc_id", "review", ["cat", "category"])
+    return _STUDIES[key]
 
 
 @_query("m14_ablation")
 def _ablation(spark: SparkSession, d: str) -> DataFrame:
-    r = reviews(spark, d).filter("label is not null").withColumn("size", F.length("review").cast("double")).withColumn("symbols", F.regexp_count("review", F.lit("[#*$%&|]")).cast("double"))
-    return spark.createDataFrame(models.ablation(r, {"A": ["size"], "B": ["symbols"], "C": ["size", "symbols"]}, "doc_id", rounds=3), "arm string, accuracy double, auc double")
+    return spark.createDataFrame(_study(spark, d)[0], "arm string, accuracy double, auc double")
+
+
+@_query("c9_classification_study")
+def _strongest(spark: SparkSession, d: str) -> DataFrame:
+    return spark.createDataFrame(_study(spark, d)[1], "feature string, weight double")
 
 
 @_query("m15_feature_ranking")
@@ -254,8 +266,18 @@ BAD = "length(review) % 11 = 0"
 on_r("l3_validate_reply", lambda r: replied(r).select("doc_id", "format_valid", "sentiment"), f"SELECT doc_id, NOT ({BAD}) AND length(review) % 4 <> 3 AND least(length(review) % 20, length(review)) <= 15 AS format_valid, CASE WHEN NOT ({BAD}) THEN ['正面', '负面', '中性', '?'][CAST(length(review) % 4 AS INTEGER) + 1] END AS sentiment FROM r")
 on_r("a28_extraction_success", lambda r: report.extraction_success(replied(r)), f"SELECT count(*) AS n, count(*) FILTER (NOT ({BAD}) AND length(review) % 4 <> 3 AND least(length(review) % 20, length(review)) <= 15) AS n_ok, round(count(*) FILTER (NOT ({BAD}) AND length(review) % 4 <> 3 AND least(length(review) % 20, length(review)) <= 15) / count(*), 6) AS rate FROM r")
 on_r("l4_quality_gate", lambda r: extract.quality_gate(r, ["cat", "sentiment", "nothing"], {"cat": ["en", "de"]}), "SELECT 'row_count' AS rule, CAST(0 AS BIGINT) AS n_violations, true AS passed UNION ALL SELECT 'required_columns', 1, false UNION ALL SELECT 'null_cat', count(*) FILTER (cat IS NULL), count(*) FILTER (cat IS NULL) = 0 FROM r UNION ALL SELECT 'null_sentiment', count(*) FILTER (sentiment IS NULL), count(*) FILTER (sentiment IS NULL) = 0 FROM r UNION ALL SELECT 'domain_cat', count(*) FILTER (cat NOT IN ('en','de')), count(*) FILTER (cat NOT IN ('en','de')) = 0 FROM r")
-on_r("c8_enrich_reviews", lambda r: jobs.enrich_reviews(r.select("doc_id", "cat", "review"), "doc_id", "review", reply, 200).drop("review"))
-on_r("l5_ab_test", lambda r: extract.ab_test(r, "doc_id", "review", {"a": reply, "b": lambda t: reply(t + " ")}).groupBy("model_id").agg(F.count_if("format_valid").alias("n_ok")))
+OK = f"NOT ({BAD}) AND length(review) % 4 <> 3 AND least(length(review) % 20, length(review)) <= 15"
+PICKED = "(SELECT * FROM r ORDER BY md5('42|' || doc_id), doc_id LIMIT 200)"
+
+
+def enriched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    r = reviews(spark, d).select("doc_id", "cat", "review")
+    return jobs.enrichment_job(spark, r, "doc_id", "review", reply, 200, scratch(spark))
+
+
+_query("c8_enrich_reviews", f"SELECT doc_id, cat, CASE WHEN NOT ({BAD}) THEN ['正面', '负面', '中性', '?'][CAST(length(review) % 4 AS INTEGER) + 1] END AS sentiment, {OK} AS format_valid FROM {PICKED}")(lambda s, d: enriched(s, d)[0].select(F.col("doc_id").cast("long"), "cat", "sentiment", F.col("format_valid").cast("boolean")))
+_query("c8_enrichment_success", f"SELECT count(*) AS n, round(avg(CAST(({OK}) AS INTEGER)), 6) AS success FROM {PICKED}")(lambda s, d: enriched(s, d)[2])
+on_r("l5_ab_test", lambda r: extract.ab_test(r, "doc_id", "review", {"a": reply, "b": lambda t: reply(t + " "), "c": reply}).groupBy("model_id").agg(F.count_if("format_valid").alias("n_ok")), f"SELECT 'a' AS model_id, count(*) FILTER ({OK}) AS n_ok FROM r UNION ALL SELECT 'c', count(*) FILTER ({OK}) FROM r UNION ALL SELECT 'b', count(*) FILTER ((length(review) + 1) % 11 <> 0 AND (length(review) + 1) % 4 <> 3 AND least((length(review) + 1) % 20, length(review) + 1) <= 15) FROM r")
 
 # streams, by their batch twins
 on_b("st2_tumbling", lambda b: streams.tumbling_counts(b.withColumn("at", F.timestamp_seconds("timestamp")), "6 hours", "at", ("pv", "buy")).select(F.unix_seconds("window_start").alias("start"), "n", "n_pv", "n_buy"), "SELECT timestamp // 21600 * 21600 AS start, count(*) AS n, count(*) FILTER (behavior_type = 'pv') AS n_pv, count(*) FILTER (behavior_type = 'buy') AS n_buy FROM b GROUP BY 1")
@@ -284,15 +306,18 @@ KEPT = f"{UNIQUE}, {HOURS.format(s=86400, b='d')}, {USERS}, kept AS (SELECT * FR
 on_b("c5_elt", lambda b: jobs.elt(b, ELT).select(*EVENT, "session_id"), f"WITH {KEPT}, {SESSIONS.format(t=TIMEOUT, b='kept')} SELECT {E}, user_id || '_' || session_group AS session_id FROM s")
 on_b("c5_elt_funnel", lambda b: jobs.elt_funnel(b, ELT), f"WITH {KEPT}, {SESSIONS.format(t=TIMEOUT, b='kept')} SELECT (SELECT count(*) FROM s) AS n_rows, (SELECT count(DISTINCT user_id) FROM s) AS n_users, (SELECT count(DISTINCT (user_id, session_group)) FROM s) AS n_sessions, f.* FROM ({FUNNEL.format(m=MATRIX.format(k='user_id', b='kept'))}) f")
 on_b("c6_export", lambda b: jobs.export(b, ELT).select(*EVENT), f"WITH {KEPT} SELECT {E} FROM kept")
+on_r("c10_dashboard_sentiment", lambda r: jobs.dashboard(r)["sentiment"], "SELECT sentiment, count(*) AS n FROM r GROUP BY 1")
+on_r("c10_dashboard_words", lambda r: jobs.dashboard(r)["words"], r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(review), '\p{L}{2,}')) AS word FROM r) GROUP BY 1 ORDER BY n DESC, word LIMIT 50")
+on_r("c10_dashboard_page", lambda r: jobs.dashboard(r)["page"].select("doc_id"), "SELECT doc_id FROM r ORDER BY doc_id LIMIT 20")
 on_r("c10_dashboard_pivot", lambda r: jobs.dashboard(r)["by_category"], PIVOT.format(c="cat"))
 
 
 def queries() -> dict:
-    return {name: f for name, (f, _) in QUERIES.items()}
+    return {name: f for name, (f, _) in (QUERIES | registry_stored.QUERIES).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {}
+    out = {name: sql for name, (_, sql) in registry_stored.QUERIES.items() if sql}
     for name, (_, sql) in QUERIES.items():
         if sql:
             # only the views that the SQL reads

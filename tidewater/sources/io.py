@@ -79,8 +79,10 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "over
     df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).option("compression", "snappy").parquet(path)
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True, max_rows: int | None = None) -> None:
+    """``max_rows``: rows of a file at most, which bounds what a stream takes of it at once."""
+    w = df.write.mode(mode).option("header", header).option("escape", '"')
+    (w.option("maxRecordsPerFile", max_rows) if max_rows else w).csv(path)
 
 
 def register(df: DataFrame, name: str) -> DataFrame:

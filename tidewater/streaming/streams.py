@@ -59,13 +59,22 @@ def stream_score(source: DataFrame, model: PipelineModel, good_path: str, dead_p
 
 
 def run_for(query: StreamingQuery, seconds: int) -> dict:
-    """Lets a query run for a time, stops it and returns its last progress."""
+    """Lets a query run for a time and stops it; its last progress, and the batches and rows in all."""
     query.awaitTermination(seconds)
     query.stop()
-    return dict(query.lastProgress or {})
+    seen = {p["batchId"]: int(p["numInputRows"]) for p in query.recentProgress}
+    return dict(query.lastProgress or {}) | {"total_batches": sum(n > 0 for n in seen.values()), "total_rows": sum(seen.values())}
+
+
+def tallies(spark: SparkSession, good_path: str, dead_path: str) -> DataFrame:
+    """(status, n) of what a scoring stream has written: scored rows and dead letters by reason."""
+    good = spark.read.parquet(good_path).select(F.lit("scored").alias("status"))
+    dead = spark.read.schema("error string, original_data string, timestamp string").json(dead_path).select(F.col("error").alias("status"))
+    return good.unionByName(dead).groupBy("status").agg(F.count("*").alias("n"))
 
 
 def progress_frame(spark: SparkSession, query: StreamingQuery, capacity: int = 0) -> DataFrame:
-    """(batch, rows, rows_per_second, elapsed_ms, load): load is rows over capacity, 0 if unbounded."""
-    rows = [(int(p["batchId"]), int(p["numInputRows"]), float(p.get("processedRowsPerSecond") or 0.0), int(p["durationMs"].get("triggerExecution", 0)), p["numInputRows"] / capacity if capacity else 0.0) for p in query.recentProgress]
-    return spark.createDataFrame(rows, "batch long, rows long, rows_per_second double, elapsed_ms long, load double")
+    """(batch, rows, rows_per_second, elapsed_ms, load, backlog): load is rows over capacity, 0 if unbounded; backlog the files that wait."""
+    waiting = lambda p: sum(int((s.get("metrics") or {}).get("numFilesOutstanding", 0)) for s in p["sources"])
+    rows = [(int(p["batchId"]), int(p["numInputRows"]), float(p.get("processedRowsPerSecond") or 0.0), int(p["durationMs"].get("triggerExecution", 0)), p["numInputRows"] / capacity if capacity else 0.0, waiting(p)) for p in query.recentProgress]
+    return spark.createDataFrame(rows, "batch long, rows long, rows_per_second double, elapsed_ms long, load double, backlog long")
