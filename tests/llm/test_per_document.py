@@ -211,3 +211,35 @@ def test_mix_repeats_documents(spark, edge_dir):
 @pytest.mark.parametrize("query", [tokens.op1_token_counts, secrets.op7_secret_scan, quality.op9_quality_rules, mixing.op10_systematic_mix])
 def test_empty_table(spark, edge_dir, query):
     assert query(spark, f"{edge_dir}/none").count() == 0
+
+
+def test_query_over_texts_that_are_spliced(spark, tmp_path):
+    """The registered query on texts longer than a chunk, against the library on whole texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    words = "plain words don't é ß 日本語 x1y2  \n\t 12345 ... <|endoftext|> and-so-on ".split(" ")
+    texts = [" ".join(words[(i * i + k) % len(words)] for i in range(9000)) for k in range(3)] + ["a" * (tokens.HUGE + 5000), " " * 40000 + "end", "日" * 30000]
+    assert all(len(t) > tokens.HUGE for t in texts)
+    rows = [(i, t, "x", 7) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, n_bytes int").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = Tokenizer.from_file(public_tokenizers.path(tokens.TOKENIZER))
+    whole.no_truncation()
+    got = {r["doc_id"]: (r["n_bytes"], r["n_tokens"]) for r in tokens.op1_token_counts(spark, str(tmp_path)).collect()}
+    assert got == {i: (len(t.encode()), len(whole.encode(t, add_special_tokens=False).ids)) for i, t in enumerate(texts)}
+
+
+def test_mix_of_very_long_texts_and_finer_blocks(spark, monkeypatch):
+    rows = [(i, "w " * (i % 3 + 1), "s") for i in range(300)] + [(1000, "long " * 400_000, "s"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    monkeypatch.setattr(mixing, "BLOCK_ROWS", 2)
+    got = mixing.with_copies(docs).collect()
+    assert len(got) == len(rows) and all(0 <= r["mix_copies"] <= 2 for r in got)
+    assert {r["mix_doc_size"] for r in got} == {0, 1, 2, 3, 400_000}
+
+
+def test_quality_of_long_texts_and_clashing_names(spark):
+    rows = [(1, "word " * 300_000), (2, " ".join(f"w{i}" for i in range(100_000))), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("q_n", F.lit("clash"))
+    got = {r["doc_id"]: (r["q_n"], r["q_failed"]) for r in quality.judged(docs).collect()}
+    assert got == {1: (300_000, True), 2: (100_000, False), 3: (0, True)}

@@ -13,8 +13,9 @@ indexed; beyond that every term is, and a semi-join leaves those that are needed
 
 Defined results: null and empty texts have no words; repeated rows are judged each and
 alike (documents are keyed by a 96-bit hash of id and text); an item without words has no
-windows, and an item without an id counts as the item ''; an empty benchmark or table gives no hits or no rows; other columns of the
-tables are not looked at.
+windows, and an item without an id counts as the item ''; texts of any length are indexed
+whole; an empty benchmark or table gives no hits or no rows; other columns of the tables
+are not looked at, and those named dc_* are replaced.
 """
 
 from __future__ import annotations

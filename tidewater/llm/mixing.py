@@ -10,13 +10,15 @@ taken more than twice.
 The order runs through size classes (an eighth of an octave wide), so neighbours are of
 like size and the words taken stay near the target. The running sum needs a document's
 rank in its source. A source may hold a third of all rows, so ranks are made in two
-levels: each (source, size class, hash digit) is a block that is contiguous in the order;
+levels: each (source, size class, hash digits) is a block that is contiguous in the order;
 block counts are summed within the source first, and only the rank inside one block is
 taken by sorting rows.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
-code point order; repeated rows count each for itself; an empty table gives no rows; a
-source of size 0 has target 0 and none of its documents are taken.
+code point order; repeated rows count each for itself; null ids and ties in size are
+ordered by digest; texts of any length are counted whole; columns named mix_* are
+replaced, others pass through; an empty table gives no rows; a source of size 0 has
+target 0 and none of its documents are taken.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 SEED = "mix-1"
+#: Documents that a block of equal source, size class and hash digits may hold in the mean.
+BLOCK_ROWS = 1 << 18
 
 
 def word_count(text: str = "text") -> Column:
@@ -94,13 +98,17 @@ def with_copies(
     """
     own = [c for c in docs.columns if not c.startswith("mix_")]
     bits = F.bin("mix_doc_size")
+    # so many digits that a block stays small also if all documents were of one source and size
+    rows, digits = docs.count(), 1
+    while rows > BLOCK_ROWS * 16**digits:
+        digits += 1
     based = (
         docs.select(*own)
         .withColumn("mix_doc_size", word_count(text))
         .withColumn("mix_key", F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("n")))
         .withColumn("mix_class", F.concat(F.lpad(F.length(bits).cast("string"), 2, "0"), F.rpad(F.substring(bits, 2, 3), 3, "0")))
         .withColumn("mix_hash", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))))
-        .withColumn("mix_digit", F.substring("mix_hash", 1, 1))
+        .withColumn("mix_digit", F.substring("mix_hash", 1, digits))
     )
     block = ["mix_key", "mix_class", "mix_digit"]
     counts = based.groupBy(*block).agg(

@@ -18,8 +18,10 @@ components of the links, found by alternating large-star and small-star steps on
 edge tables, which are deleted once they are superseded.
 
 Defined results: a text without words is like no other and is a class of its own; rows
-with the same id are the same document; a null id can't be named, its class is null; a
-null text counts as empty; an empty table gives no rows.
+with the same id are the same document, and of its different texts the least by hash is
+compared; a null id can't be named, its class is null; a null text counts as empty; ties
+go to the least id; texts of any length are compared whole; columns besides id and text
+are not looked at, and may have any name; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,8 +8,9 @@ documents with each combination of votes, one partial aggregate with at most
 3 ** rules rows however large the corpus is; the rounds run over that bounded table.
 
 Defined results: a null or empty text has no words, zero for every count and fails the
-base rule; every row is judged for itself, so ties and repeated rows get equal results;
-an empty table gives no rows.
+base rule; every row is judged for itself, so ties, repeated rows and null ids get equal
+results for equal texts; texts of any length are judged whole; columns named q_* are
+replaced, others pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations

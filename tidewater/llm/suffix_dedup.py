@@ -16,9 +16,11 @@ bring equal strings together without a row for every byte:
    equal strings, and each start in a document larger than the least of its run goes.
 4. Spans of a document are merged, cut out and the rest is hashed.
 
-Defined results: a null text counts as empty; a null id is smaller than none and larger
-than none, its text is left alone; rows with the same id are the same document; texts
-under LENGTH bytes are left alone; an empty table gives no rows.
+Defined results: ids are whole numbers; a null text counts as empty; a null id is neither
+smaller nor larger than another, so its text is left alone and removes nothing; rows with
+the same id are the same document; texts under LENGTH bytes are left alone; texts of any
+length are read whole; columns besides id and text are not looked at, and may have any
+name; an empty table gives no rows.
 """
 
 from __future__ import annotations

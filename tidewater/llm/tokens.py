@@ -19,8 +19,10 @@ words that a task hasn't met are encoded by the library, as texts of their own.
 done only for texts whose characters have the same class in every Unicode version
 (``SAFE``) and that hold no special string; all others are encoded whole.
 
-Defined results: a null text counts as empty and has 0 bytes and tokens; repeated rows
-are counted each; an empty table gives no rows.
+Defined results: a null text counts as empty and has 0 bytes and tokens; repeated rows,
+ties and null ids are counted each; texts of any length are counted whole, and memory
+grows with a chunk, not with the text, unless no word ends in it; columns named n_bytes
+and n_tokens are replaced, others pass through; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from tidewater.llm.common import table, text_or_empty
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Texts of more code points than HUGE are cut into chunks of CHUNK that overlap by OVERLAP.
-HUGE, CHUNK, OVERLAP = 65536, 32768, 256
+HUGE, CHUNK, OVERLAP = 16384, 8192, 256
 #: Code points encoded at once.
 BATCH = 1 << 20
 #: Words whose counts a task keeps; then it starts anew.
