@@ -131,19 +131,18 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     label = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("s_base", lambda s: s["kind"] == kind)).cast("long")
-    return (
-        spanned.withColumn("s_list", F.when(F.size("s_all") > 0, F.sha2(F.array_join(values, ","), 256)))
-        .join(shares, "s_list", "left")
-        .select(
-            "doc_id",
-            count("assign").alias("n_assign"),
-            count("access").alias("n_access"),
-            count("hex").alias("n_hex"),
-            F.sha2(label("s_base"), 256).alias("base_sha256"),
-            label("s_all").alias("spans"),
-            F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
-            F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
-            F.coalesce("most_repos", F.lit(0)).cast("long").alias("most_repos"),
-            F.coalesce("most_owners", F.lit(0)).cast("long").alias("most_owners"),
-        )
+    # rows without spans have nothing to look up, and would all meet in one task of the join
+    told = found.withColumn("s_list", F.sha2(F.array_join(values, ","), 256)).join(shares, "s_list", "left").drop("s_list")
+    both = told.unionByName(spanned.filter(F.size("s_all") == 0), allowMissingColumns=True)
+    return both.select(
+        "doc_id",
+        count("assign").alias("n_assign"),
+        count("access").alias("n_access"),
+        count("hex").alias("n_hex"),
+        F.sha2(label("s_base"), 256).alias("base_sha256"),
+        label("s_all").alias("spans"),
+        F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
+        F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+        F.coalesce("most_repos", F.lit(0)).cast("long").alias("most_repos"),
+        F.coalesce("most_owners", F.lit(0)).cast("long").alias("most_owners"),
     )
