@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges of scores that are ranked apart.
+BLOCKS = 4096
+
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float, float]]:
     """Median, mean and population deviation of each column after filling with the median.
@@ -26,8 +27,10 @@ def apply_scaler(df: DataFrame, params: dict[str, tuple[float, float, float]]) -
 
 
 def drift_report(df: DataFrame, cols: list[str]) -> DataFrame:
-    one = lambda c: df.agg(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).select(F.lit(c).alias("column"), F.round("m", 6).alias("mean"), F.round("s", 6).alias("std"), F.round(F.abs("m"), 6).alias("mean_shift"), F.round(F.abs(F.col("s") - 1), 6).alias("std_shift"))
-    return reduce(DataFrame.union, map(one, cols))
+    """One row a column, all from one pass."""
+    by = df.agg(*[f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"m{i}").alias("m"), F.col(f"s{i}").alias("s")) for i, c in enumerate(cols)]))
+    return by.select(each.alias("e")).select("e.column", F.round("e.m", 6).alias("mean"), F.round("e.s", 6).alias("std"), F.round(F.abs("e.m"), 6).alias("mean_shift"), F.round(F.abs(F.col("e.s") - 1), 6).alias("std_shift"))
 
 
 def time_features(df: DataFrame, ts: str = "timestamp") -> DataFrame:
@@ -113,18 +116,34 @@ def vector_density(entries: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def ordinal_encode(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Codes from 0 by sorted category, null as "Unknown"; joined from the table of categories."""
+    """Codes from 0 by sorted category, null as "Unknown"; joined from the table of categories.
+
+    Categories are numbered in two levels, by their first two characters and then within them.
+    """
     for c in cols:
-        value = F.coalesce(F.col(c), F.lit("Unknown"))
-        codes = df.select(value.alias("_v")).distinct().withColumn(f"{c}_code", F.row_number().over(Window.orderBy("_v")) - 1)
+        value = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
+        found = df.select(value.alias("_v")).distinct().withColumn("_block", F.substring("_v", 1, 2))
+        counts = found.groupBy("_block").agg(F.count("*").alias("_n"))
+        before = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))  # one row a block
+        rank = F.row_number().over(Window.partitionBy("_block").orderBy("_v"))
+        codes = found.join(before, "_block").select("_v", (F.col("_before") + rank - 1).cast("int").alias(f"{c}_code"))
         df = df.withColumn("_v", value).join(codes, "_v").drop("_v")
     return df
 
 
 def binary_metrics(df: DataFrame, label: str, score: str, cut: float = 0.5) -> DataFrame:
-    """Accuracy and the area under the curve with ties averaged; scores are grouped before they are ranked."""
-    by = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    below = F.sum("q").over(Window.orderBy("s")) - F.col("q")
-    area = by.withColumn("u", F.col("p") * (below + F.col("q") / 2.0)).agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    """Accuracy and the area under the curve with ties averaged.
+
+    Scores are grouped first, then ranked in two levels: ``BLOCKS`` equal ranges between the
+    least and the largest score, and within each.
+    """
+    by = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
+    span = df.agg(F.min(F.col(score).cast("double")).alias("lo"), F.max(F.col(score).cast("double")).alias("hi"))
+    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BLOCKS))
+    by = by.crossJoin(F.broadcast(span)).withColumn("block", F.coalesce(place, F.when(F.col("s").isNull(), -1).otherwise(0)))  # span is one row
+    sums = by.groupBy("block").agg(F.sum("q").alias("n"))
+    before = sums.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))  # one row a block
+    below = F.col("before") + F.sum("q").over(Window.partitionBy("block").orderBy("s")) - F.col("q")
+    area = by.join(before, "block").withColumn("u", F.col("p") * (below + F.col("q") / 2.0)).agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     hit = df.agg(F.round(F.avg(((F.col(score) >= cut).cast("int") == F.col(label)).cast("int")), 6).alias("accuracy"))
     return hit.crossJoin(area.select(F.round(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p") * F.col("q"))), 6).alias("auc")))
