@@ -4,9 +4,9 @@ The index is a stored table with one row for each (term, document): the term's p
 in the document. A phrase is looked up from its rarest terms: the position lists of the
 two rarest are moved back by the terms' offsets in the phrase and intersected, which
 leaves few candidate places; these are then checked against the lists of all other
-terms. Everything is a join on (document, term) or a grouped count, so no list of a
-frequent term is ever gathered in one task, and texts are read once for the index and
-never shuffled.
+terms, of which only the documents with a candidate are moved. Everything is a join on
+(document, term) or a grouped count, so no list of a frequent term is ever gathered in
+one task, and texts are read once for the index and never shuffled.
 
 If the terms of the benchmark are few (up to ``MAX_TERMS``, counted first) only they are
 indexed; beyond that every term is, and a semi-join leaves those that are needed.
@@ -116,9 +116,13 @@ def windows(items: DataFrame, item: str = "item_id", text: str = "text", size: i
     return one.select("dc_win", "dc_len", F.posexplode("dc_words").alias("dc_off", "dc_term")), found.select("dc_win", "dc_item").distinct()
 
 
-def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(dc_a, dc_b, dc_win, dc_start, dc_len): where the phrases of (dc_win, dc_len, dc_off, dc_term) occur."""
-    counts = index.groupBy("dc_term").agg(F.sum(F.col("dc_tf").cast("long")).alias("dc_cf"))
+def _ranked(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """The terms of the phrases whose terms all occur, with dc_rank, from 1 for a phrase's rarest; stored.
+
+    The counts are stored first: they are a row a term, so Spark knows from the table
+    whether they can be broadcast, and can split a frequent term's phrases if not.
+    """
+    counts = stored(index.groupBy("dc_term").agg(F.sum(F.col("dc_tf").cast("long")).alias("dc_cf")))
     by_win = Window.partitionBy("dc_win")
     ranked = (
         phrases.join(counts, "dc_term")
@@ -126,14 +130,21 @@ def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
         .filter("dc_known = dc_len")  # a phrase with a term that is nowhere is nowhere
         .withColumn("dc_rank", F.row_number().over(by_win.orderBy("dc_cf", "dc_off")))
     )
-    ranked = stored(ranked.select("dc_win", "dc_len", "dc_off", "dc_term", "dc_rank"))
+    return stored(ranked.select("dc_win", "dc_len", "dc_off", "dc_term", "dc_rank"), counts)
+
+
+def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(dc_a, dc_b, dc_win, dc_start, dc_len): where the phrases of (dc_win, dc_len, dc_off, dc_term) occur."""
+    ranked = _ranked(index, phrases)
     spot = ["dc_a", "dc_b", "dc_win", "dc_start", "dc_len"]
     rare = index.join(ranked.filter("dc_rank <= 2"), "dc_term").select("dc_a", "dc_b", "dc_win", "dc_len", "dc_rank", F.explode(F.transform("dc_at", lambda p: p - F.col("dc_off"))).alias("dc_start"))
     # a repeated row has its postings twice: which of the two terms are there, not how many rows
     candidates = stored(rare.filter("dc_start >= 0").groupBy(*spot).agg(F.bit_or("dc_rank").alias("dc_n")).filter("dc_n = if(dc_len = 1, 1, 3)").drop("dc_n"))
     others = candidates.join(ranked.filter("dc_rank > 2").drop("dc_len"), "dc_win")
+    # the postings of documents without a candidate are left out before the rest moves
+    near = index.join(candidates.select("dc_a").distinct(), "dc_a", "left_semi")
     checked = (
-        others.join(index, ["dc_a", "dc_b", "dc_term"])
+        others.join(near, ["dc_a", "dc_b", "dc_term"])
         .filter("array_contains(dc_at, dc_start + dc_off)")
         .groupBy(*spot)
         .agg(F.size(F.collect_set("dc_off")).alias("dc_n"))
@@ -146,14 +157,7 @@ def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
 def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
     """(dc_a, dc_b, dc_win, dc_start): places of the phrase's rarest term such that every
     other term stands within ``slop`` positions of where the phrase has it."""
-    counts = index.groupBy("dc_term").agg(F.sum(F.col("dc_tf").cast("long")).alias("dc_cf"))
-    by_win = Window.partitionBy("dc_win")
-    ranked = stored(
-        phrases.join(counts, "dc_term")
-        .withColumn("dc_known", F.count("*").over(by_win))
-        .filter("dc_known = dc_len")
-        .withColumn("dc_rank", F.row_number().over(by_win.orderBy("dc_cf", "dc_off")))
-    )
+    ranked = _ranked(index, phrases)
     rare = index.join(ranked.filter("dc_rank = 1"), "dc_term").select("dc_a", "dc_b", "dc_win", "dc_len", F.explode(F.transform("dc_at", lambda p: p - F.col("dc_off"))).alias("dc_start"))
     near = rare.join(ranked.filter("dc_rank > 1").select("dc_win", "dc_off", "dc_term"), "dc_win").join(index, ["dc_a", "dc_b", "dc_term"])
     spot = ["dc_a", "dc_b", "dc_win", "dc_start", "dc_len"]
