@@ -40,9 +40,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Documents that aren't contaminated by the benchmark (operator 4)."""
     key = ["dc_a", "dc_b"]
     keyed = decontaminate.keyed(docs, "doc_id", "text")
-    hits = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
-    sizes = keyed.join(hits, key).select(*key, "dc_hit", decontaminate.word_count().alias("dc_words"))
-    bad = sizes.filter(decontaminate.contaminated(F.col("dc_hit"), F.col("dc_words"))).select(*key).distinct()
+    hits, sizes = decontaminate.hits(docs, table(spark, sf_dir, "benchmark"))
+    bad = hits.join(sizes, key).filter(decontaminate.contaminated(F.col("dc_hit"), F.col("dc_words"))).select(*key)
     return keyed.join(bad, key, "left_anti").select(*docs.columns)
 
 

@@ -87,7 +87,8 @@ def test_tables(spark, sf):
 def test_empty_tables(spark, made, edge_dir, tmp_path):
     items = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    assert dc.hits(docs, items).count() == 0
+    found, sizes = dc.hits(docs, items)
+    assert found.count() == 0 and [r["dc_words"] for r in sizes.collect()] == [2]
     d = str(tmp_path)
     os.symlink(f"{edge_dir}/none/documents.parquet", f"{d}/documents.parquet")
     os.symlink(f"{made[0]}/benchmark.parquet", f"{d}/benchmark.parquet")

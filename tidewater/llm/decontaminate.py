@@ -37,6 +37,8 @@ WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The same for UTF-8 bytes: what is no word becomes a space.
 BYTES = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Stands for a document's number of words in the index; no word is empty.
+SIZE = ""
 #: Share of a document's words that must be hit: 1 in 20.
 ONE_IN = 20
 
@@ -45,10 +47,6 @@ def words(text: str | Column = "text") -> Column:
     return F.regexp_extract_all(F.translate(text_or_empty(text), _UPPER, _UPPER.lower()), F.lit(WORDS), F.lit(0))
 
 
-def word_count(text: str | Column = "text") -> Column:
-    return F.regexp_count(F.translate(text_or_empty(text), _UPPER, _UPPER.lower()), F.lit(WORDS)).cast("long")
-
-
 def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     """``docs`` with dc_a and dc_b, which name a document by id and text."""
     t = text_or_empty(text)
@@ -75,13 +73,16 @@ def _post(terms: dict[bytes, int] | None):
                 doc, id_, place = doc[at], id_[at], place[at].astype(np.int32)
                 first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (id_[1:] != id_[:-1])]) if len(at) else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), pa.array(place))
-                names = pa.array([w.decode() for w in own], pa.string())
+                names = pa.array([w.decode() for w in own] + [SIZE], pa.string())
+                # after the postings, the size of each document
+                lists = pa.concat_arrays([lists, pa.array([[]] * len(size), lists.type)])
+                row = pa.array(np.r_[doc[first], np.arange(len(size))])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).take(pa.array(doc[first])),
-                        batch.column(1).take(pa.array(doc[first])),
-                        names.take(pa.array(id_[first])),
-                        pa.array(np.diff(np.r_[first, len(at)]).astype(np.int32)),
+                        batch.column(0).take(row),
+                        batch.column(1).take(row),
+                        names.take(pa.array(np.r_[id_[first], np.full(len(size), len(own))])),
+                        pa.array(np.r_[np.diff(np.r_[first, len(at)]), size].astype(np.int32)),
                         lists,
                     ],
                     names=["dc_a", "dc_b", "dc_term", "dc_tf", "dc_at"],
@@ -91,17 +92,25 @@ def _post(terms: dict[bytes, int] | None):
 
 
 def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str = "text", max_terms: int = MAX_TERMS) -> DataFrame:
-    """(dc_a, dc_b, dc_term, dc_tf, dc_at): the postings of ``terms`` (dc_term), stored."""
+    """(dc_a, dc_b, dc_term, dc_tf, dc_at): the postings of ``terms`` (dc_term), stored.
+
+    Each document also has a row with the term ``SIZE``, whose dc_tf is its number of words.
+    """
     few = terms.limit(max_terms + 1).collect()
     known = {r[0].encode(): i for i, r in enumerate(few)} if len(few) <= max_terms else None
     schema = T.StructType().add("dc_a", "long").add("dc_b", "integer").add("dc_term", "string").add("dc_tf", "integer").add("dc_at", T.ArrayType(T.IntegerType()))
     given = keyed(docs, id_col, text).select("dc_a", "dc_b", text_or_empty(text).alias("dc_text"))
     posted = given.mapInArrow(_post(known), schema)
     if known is None:
-        posted = posted.join(terms, "dc_term", "left_semi")
+        posted = posted.join(terms.union(docs.sparkSession.createDataFrame([(SIZE,)], "dc_term string")), "dc_term", "left_semi")
     return stored(posted)
 
 
+def sizes(index: DataFrame) -> DataFrame:
+    """(dc_a, dc_b, dc_words): the number of words of each document of the index."""
+    return index.filter(F.col("dc_term") == SIZE).select("dc_a", "dc_b", F.col("dc_tf").cast("long").alias("dc_words")).distinct()
+
+
 def windows(items: DataFrame, item: str = "item_id", text: str = "text", size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """The distinct windows' terms (dc_win, dc_len, dc_off, dc_term), and which items have them (dc_win, dc_item)."""
     found = (
@@ -122,7 +131,7 @@ def _ranked(index: DataFrame, phrases: DataFrame) -> DataFrame:
     The counts are stored first: they are a row a term, so Spark knows from the table
     whether they can be broadcast, and can split a frequent term's phrases if not.
     """
-    counts = stored(index.groupBy("dc_term").agg(F.sum(F.col("dc_tf").cast("long")).alias("dc_cf")))
+    counts = stored(index.filter(F.col("dc_term") != SIZE).groupBy("dc_term").agg(F.sum(F.col("dc_tf").cast("long")).alias("dc_cf")))
     by_win = Window.partitionBy("dc_win")
     ranked = (
         phrases.join(counts, "dc_term")
@@ -142,7 +151,7 @@ def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     candidates = stored(rare.filter("dc_start >= 0").groupBy(*spot).agg(F.bit_or("dc_rank").alias("dc_n")).filter("dc_n = if(dc_len = 1, 1, 3)").drop("dc_n"))
     others = candidates.join(ranked.filter("dc_rank > 2").drop("dc_len"), "dc_win")
     # the postings of documents without a candidate are left out before the rest moves
-    near = index.join(candidates.select("dc_a").distinct(), "dc_a", "left_semi")
+    near = index.join(stored(candidates.select("dc_a").distinct()), "dc_a", "left_semi")
     checked = (
         others.join(near, ["dc_a", "dc_b", "dc_term"])
         .filter("array_contains(dc_at, dc_start + dc_off)")
@@ -165,8 +174,9 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int) -> DataFr
     return ok.drop("dc_n").union(rare.filter("dc_len = 1").select(*spot)).drop("dc_len")
 
 
-def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW) -> DataFrame:
-    """(dc_a, dc_b, dc_hit, dc_items) of the documents with hits: words hit, and the items, sorted as strings."""
+def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(dc_a, dc_b, dc_hit, dc_items) of the documents with hits: words hit, and the items, sorted
+    as strings; and the ``sizes`` of all documents."""
     terms, owners = windows(items, item, item_text, size)
     terms, owners = stored(terms), stored(owners)
     index = positional_index(docs, terms.select("dc_term").distinct(), id_col, text)
@@ -180,7 +190,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     )
     hit = found.groupBy("dc_a", "dc_b").agg(spans.alias("dc_spans")).select("dc_a", "dc_b", covered.alias("dc_hit"))
     named = found.select("dc_a", "dc_b", "dc_win").distinct().join(owners, "dc_win").groupBy("dc_a", "dc_b").agg(F.array_sort(F.collect_set("dc_item")).alias("dc_items"))
-    return hit.join(named, ["dc_a", "dc_b"])
+    return hit.join(named, ["dc_a", "dc_b"]), sizes(index)
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
@@ -189,8 +199,8 @@ def contaminated(n_hit: Column, n_words: Column) -> Column:
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = hits(docs, table(spark, sf_dir, "benchmark"))
-    counted = keyed(docs, "doc_id", "text").select("doc_id", "dc_a", "dc_b", word_count().alias("n_words"))
+    found, size = hits(docs, table(spark, sf_dir, "benchmark"))
+    counted = keyed(docs, "doc_id", "text").select("doc_id", "dc_a", "dc_b").join(size.withColumnRenamed("dc_words", "n_words"), ["dc_a", "dc_b"])
     n_hit = F.coalesce("dc_hit", F.lit(0)).cast("long")
     items = F.coalesce("dc_items", F.expr("cast(array() as array<string>)"))
     return counted.join(found, ["dc_a", "dc_b"], "left").select(
