@@ -26,6 +26,8 @@ besides ids and texts are not looked at, and may have any name.
 
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,12 +63,12 @@ def _lists(values: np.ndarray, starts: np.ndarray) -> pa.ListArray:
 
 
 def _shard(name: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
-    known: dict[bytes, int] = {}
+    known: dict[bytes, int] = defaultdict(itertools.count().__next__)
     found, sizes = [], []
     for text in texts:
         words = text.translate(BYTES).split()
         sizes.append(len(words))
-        found += [known.setdefault(w, len(known)) for w in words]
+        found += map(known.__getitem__, words)
     term, doc = np.array(found, np.int64), np.repeat(np.arange(len(texts)), sizes)
     cell, tf = np.unique(term * (len(texts) + 1) + doc, return_counts=True)
     term, doc = np.divmod(cell, len(texts) + 1)
@@ -105,7 +107,7 @@ def inverted_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     return stored(docs.select(F.col(id_col).cast("long"), text_or_empty(text)).mapInArrow(_index, INDEX))
 
 
-def _best(lists: list[tuple], doc_ids: np.ndarray, known: np.ndarray, so_far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _best(lists: list[tuple], n_docs: int, so_far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Local numbers and scores of the documents that may be among the best: (impacts, documents) in order of impacts for each list.
 
     ``so_far`` has the k best scores of other shards at most.
@@ -115,7 +117,7 @@ def _best(lists: list[tuple], doc_ids: np.ndarray, known: np.ndarray, so_far: np
         at = np.argsort(doc)
         by_doc.append((doc[at], at))
     seen = [np.zeros(len(doc) + 1, bool) for _, doc in lists]  # with one place behind the end
-    got, scores, met = [], [], np.zeros(len(doc_ids), bool)
+    got, scores, met = [], [], np.zeros(n_docs, bool)
     top, step = 0, STEP
     kth = so_far[0] if len(so_far) == k else None
     while True:
@@ -170,7 +172,7 @@ def _search(n_docs: int, n_terms: int, k: int):
                         by_item.setdefault(item, []).append((impact[order], doc[order]))
             for item, lists in by_item.items():
                 old = best.get(item)
-                doc, score = _best(lists, doc_ids, known, old[0] if old else np.zeros(0, np.int64), k)
+                doc, score = _best(lists, len(doc_ids), old[0] if old else np.zeros(0, np.int64), k)
                 here = score > 0
                 found = (score[here], ~known[doc[here]], doc_ids[doc[here]])
                 if old:
