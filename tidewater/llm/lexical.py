@@ -45,9 +45,10 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BYTES = bytes((c + 32 if 65 <= c <= 90 else c) if 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Stands for the sizes of a shard's documents in the index; no term is empty.
 SIZES = ""
-#: Bytes of text in a shard, shards that are searched in one group, and items in a block.
+#: Bytes of text in a shard (a document counts ``ROW`` more), shards that are searched in one group, and items in a block.
 SHARD = 8 << 20
-SHARDS = 16
+ROW = 256
+SHARDS = 4
 ITEMS = 256
 #: Positions read from the top of each list at first; doubled each turn.
 STEP = 32
@@ -88,23 +89,26 @@ def _shard(name: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
     )
 
 
-def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task, n, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
-            ids.append(key)
-            texts.append(text.as_py())
-            held += len(texts[-1])
-            if held >= SHARD:
-                yield _shard((task << 32) + n, ids, texts)
-                n, ids, texts, held = n + 1, [], [], 0
-    if ids:
-        yield _shard((task << 32) + n, ids, texts)
+def _index(shard: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, ids, texts, held = TaskContext.get().partitionId(), 0, [], [], 0
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary())):
+                ids.append(key)
+                texts.append(text.as_py())
+                held += len(texts[-1]) + ROW
+                if held >= shard:
+                    yield _shard((task << 32) + n, ids, texts)
+                    n, ids, texts, held = n + 1, [], [], 0
+        if ids:
+            yield _shard((task << 32) + n, ids, texts)
+
+    return run
 
 
-def inverted_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def inverted_index(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
     """The stored index of all terms of ``docs``, as ``INDEX``."""
-    return stored(docs.select(F.col(id_col).cast("long"), text_or_empty(text)).mapInArrow(_index, INDEX))
+    return stored(docs.select(F.col(id_col).cast("long"), text_or_empty(text)).mapInArrow(_index(shard), INDEX))
 
 
 def _best(lists: list[tuple], n_docs: int, so_far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
