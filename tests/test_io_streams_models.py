@@ -63,12 +63,14 @@ def test_tumbling_stream_equals_batch_for_closed_windows(spark, tmp_path):
     os.makedirs(tmp_path / "in")
     lines(tmp_path / "in/a.json", [*rows[:10], "{broken"])
     lines(tmp_path / "in/b.json", [*rows[10:], event(99, 1200)])
-    q = drained(streams.tumbling_counts(streams.stream_events(spark, str(tmp_path / "in"), 1)), "tumbling")
+    with streams.watching(spark) as log:
+        q = drained(streams.tumbling_counts(streams.stream_events(spark, str(tmp_path / "in"), 1)), "tumbling")
+        log.wait(q)
     batch = spark.createDataFrame([(datetime.fromisoformat(r["event_time"]).replace(tzinfo=None), r["behavior_type"]) for r in rows], "event_time timestamp, behavior_type string")
     want = {(r["n"], r["n_view"], r["n_purchase"], r["window_start"]) for r in streams.tumbling_counts(batch).collect()}
     got = {(r["n"], r["n_view"], r["n_purchase"], r["window_start"]) for r in spark.table("tumbling").collect()}
     assert got == want
-    assert streams.progress_frame(spark, q, 100).agg(F.sum("rows")).first()[0] >= 21
+    assert streams.progress_frame(log, q, 100).agg(F.sum("rows")).first()[0] >= 21
 
 
 def test_session_stream(spark, tmp_path):

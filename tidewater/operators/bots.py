@@ -32,10 +32,15 @@ def _tier(high: Column, medium: Column) -> Column:
     return F.when(high, "high").when(medium, "medium").otherwise("low")
 
 
+def is_suspect(threshold: int, min_hours: int) -> Column:
+    """A user with a busy hour; over columns of ``user_activity``."""
+    return (F.col("max_actions_per_hour") >= threshold) & (F.col("active_hours") >= min_hours)
+
+
 def bots_by_frequency(users: DataFrame, threshold: int = 100, min_hours: int = 1, high: int = 500, medium: int = 300) -> DataFrame:
     """Users with a busy hour, in tiers by the busiest hour or by the average."""
     m, a = F.col("max_actions_per_hour"), F.col("avg_actions_per_hour")
-    return users.filter((m >= threshold) & (F.col("active_hours") >= min_hours)).withColumn("suspect_level", _tier((m > high) | (a > high / 2), (m > medium) | (a > medium / 2)))
+    return users.filter(is_suspect(threshold, min_hours)).withColumn("suspect_level", _tier((m > high) | (a > high / 2), (m > medium) | (a > medium / 2)))
 
 
 def bots_combined(users: DataFrame, threshold: int = 100, min_hours: int = 1, high: int = 500, medium: int = 300, dominant: float = 0.99) -> DataFrame:
@@ -43,7 +48,7 @@ def bots_combined(users: DataFrame, threshold: int = 100, min_hours: int = 1, hi
     m, total = F.col("max_actions_per_hour"), F.col("total_actions")
     kinds = sum((F.col(f"total_{k}_count") > 0).cast("int") for k in KINDS)
     flagged = (
-        users.filter((m >= threshold) & (F.col("active_hours") >= min_hours))
+        users.filter(is_suspect(threshold, min_hours))
         .withColumn("is_single_behavior", kinds == 1)
         .withColumn("is_no_purchase", F.col("total_buy_count") == 0)
         .withColumn("is_pv_only", F.col("total_pv_count") == total)

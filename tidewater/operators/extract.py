@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +53,61 @@ def extract(df: DataFrame, text: str, client: Callable[[str], str], out: str = "
     return df.mapInPandas(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
+def _replies(spark: SparkSession, store: str) -> DataFrame:
+    """(hash, reply) of a reply store; empty where nothing is stored."""
+    found = spark.read.schema("hash string, reply string").option("recursiveFileLookup", True)
+    spark.createDataFrame([], "hash string, reply string").write.mode("append").parquet(store)
+    return found.parquet(store).dropDuplicates(["hash"])
+
+
+def _asking(text: str, client: Callable[[str], str], run: str, retries: int, wait: float, parallel: int, size: int):
+    """Calls that are stored ``size`` at a time, by the task itself: what a lost attempt has stored isn't asked again."""
+
+    def call(value: str) -> str | None:
+        for k in range(retries):
+            try:
+                return client(value)
+            except Exception:
+                if k + 1 < retries:
+                    time.sleep(wait * 2**k)
+        return None
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(run) if ":/" in run else (fs.LocalFileSystem(), run)
+        own = f"{root}/part={TaskContext.get().partitionId()}"
+        store.create_dir(own, recursive=True)
+        done = [f.path for f in store.get_file_info(fs.FileSelector(own)) if f.path.endswith(".parquet")]
+        known = {h for f in done for h in pq.read_table(f, filesystem=store, columns=["hash"])["hash"].to_pylist()}
+        with ThreadPoolExecutor(parallel) as pool:
+            for batch in batches:
+                batch = batch[~batch["hash"].isin(known)]
+                for at in range(0, len(batch), size):
+                    part = batch[at : at + size]
+                    replies = list(pool.map(call, part[text]))
+                    kept = [(h, r) for h, r in zip(part["hash"], replies) if r is not None]
+                    if kept:
+                        name = f"{own}/{uuid.uuid4().hex}"
+                        pq.write_table(pa.table({"hash": [h for h, _ in kept], "reply": [r for _, r in kept]}), f"{name}.part", filesystem=store)
+                        store.move(f"{name}.part", f"{name}.parquet")
+                    yield pd.DataFrame({"n": [len(part)]})
+
+    return ask
+
+
+def extract_stored(df: DataFrame, text: str, client: Callable[[str], str], store: str, out: str = "reply", retries: int = 3, wait: float = 0.5, parallel: int = 20, size: int = 100) -> DataFrame:
+    """``extract`` with a reply store: equal texts are asked once, and texts whose reply is stored are not asked at all.
+
+    ``store`` is a folder that all tasks can write to. A failed call isn't stored, so the
+    next run asks again; here it gives the error word.
+    """
+    spark = df.sparkSession
+    hashed = df.withColumn("_hash", F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+    todo = hashed.select(F.col("_hash").alias("hash"), F.coalesce(F.col(text), F.lit("")).alias(text)).dropDuplicates(["hash"]).join(_replies(spark, store), "hash", "left_anti")
+    todo.mapInPandas(_asking(text, client, f"{store}/run-{uuid.uuid4().hex}", retries, wait, parallel, size), "n long").agg(F.sum("n")).collect()  # one row
+    replies = _replies(spark, store).select(F.col("hash").alias("_hash"), F.col("reply").alias(out))
+    return hashed.join(replies, "_hash", "left").select(*df.columns, F.coalesce(out, F.lit(ERROR_WORDS[2])).alias(out))
+
+
 def validate_reply(df: DataFrame, col: str, sentiments: tuple = SENTIMENTS, categories: tuple = CATEGORIES, most: int = SUMMARY) -> DataFrame:
     """Adds sentiment, category, summary (cut to ``most``) and format_valid."""
     parsed = F.from_json(F.col(col), REPLY)

@@ -2,23 +2,37 @@
 
 from __future__ import annotations
 
+from math import log
+
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges of scores that are ranked apart.
-BLOCKS = 4096
+from tidewater.operators.ranks import exact_quantiles, in_order, sketches
+from tidewater.session import stored
 
 
 def fit_scaler(df: DataFrame, cols: list[str]) -> dict[str, tuple[float, float, float]]:
     """Median, mean and population deviation of each column after filling with the median.
 
-    One row comes back to the caller: three numbers a column.
+    Two scans; three numbers a column come back to the caller. The moments of the filled
+    column are those of its values and of the median, as often as that fills.
     """
-    value = lambda c: F.expr(f"try_cast({c} as double)")
-    medians = df.agg(*[F.median(value(c)).alias(c) for c in cols]).first()
-    filled = lambda c: F.coalesce(value(c), F.lit(medians[c]))
-    row = df.agg(*[f(filled(c)).alias(f"{n}_{c}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    return {c: (medians[c], row[f"m_{c}"], row[f"s_{c}"] or 1.0) for c in cols}
+    value = {c: F.expr(f"try_cast({c} as double)") for c in cols}
+    row = df.agg(F.count("*").alias("rows"), *sketches(value, [0.5]), *[f(v).alias(f"{n}_{c}") for c, v in value.items() for n, f in (("m", F.avg), ("v", F.var_pop))]).first()
+    medians = exact_quantiles(df, value, [0.5], row)
+    out = {}
+    for i, c in enumerate(cols):
+        median, n = medians[c][0], row[f"_n{i}"]
+        if not n:
+            out[c] = (None, None, 1.0)
+            continue
+        k = row["rows"] - n
+        mean = (n * row[f"m_{c}"] + k * median) / (n + k)
+        spread = (n * (row[f"v_{c}"] + (row[f"m_{c}"] - mean) ** 2) + k * (median - mean) ** 2) / (n + k)
+        out[c] = (median, mean, spread**0.5 or 1.0)
+    return out
 
 
 def apply_scaler(df: DataFrame, params: dict[str, tuple[float, float, float]]) -> DataFrame:
@@ -88,27 +102,49 @@ def stratified_folds(df: DataFrame, label: str, key: str, k: int = 5, seed: int
     return class_ranks(df, label, key, seed).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).select(*df.columns, "fold")
 
 
+def char_counts(df: DataFrame, key: str, col: str) -> DataFrame:
+    """(key, term, tf): how often each lower-cased character occurs in a row; counted within the row, whose characters are sorted once."""
+    chars = df.filter(F.col(col).isNotNull()).select(key, F.array_sort(F.split(F.lower(col), "")).alias("_s")).filter(F.size("_s") > 0)
+    runs = chars.withColumn("_at", F.filter(F.sequence(F.lit(1), F.size("_s")), lambda i: (i == 1) | (F.get("_s", i - 1) != F.get("_s", i - 2))))
+    each = F.transform("_at", lambda i, k: F.struct(F.get("_s", i - 1).alias("term"), (F.coalesce(F.get("_at", k + 1), F.size("_s") + 1) - i).cast("long").alias("tf")))
+    return runs.select(key, F.explode(each).alias("e")).select(key, "e.term", "e.tf").filter("term != ''")
+
+
+def _kept_terms(each: DataFrame, k: int) -> DataFrame:
+    """(term, df) of the ``k`` most frequent terms."""
+    stats = each.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    return stats.orderBy(F.desc("cf"), "term").limit(k).select("term", "df")
+
+
+def _rarity(n: Column | float, df: Column | float) -> Column:
+    return F.log((1 + n) / (1 + df)) + 1
+
+
 def char_tfidf(df: DataFrame, key: str, col: str, k: int = 500) -> DataFrame:
     """(key, term, weight): characters weighted by count and smoothed rarity, of length 1 a row."""
-    docs = df.filter(F.col(col).isNotNull()).select(key, F.lower(col).alias("_t"))
-    # a row's characters are counted within the row
-    counted = F.transform(F.array_distinct(F.split("_t", "")), lambda c: F.struct(c.alias("term"), (F.length("_t") - F.length(F.replace(F.col("_t"), c, F.lit("")))).cast("long").alias("tf")))
-    each = docs.select(key, F.explode(counted).alias("e")).select(key, "e.term", "e.tf").filter("term != ''")
-    stats = each.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
-    kept = stats.orderBy(F.desc("cf"), "term").limit(k)
-    n = docs.agg(F.count("*").alias("n"))
-    weighed = each.join(F.broadcast(kept), "term").crossJoin(F.broadcast(n))  # at most k rows, and one row
-    raw = weighed.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
+    each = stored(char_counts(df, key, col))  # read three times
+    n = df.agg(F.count(col).alias("n"))
+    weighed = each.join(F.broadcast(_kept_terms(each, k)), "term").crossJoin(F.broadcast(n))  # at most k rows, and one row
+    raw = weighed.withColumn("w", F.col("tf") * _rarity(F.col("n"), F.col("df")))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
     return raw.select(key, "term", (F.col("w") / norm).alias("weight"))
 
 
-def to_vectors(entries: DataFrame, key: str, k: int) -> DataFrame:
-    """(key, vector): the entries of a row as an array over the ``k`` terms, in the order of the terms."""
-    terms = entries.select("term").distinct()
-    places = terms.withColumn("_i", F.row_number().over(Window.orderBy("term")) - 1)  # at most k rows
-    by_row = entries.join(F.broadcast(places), "term").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_i", "weight"))).alias("_m"))
-    return by_row.select(key, F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0.0))).alias("vector"))
+def tfidf_vectors(df: DataFrame, key: str, col: str, k: int = 500, out: str = "text_vector") -> tuple[DataFrame, list[str]]:
+    """``df`` with the weights of ``char_tfidf`` as a sparse vector, and the terms by place (sorted, at most ``k``).
+
+    Characters are counted, weighted and scaled in the row, so nothing is shuffled but the
+    terms' counts. A null text has no entries.
+    """
+    kept = _kept_terms(char_counts(df, key, col), k).orderBy("term").collect()  # at most k rows
+    n = df.agg(F.count(col)).first()[0]
+    terms = [r["term"] for r in kept]
+    # there is a place at least, so that vectors have one
+    model = CountVectorizerModel.from_vocabulary(terms or [" "], inputCol="_chars", outputCol="_counts")
+    weights = [log((1 + n) / (1 + r["df"])) + 1 for r in kept] or [1.0]
+    counted = model.transform(df.withColumn("_chars", F.split(F.lower(F.coalesce(F.col(col), F.lit(""))), "")))
+    weighed = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_counts", outputCol="_weighed").transform(counted)
+    return Normalizer(p=2.0, inputCol="_weighed", outputCol=out).transform(weighed).drop("_chars", "_counts", "_weighed"), terms
 
 
 def vector_density(entries: DataFrame, key: str, k: int) -> DataFrame:
@@ -116,17 +152,10 @@ def vector_density(entries: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def ordinal_encode(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Codes from 0 by sorted category, null as "Unknown"; joined from the table of categories.
-
-    Categories are numbered in two levels, by their first two characters and then within them.
-    """
+    """Codes from 0 by sorted category, null as "Unknown"; joined from the table of categories, which is numbered in ranges."""
     for c in cols:
         value = F.coalesce(F.col(c).cast("string"), F.lit("Unknown"))
-        found = df.select(value.alias("_v")).distinct().withColumn("_block", F.substring("_v", 1, 2))
-        counts = found.groupBy("_block").agg(F.count("*").alias("_n"))
-        before = counts.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_before"))  # one row a block
-        rank = F.row_number().over(Window.partitionBy("_block").orderBy("_v"))
-        codes = found.join(before, "_block").select("_v", (F.col("_before") + rank - 1).cast("int").alias(f"{c}_code"))
+        codes = in_order(df.select(value.alias("_v")).distinct(), ["_v"], number="_code").select("_v", F.col("_code").cast("int").alias(f"{c}_code"))
         df = df.withColumn("_v", value).join(codes, "_v").drop("_v")
     return df
 
@@ -134,16 +163,10 @@ def ordinal_encode(df: DataFrame, cols: list[str]) -> DataFrame:
 def binary_metrics(df: DataFrame, label: str, score: str, cut: float = 0.5) -> DataFrame:
     """Accuracy and the area under the curve with ties averaged.
 
-    Scores are grouped first, then ranked in two levels: ``BLOCKS`` equal ranges between the
-    least and the largest score, and within each.
+    Scores are grouped first; how many negatives stand below each comes from running sums
+    over sampled ranges, so scores that crowd make no long task.
     """
     by = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("q"))
-    span = df.agg(F.min(F.col(score).cast("double")).alias("lo"), F.max(F.col(score).cast("double")).alias("hi"))
-    place = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("s") - F.col("lo")) / (F.col("hi") - F.col("lo")) * BLOCKS))
-    by = by.crossJoin(F.broadcast(span)).withColumn("block", F.coalesce(place, F.when(F.col("s").isNull(), -1).otherwise(0)))  # span is one row
-    sums = by.groupBy("block").agg(F.sum("q").alias("n"))
-    before = sums.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n")).alias("before"))  # one row a block
-    below = F.col("before") + F.sum("q").over(Window.partitionBy("block").orderBy("s")) - F.col("q")
-    area = by.join(before, "block").withColumn("u", F.col("p") * (below + F.col("q") / 2.0)).agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    area = in_order(by, [F.col("s").asc_nulls_first()], {"below": "q"}).withColumn("u", F.col("p") * (F.col("below") + F.col("q") / 2.0)).agg(F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("q").alias("q"))
     hit = df.agg(F.round(F.avg(((F.col(score) >= cut).cast("int") == F.col(label)).cast("int")), 6).alias("accuracy"))
     return hit.crossJoin(area.select(F.round(F.when((F.col("p") > 0) & (F.col("q") > 0), F.col("u") / (F.col("p") * F.col("q"))), 6).alias("auc")))

@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import bots, clean, extract, features, funnel, models, profile, report, sessions
+from tidewater.operators import attributions, bots, clean, extract, features, funnel, models, profile, report, sessions
+from tidewater.session import stored
 from tidewater.sources import io
 from tidewater.streaming import streams
 
@@ -21,6 +21,7 @@ class EltConfig:
     dedup_keys: list[str] = field(default_factory=lambda: ["user_id", "item_id", "behavior_type", "timestamp"])
     timeout: int = 1800
     bucket_seconds: int = 3600
+    block_seconds: int = 14 * 86400
     threshold: int = 100
     min_hours: int = 1
     high: int = 500
@@ -32,20 +33,67 @@ def suspects(events: DataFrame, c: EltConfig) -> DataFrame:
     return bots.bots_combined(bots.user_activity(bots.hourly_activity(events, seconds=c.bucket_seconds)), c.threshold, c.min_hours, c.high, c.medium)
 
 
-def elt(events: DataFrame, c: EltConfig) -> DataFrame:
-    """Deduplicated events of users who aren't suspects, in sessions.
+def _dealt(events: DataFrame, c: EltConfig) -> DataFrame:
+    """Unique events, dealt once by user and block of time and sorted once; what follows uses that.
+
+    Blocks bound what one task gets of a user. They are whole buckets of the activity counts.
+    """
+    spread = sessions.in_blocks(events, "user_id", "timestamp", -(-c.block_seconds // c.bucket_seconds) * c.bucket_seconds)
+    block = ["_user", "_block"]
+    if not {"user_id", "timestamp"} <= set(c.dedup_keys):
+        return clean.dedup(spread, c.dedup_keys, c.tiebreak or None).repartition(*block)
+    others = [k for k in c.dedup_keys if k not in ("user_id", "timestamp")]
+    # in this order the sort also serves the sessions
+    return clean.dedup(spread.repartition(*block), [*block, "timestamp", *others], c.tiebreak or None)
+
+
+def _kept_blocks(dealt: DataFrame, c: EltConfig, ends: list[Column] = ()) -> DataFrame:
+    """(_user, _block, ...) of users who aren't suspects, a row each, with the aggregates ``ends`` of the block.
+
+    Buckets are counted where the events are; only rows of blocks are dealt by user, and
+    what holds for the whole user is told by a window over them.
+    """
+    names = ["_user", "_block"]
+    buckets = dealt.groupBy(*names, F.floor(F.col("timestamp") / c.bucket_seconds).alias("bucket")).agg(F.count("*").alias("n"), *ends)
+    folded = [f(x).alias(x) for x, f in (("_first", F.min), ("_last", F.max), ("_inner", F.max)) if x in buckets.columns]
+    blocks = buckets.groupBy(*names).agg(F.max("n").alias("n"), F.count("*").alias("hours"), *folded)
+    user = Window.partitionBy("_user")
+    blocks = blocks.withColumn("max_actions_per_hour", F.max("n").over(user)).withColumn("active_hours", F.sum("hours").over(user))
+    return blocks.filter(~bots.is_suspect(c.threshold, c.min_hours)).drop("n", "hours", "max_actions_per_hour", "active_hours")
+
+
+def elt_groups(events: DataFrame, c: EltConfig) -> DataFrame:
+    """Deduplicated events of users who aren't suspects, with session_group and _user (the user as a key that is never null).
+
+    Events are dealt by user and block only: once with the columns that decide, and once
+    more whole if others are wanted. Suspects and the borders of blocks are found from a row
+    for each block of a user, and what is left out is told by those rows as well, so
+    neither a bot nor a busy user makes a long task.
+    """
+    marks = sessions.marked(_dealt(events, c), "timestamp", c.timeout)
+    blocks = sessions.with_bases(_kept_blocks(marks, c, sessions.block_ends("timestamp")), c.timeout).select("_user", "_block", "_base")
+    return marks.join(blocks, ["_user", "_block"]).select("_user", *events.columns, (F.col("_base") + F.col("_breaks")).alias("session_group"))
+
 
-    Suspects are left out before sessions are made, so their rows are never sorted.
+def elt_by_user(events: DataFrame, c: EltConfig) -> DataFrame:
+    """``elt`` for a table that is stored in buckets by user (``io.write_bucketed``): no event is exchanged.
+
+    A user's events are one task here; ``elt`` splits them.
     """
     unique = clean.dedup(events, c.dedup_keys, c.tiebreak or None)
     kept = clean.exclude_keys(unique, suspects(unique, c).select("user_id"), "user_id")
-    return sessions.sessionize(kept, timeout=c.timeout, tiebreak=c.tiebreak).select(*events.columns, "session_id")
+    return sessions.sessionize(kept, timeout=c.timeout).select(*events.columns, "session_id")
+
+
+def elt(events: DataFrame, c: EltConfig) -> DataFrame:
+    """Deduplicated events of users who aren't suspects, in sessions."""
+    id_ = F.concat_ws("_", F.col("user_id").cast("string"), F.col("session_group").cast("string"))
+    return elt_groups(events, c).select(*events.columns, id_.alias("session_id"))
 
 
 def elt_funnel(events: DataFrame, c: EltConfig) -> DataFrame:
     """The job's summary: rows, users, sessions, and the funnel over what is kept; each user is summed up once."""
-    kept = elt(events, c)
-    users = funnel.behavior_matrix(kept, extra=[F.count("*").alias("rows_"), F.count_distinct("session_id").alias("sessions_")])
+    users = funnel.behavior_matrix(elt_groups(events, c), ["_user"], extra=[F.count("*").alias("rows_"), F.max("session_group").alias("sessions_")])
     stats = [F.coalesce(F.sum("rows_"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_users"), F.coalesce(F.sum("sessions_"), F.lit(0)).alias("n_sessions")]
     return funnel.funnel(users, extra=stats)
 
@@ -58,8 +106,8 @@ def elt_to(spark: SparkSession, source: str, target: str, c: EltConfig) -> DataF
 
 def export(events: DataFrame, c: EltConfig) -> DataFrame:
     """The shorter job: deduplicate and leave out suspects."""
-    unique = clean.dedup(events, c.dedup_keys, c.tiebreak or None)
-    return clean.exclude_keys(unique, suspects(unique, c).select("user_id"), "user_id")
+    dealt = _dealt(events, c)
+    return dealt.join(_kept_blocks(dealt, c), ["_user", "_block"], "left_semi").select(*events.columns)
 
 
 def clean_logs(logs: DataFrame) -> DataFrame:
@@ -130,12 +178,14 @@ def enrichment_job(spark: SparkSession, reviews: DataFrame, key: str, text: str,
 
 
 def classification_study(reviews: DataFrame, key: str, text: str, dense: list[str], label: str = "label", terms: int = 500, rounds: int = 100, top: int = 15) -> tuple[list[tuple], list[tuple]]:
-    """Characters against fields against both, on one split: (arm, accuracy, AUC) by arm, and the strongest features of both."""
+    """Characters against fields against both, on one split: (arm, accuracy, AUC, points of accuracy over arm A) by
+    arm, and the features with the largest parts in the margins of both's test rows."""
     known = reviews.filter(F.col(label).isNotNull()).select(key, F.coalesce(text, F.lit("")).alias(text), F.col(label).cast("double").alias(label), *dense)
-    entries = features.char_tfidf(known, key, text, terms)
-    names = [r[0] for r in entries.select("term").distinct().orderBy("term").collect()]  # at most ``terms``
-    vectors = features.to_vectors(entries, key, max(1, len(names))).withColumn("text_vector", array_to_vector("vector")).drop("vector")
-    coded = features.ordinal_encode(known.drop(text), dense).join(vectors, key)
+    vectors, names = features.tfidf_vectors(known, key, text, terms)
+    coded = stored(features.ordinal_encode(vectors.drop(text), dense))
     codes = [f"{c}_code" for c in dense]
     found = models.ablation(coded, {"A": ["text_vector"], "B": codes, "C": ["text_vector", *codes]}, key, label, rounds)
-    return [f[:3] for f in found], models.feature_ranking(found[-1][3], [*names, *dense], top)
+    both = found[-1][3]
+    test = models.fuse(features.split_stratified(coded, label, key, 0.2)[1], ["text_vector", *codes])
+    parts = attributions.strongest(attributions.attributions(test, both.stages[-1], key), [*names, *dense], top)
+    return [(arm, accuracy, auc, (accuracy - found[0][1]) * 100) for arm, accuracy, auc, _ in found], [tuple(r) for r in parts.collect()]  # at most ``top`` rows

@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -159,6 +161,15 @@ def in_sessions(b: DataFrame) -> DataFrame:
 
 
 on_b("w5_sessionize", lambda b: in_sessions(b).select(*SESSION_COLS), f"WITH {SESSIONS.format(t=TIMEOUT, b='b')} SELECT event_id, prev_timestamp, time_diff_seconds, is_new_session, session_group, user_id || '_' || session_group AS session_id FROM s")
+HEAVY_SQL = "heavy AS (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS user_id) FROM b)"
+
+
+def heavy(b: DataFrame) -> DataFrame:
+    """The events as if one user had a third of them."""
+    return b.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, 1).otherwise(F.col("user_id")))
+
+
+on_b("w5_sessionize_blocks", lambda b: sessions.sessionize(heavy(b), timeout=600, tiebreak=["event_id"], block=21600).select(*SESSION_COLS), f"WITH {HEAVY_SQL}, {SESSIONS.format(t=600, b='heavy')} SELECT event_id, prev_timestamp, time_diff_seconds, is_new_session, session_group, user_id || '_' || session_group AS session_id FROM s")
 on_b("a22_session_stats", lambda b: sessions.session_stats(in_sessions(b)), f"WITH {SESSIONS.format(t=TIMEOUT, b='b')} SELECT count(*) AS n_users, CAST(sum(n) AS BIGINT) AS n_sessions, round(avg(n), 6) AS mean_sessions, max(n) AS max_sessions FROM (SELECT user_id, max(session_group) AS n FROM s GROUP BY 1)")
 on_b("a22_session_distribution", lambda b: sessions.session_distribution(in_sessions(b)), f"WITH {SESSIONS.format(t=TIMEOUT, b='b')} SELECT n AS n_sessions, count(*) AS n_users FROM (SELECT user_id, max(session_group) AS n FROM s GROUP BY 1) GROUP BY 1")
 on_b("w7_hysteresis", lambda b: sessions.hysteresis(b.withColumn("x", F.col("value") / 100), "user_id", ["timestamp", "event_id"], "x").select("event_id", "is_on"), "SELECT event_id, coalesce(last_value(CASE WHEN value / 100 >= 0.85 THEN true WHEN value / 100 <= 0.30 THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY timestamp, event_id ROWS UNBOUNDED PRECEDING), false) AS is_on FROM b")
@@ -232,7 +243,7 @@ def _study(spark: SparkSession, d: str) -> tuple[list, list]:
 
 @_query("m14_ablation")
 def _ablation(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame(_study(spark, d)[0], "arm string, accuracy double, auc double")
+    return spark.createDataFrame(_study(spark, d)[0], "arm string, accuracy double, auc double, delta double")
 
 
 @_query("c9_classification_study")
@@ -305,6 +316,13 @@ UNIQUE = "d AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY user_id,
 KEPT = f"{UNIQUE}, {HOURS.format(s=86400, b='d')}, {USERS}, kept AS (SELECT * FROM d WHERE user_id NOT IN (SELECT user_id FROM u WHERE max_actions_per_hour >= 7 AND active_hours >= 1))"
 on_b("c5_elt", lambda b: jobs.elt(b, ELT).select(*EVENT, "session_id"), f"WITH {KEPT}, {SESSIONS.format(t=TIMEOUT, b='kept')} SELECT {E}, user_id || '_' || session_group AS session_id FROM s")
 on_b("c5_elt_funnel", lambda b: jobs.elt_funnel(b, ELT), f"WITH {KEPT}, {SESSIONS.format(t=TIMEOUT, b='kept')} SELECT (SELECT count(*) FROM s) AS n_rows, (SELECT count(DISTINCT user_id) FROM s) AS n_users, (SELECT count(DISTINCT (user_id, session_group)) FROM s) AS n_sessions, f.* FROM ({FUNNEL.format(m=MATRIX.format(k='user_id', b='kept'))}) f")
+def _over_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The job over a table stored in buckets by user."""
+    table = io.write_bucketed(behavior(spark, d), f"events_{uuid.uuid4().hex}", "user_id", ["timestamp"], 8)
+    return jobs.elt_by_user(table, ELT).select(*EVENT, "session_id")
+
+
+QUERIES["c5_elt_bucketed"] = (_over_buckets, QUERIES["c5_elt"][1])
 on_b("c6_export", lambda b: jobs.export(b, ELT).select(*EVENT), f"WITH {KEPT} SELECT {E} FROM kept")
 on_r("c10_dashboard_sentiment", lambda r: jobs.dashboard(r)["sentiment"], "SELECT sentiment, count(*) AS n FROM r GROUP BY 1")
 on_r("c10_dashboard_words", lambda r: jobs.dashboard(r)["words"], r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(review), '\p{L}{2,}')) AS word FROM r) GROUP BY 1 ORDER BY n DESC, word LIMIT 50")

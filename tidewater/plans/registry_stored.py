@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.operators import clean, features, models, profile, validate
+from tidewater.operators import clean, extract, features, models, profile, validate
 from tidewater.plans import jobs
-from tidewater.plans.shapes import BEHAVIOR_SQL, behavior
+from tidewater.plans.shapes import BEHAVIOR_SQL, REVIEWS_SQL, behavior, reviews
 from tidewater.session import scratch
 from tidewater.sources import io
-from tidewater.streaming import streams
+from tidewater.streaming import row_batches, session_state, streams
 
 QUERIES: dict = {}
 RAW = ["user_id", "item_id", "category_id", "behavior_type", "timestamp"]
 ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus"]
 B = f"WITH {BEHAVIOR_SQL} "
+SESSIONS = "s AS (SELECT *, sum(is_new) OVER (PARTITION BY user_id ORDER BY timestamp, event_id ROWS UNBOUNDED PRECEDING) AS session_group FROM (SELECT *, CASE WHEN timestamp - lag(timestamp) OVER (PARTITION BY user_id ORDER BY timestamp, event_id) <= 43200 THEN 0 ELSE 1 END AS is_new FROM b))"
 
 
 def _query(name: str, sql: str | None = None):
@@ -265,19 +268,120 @@ def _csv_stream(spark: SparkSession, d: str) -> DataFrame:
     """Files of at most a tenth of the rows, one a batch: the batches stay bounded, and nothing waits at the end."""
     path, events = scratch(spark), behavior(spark, d).select(*RAW)
     most = max(50, events.count() // 10)
-    io.write_csv(events.coalesce(1), f"{path}/in", header=False, max_rows=most)
-    query = _drained(streams.stream_behavior(spark, f"{path}/in", 1), path)
-    progress = streams.progress_frame(spark, query, most).agg((F.max("load") <= 1).alias("bounded"), F.min("backlog").alias("backlog"))
+    io.write_csv(events, f"{path}/in", header=False, max_rows=most)
+    with streams.watching(spark) as log:
+        query = _drained(streams.stream_behavior(spark, f"{path}/in", 1), path)
+        log.wait(query)
+    progress = streams.progress_frame(log, query, most).agg((F.max("load") <= 1).alias("bounded"), F.min("backlog").alias("backlog"))
     return io.read_table(spark, f"{path}/out").groupBy("behavior_type").agg(F.count("*").alias("n")).crossJoin(progress)  # one row
 
 
-@_query("st10_bounded_run", B + "SELECT count(*) AS n, count(*) AS total_rows FROM b")
+@_query("st10_bounded_run", B + "SELECT count(*) AS n, count(*) AS total_rows, CAST(130 AS BIGINT) AS total_batches FROM b")
 def _bounded(spark: SparkSession, d: str) -> DataFrame:
+    """More batches than Spark remembers: the tallies have them all."""
+    path = scratch(spark)
+    parts = behavior(spark, d).select(*RAW, (F.col("event_id") % 130).alias("part"))
+    parts.repartition("part").write.partitionBy("part").csv(f"{path}/in")
+    with streams.watching(spark) as log:
+        query = streams.stream_behavior(spark, f"{path}/in/*", 1).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        told = streams.run_for(query, 600, log)
+    return io.read_table(spark, f"{path}/out").agg(F.count("*").alias("n")).withColumns({c: F.lit(told[c]).cast("long") for c in ("total_rows", "total_batches")})
+
+
+@_query("st11_progress", B + "SELECT user_id % 120 AS file, count(*) AS n_rows, true AS grows, true AS shrinks FROM b GROUP BY 1")
+def _progress(spark: SparkSession, d: str) -> DataFrame:
+    """A file a batch, of the events of some users: rows by batch, elapsed time that grows and a backlog that shrinks."""
+    path, events = scratch(spark), behavior(spark, d).select(*RAW)
+    events.withColumn("part", F.col("user_id") % 120).repartition("part").write.partitionBy("part").csv(f"{path}/in")
+    with streams.watching(spark) as log:
+        query = _drained(streams.stream_behavior(spark, f"{path}/in/*", 1).withColumn("file", F.col("user_id").cast("long") % 120), path)
+        log.wait(query)
+    steps = streams.progress_frame(log, query)
+    w = Window.orderBy("batch")  # a row a batch
+    told = steps.withColumn("was", F.lag(F.struct("elapsed_ms", "backlog")).over(w)).agg(
+        F.sum("rows").alias("all"), F.every(F.coalesce(F.col("elapsed_ms") > F.col("was.elapsed_ms"), F.lit(True))).alias("grows"), F.every(F.coalesce(F.col("backlog") <= F.col("was.backlog"), F.lit(True))).alias("shrinks")
+    )
+    read = io.read_table(spark, f"{path}/out")
+    whole = told.join(read.agg(F.count("*").alias("all")), "all").drop("all")  # no row if the tallies aren't the rows
+    return read.groupBy("file").agg(F.count("*").alias("n_rows")).crossJoin(whole)  # one row
+
+
+@_query("st6_row_batches", B + "SELECT event_id, behavior_type, timestamp, true AS bounded FROM b")
+def _row_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Batches of at most 50 rows; the stream stops half-way and goes on from its checkpoint when more files have come."""
+    path, events = scratch(spark), behavior(spark, d).select("event_id", "behavior_type", "timestamp")
+    out = {"path": f"{path}/out", "checkpointLocation": f"{path}/checkpoint"}
+    with streams.watching(spark) as log:
+        for half in (0, 1):
+            events.filter(F.col("event_id") % 2 == half).coalesce(2).write.mode("append").parquet(f"{path}/in")
+            query = row_batches.stream_rows(spark, f"{path}/in").writeStream.format("parquet").options(**out).start()
+            query.processAllAvailable()
+            query.stop()
+            log.wait(query)
+    bounded = log.table().agg((F.max("rows") <= row_batches.ROWS).alias("bounded"))
+    return io.read_table(spark, f"{path}/out").crossJoin(bounded)  # one row
+
+
+@_query("st3_session_machine", B + f", {SESSIONS} SELECT user_id, min(timestamp) AS start, max(timestamp) AS last, count(*) AS n FROM s GROUP BY user_id, session_group")
+def _session_machine(spark: SparkSession, d: str) -> DataFrame:
+    """Events in order of time, a file a batch: sessions that ended in the stream, and those that are open when it stops."""
     path = scratch(spark)
-    io.write_csv(behavior(spark, d).select(*RAW), f"{path}/in", header=False)
-    query = streams.stream_behavior(spark, f"{path}/in", 100).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    told = streams.run_for(query, 600)
-    return io.read_table(spark, f"{path}/out").agg(F.count("*").alias("n")).withColumn("total_rows", F.lit(told["total_rows"]).cast("long"))
+    # seconds as file times would be: each range of time is a folder, and the stream takes them one by one
+    events = behavior(spark, d).select("event_id", "user_id", "timestamp")
+    span = events.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
+    width = max(1, -(-(span["hi"] - span["lo"] + 1) // 6))
+    for i in range(6):
+        low = span["lo"] + i * width
+        events.filter(F.col("timestamp").between(low, low + width - 1)).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", session_state.PROVIDER)
+    try:
+        _drained(session_state.session_machine(source, 43200), path)
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
+    return io.read_table(spark, f"{path}/out").unionByName(session_state.open_sessions(spark, f"{path}/checkpoint"))
+
+
+@_query("a8_sketched_cardinalities", B + "SELECT count(DISTINCT user_id) AS n_user_id, count(DISTINCT item_id) AS n_item_id, true AS user_near, true AS item_near FROM b")
+def _sketched(spark: SparkSession, d: str) -> DataFrame:
+    """Sketches stored by day and united, beside the exact counts: within five standard errors."""
+    events, cols = behavior(spark, d), ["user_id", "item_id"]
+    io.write_parquet(profile.daily_sketches(events, cols), path := scratch(spark))
+    told = profile.united_cardinalities(io.read_table(spark, path), cols).toDF("user", "item")
+    near = lambda c: (F.abs(F.col(c) - F.col(f"n_{c}_id")) <= 0.05 * F.col(f"n_{c}_id")).alias(f"{c}_near")
+    return profile.cardinalities(events, cols).crossJoin(told).select("n_user_id", "n_item_id", near("user"), near("item"))  # one row
+
+
+@_query("k2_bucketed_table", B + "SELECT user_id, count(*) AS n FROM b GROUP BY 1")
+def _bucketed(spark: SparkSession, d: str) -> DataFrame:
+    name = f"bucketed_{uuid.uuid4().hex}"
+    return io.write_bucketed(behavior(spark, d), name, "user_id", ["timestamp"], 8).groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@_query("m12_fuse_text", f"WITH {REVIEWS_SQL}, c AS (SELECT doc_id, lower(coalesce(review, '')) AS t, dense_rank() OVER (ORDER BY coalesce(cat, 'Unknown')) - 1 AS code FROM r), e AS (SELECT DISTINCT doc_id, unnest(string_split(t, '')) AS term FROM c), a AS (SELECT unnest(string_split(lower(review), '')) AS term FROM r WHERE review IS NOT NULL), k AS (SELECT term FROM a WHERE term <> '' GROUP BY term ORDER BY count(*) DESC, term LIMIT 500) SELECT doc_id, CAST((SELECT count(*) FROM k) + 1 AS INTEGER) AS size, CAST((SELECT count(*) FROM e JOIN k USING (term) WHERE e.doc_id = c.doc_id) + CAST(code > 0 AS INTEGER) AS INTEGER) AS n_entries, true AS unit FROM c")
+def _fused_text(spark: SparkSession, d: str) -> DataFrame:
+    """Sparse text weights of length 1 and a code in one vector."""
+    coded = features.ordinal_encode(reviews(spark, d).select("doc_id", "review", "cat"), ["cat"])
+    fused = models.fuse(features.tfidf_vectors(coded, "doc_id", "review")[0], ["text_vector", "cat_code"])
+    whole, text = vector_to_array("features"), vector_to_array("text_vector")
+    length = F.aggregate(text, F.lit(0.0), lambda a, x: a + x * x)
+    return fused.select("doc_id", F.size(whole).alias("size"), F.size(F.filter(whole, lambda x: x != 0)).alias("n_entries"), ((F.abs(length - 1) < 1e-9) | (length == 0)).alias("unit"))
+
+
+@_query("l2_reply_store", f"WITH {REVIEWS_SQL} SELECT doc_id, CAST(length(coalesce(review, '')) AS VARCHAR) AS reply, true AS asked_once FROM r")
+def _reply_store(spark: SparkSession, d: str) -> DataFrame:
+    """Asked in two runs, the second over all: each different text has been asked once."""
+    texts, store = reviews(spark, d).select("doc_id", "review"), scratch(spark)
+    extract.extract_stored(texts.filter("doc_id % 3 = 0"), "review", _length, store)
+    told = extract.extract_stored(texts, "review", _length, store)
+    stored = spark.read.schema("hash string, reply string").option("recursiveFileLookup", True).parquet(store).agg(F.count("*").alias("n"), F.count_distinct("hash").alias("m"))
+    once = stored.crossJoin(texts.agg(F.count_distinct(F.coalesce("review", F.lit(""))).alias("all"))).select(((F.col("n") == F.col("m")) & (F.col("n") == F.col("all"))).alias("asked_once"))
+    return told.select("doc_id", "reply").crossJoin(once)  # one row
+
+
+def _length(text: str) -> str:
+    return str(len(text))
 
 
 @_query("c7_scoring_stream", B + "SELECT CASE event_id % 50 WHEN 3 THEN 'invalid category_id: not_a_number' WHEN 4 THEN 'missing category_id' ELSE 'scored' END AS status, count(*) AS n FROM b GROUP BY 1")

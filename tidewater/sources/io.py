@@ -79,6 +79,16 @@ def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "over
     df.hint("rebalance", *by).write.mode(mode).partitionBy(*by).option("compression", "snappy").parquet(path)
 
 
+def write_bucketed(df: DataFrame, name: str, by: str, sort: list[str] = (), buckets: int = 64) -> DataFrame:
+    """The table ``name``, in ``buckets`` by a key and sorted within each: grouping, windows and joins by the key need no exchange later.
+
+    Rows are dealt by the key first, so a bucket is one file. Buckets should be few enough
+    for files of a good size, and many enough for a bucket to fit a task.
+    """
+    (df.repartition(buckets, by).write.mode("overwrite").bucketBy(buckets, by).sortBy(by, *sort).format("parquet").saveAsTable(name))
+    return df.sparkSession.table(name)
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True, max_rows: int | None = None) -> None:
     """``max_rows``: rows of a file at most, which bounds what a stream takes of it at once."""
     w = df.write.mode(mode).option("header", header).option("escape", '"')

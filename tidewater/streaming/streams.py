@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+import threading
+import time
+from collections import defaultdict
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from tidewater.operators.models import score, split_dead_letters
+from tidewater.session import scratch
 
 EVENT = "event_id string, event_time timestamp, user_id long, item_id long, behavior_type string, session_id string, _corrupt_record string"
+PROGRESS = "run string, batch long, at string, rows long, rows_per_second double, batch_ms long, backlog long"
 RAW = "user_id string, item_id string, category_id string, behavior_type string, timestamp string"
 
 
@@ -58,12 +67,76 @@ def stream_score(source: DataFrame, model: PipelineModel, good_path: str, dead_p
     return (w.trigger(processingTime=interval) if interval else w.trigger(availableNow=True)).start()
 
 
-def run_for(query: StreamingQuery, seconds: int) -> dict:
-    """Lets a query run for a time and stops it; its last progress, and the batches and rows in all."""
-    query.awaitTermination(seconds)
+class ProgressLog(StreamingQueryListener):
+    """What every batch of the session's queries has told, from the first to the last.
+
+    Add it before the queries start (``watching``). Spark itself keeps only the last 100
+    batches of a query. Rows are held here until ``flush`` appends them to the stored table,
+    which ``run_for`` does again and again, so a long run holds few at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or scratch(spark)
+        self._rows: list[tuple] = []
+        self._lock, self._ended = threading.Lock(), defaultdict(threading.Event)
+        spark.createDataFrame([], PROGRESS).write.mode("append").parquet(self.path)
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        waiting = sum(int((s.metrics or {}).get("numFilesOutstanding", 0)) for s in p.sources)
+        rate = p.processedRowsPerSecond
+        row = (str(p.runId), p.batchId, p.timestamp, p.numInputRows, 0.0 if rate is None or rate != rate else float(rate), p.batchDuration, waiting)
+        with self._lock:
+            self._rows.append(row)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self._ended[str(event.runId)].set()
+
+    def wait(self, query: StreamingQuery, seconds: float = 60) -> None:
+        """Until all that the stopped query has told is here; events come in order, its end last."""
+        if not self._ended[str(query.runId)].wait(seconds):
+            raise TimeoutError("the query's last event hasn't come; was the log added before it started?")
+
+    def flush(self) -> None:
+        with self._lock:
+            rows, self._rows = self._rows, []
+        if rows:
+            self.spark.createDataFrame(rows, PROGRESS).coalesce(1).write.mode("append").parquet(self.path)
+
+    def table(self, query: StreamingQuery | None = None) -> DataFrame:
+        """A row a batch, of all queries or of one run."""
+        self.flush()
+        out = self.spark.read.schema(PROGRESS).parquet(self.path)
+        return out if query is None else out.filter(F.col("run") == str(query.runId))
+
+
+@contextmanager
+def watching(spark: SparkSession, path: str | None = None) -> Iterator[ProgressLog]:
+    """A ``ProgressLog`` that listens inside the block."""
+    log = ProgressLog(spark, path)
+    spark.streams.addListener(log)
+    try:
+        yield log
+    finally:
+        log.flush()
+        spark.streams.removeListener(log)
+
+
+def run_for(query: StreamingQuery, seconds: float, log: ProgressLog, every: float = 30) -> dict:
+    """Lets a query run for a time and stops it; its last progress, and the batches and rows of the whole run."""
+    end = time.monotonic() + seconds
+    while (left := end - time.monotonic()) > 0 and not query.awaitTermination(min(left, every)):
+        log.flush()
     query.stop()
-    seen = {p["batchId"]: int(p["numInputRows"]) for p in query.recentProgress}
-    return dict(query.lastProgress or {}) | {"total_batches": sum(n > 0 for n in seen.values()), "total_rows": sum(seen.values())}
+    log.wait(query)
+    told = log.table(query).agg(F.count_if(F.col("rows") > 0).alias("b"), F.sum("rows").alias("r")).first()
+    return dict(query.lastProgress or {}) | {"total_batches": told["b"], "total_rows": told["r"] or 0}
 
 
 def tallies(spark: SparkSession, good_path: str, dead_path: str) -> DataFrame:
@@ -73,8 +146,14 @@ def tallies(spark: SparkSession, good_path: str, dead_path: str) -> DataFrame:
     return good.unionByName(dead).groupBy("status").agg(F.count("*").alias("n"))
 
 
-def progress_frame(spark: SparkSession, query: StreamingQuery, capacity: int = 0) -> DataFrame:
-    """(batch, rows, rows_per_second, elapsed_ms, load, backlog): load is rows over capacity, 0 if unbounded; backlog the files that wait."""
-    waiting = lambda p: sum(int((s.get("metrics") or {}).get("numFilesOutstanding", 0)) for s in p["sources"])
-    rows = [(int(p["batchId"]), int(p["numInputRows"]), float(p.get("processedRowsPerSecond") or 0.0), int(p["durationMs"].get("triggerExecution", 0)), p["numInputRows"] / capacity if capacity else 0.0, waiting(p)) for p in query.recentProgress]
-    return spark.createDataFrame(rows, "batch long, rows long, rows_per_second double, elapsed_ms long, load double, backlog long")
+def progress_frame(log: ProgressLog, query: StreamingQuery, capacity: int = 0) -> DataFrame:
+    """(batch, rows, rows_per_second, batch_ms, elapsed_ms, load, backlog) of all batches of a run.
+
+    elapsed_ms is the time since the run's first batch began, load is rows over capacity (0
+    if unbounded), backlog the files that wait.
+    """
+    rows = log.table(query)
+    began = rows.agg(F.min(F.to_timestamp("at")).alias("began"))  # one row
+    load = F.col("rows") / F.lit(float(capacity)) if capacity else F.lit(0.0)
+    elapsed = (F.unix_millis(F.to_timestamp("at")) - F.unix_millis("began") + F.col("batch_ms")).alias("elapsed_ms")
+    return rows.crossJoin(F.broadcast(began)).select("batch", "rows", "rows_per_second", "batch_ms", elapsed, load.alias("load"), "backlog")
