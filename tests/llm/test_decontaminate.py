@@ -68,10 +68,35 @@ def test_made(spark, made):
     assert Counter(map(tuple, dc.op4_decontamination(spark, d).collect())) == expected(docs, items)
 
 
-def test_all_terms_indexed_beyond_the_bound(spark, made, monkeypatch):
+@pytest.mark.parametrize("bits", [1 << 15, dc.BITS])
+def test_without_broadcasts_and_with_terms_that_the_bitmap_lets_through(spark, made, monkeypatch, bits):
     d, docs, items = made
-    monkeypatch.setattr(dc.positional_index, "__defaults__", ("doc_id", "text", 5))
-    assert Counter(map(tuple, dc.op4_decontamination(spark, d).collect())) == expected(docs, items)
+    monkeypatch.setattr(dc, "BITS", bits)
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert Counter(map(tuple, dc.op4_decontamination(spark, d).collect())) == expected(docs, items)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("dc_")]
+
+
+def test_postings_are_not_moved_again(spark, made):
+    """The join that checks candidates exchanges their side only."""
+    d, docs, items = made
+    terms, _ = dc.windows(spark.createDataFrame(items, "item_id long, text string"))
+    index = dc.positional_index(spark.createDataFrame(docs, "doc_id long, text string"), terms.select("dc_term").distinct())
+    other = spark.range(10).selectExpr("id as dc_a", "cast(id as int) as dc_b", "string(id) as dc_term")
+    plan = other.join(index.hint("merge"), dc.POSTING)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" in plan
+    dc.drop_index(index)
+
+
+def test_very_long_text(spark):
+    items = spark.createDataFrame([(1, prose(20, 1))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{prose(300_000, 2)} {prose(20, 1)}")], "doc_id long, text string")
+    found, sizes = dc.hits(docs, items)
+    assert found.first()["dc_hit"] == 20 and sizes.first()["dc_words"] == 300_020
 
 
 def test_tables(spark, sf):

@@ -3,13 +3,15 @@
 The index is a stored table with one row for each (term, document): the term's positions
 in the document. A phrase is looked up from its rarest terms: the position lists of the
 two rarest are moved back by the terms' offsets in the phrase and intersected, which
-leaves few candidate places; these are then checked against the lists of all other
-terms, of which only the documents with a candidate are moved. Everything is a join on
-(document, term) or a grouped count, so no list of a frequent term is ever gathered in
-one task, and texts are read once for the index and never shuffled.
+leaves few candidate places; these are then checked against the lists of all other terms.
+Everything is a join on (document, term) or a grouped count, so no list of a frequent term
+is ever gathered in one task, and texts are read once for the index and never shuffled.
 
-If the terms of the benchmark are few (up to ``MAX_TERMS``, counted first) only they are
-indexed; beyond that every term is, and a semi-join leaves those that are needed.
+The index is stored in buckets by document and term, so the join that checks candidates
+finds the postings where they are: they are moved once, when the index is made, whatever
+the number of candidates. Postings of terms that no item has are left out by a bitmap of
+the terms' hashes, which has the same bounded size for any benchmark; the few that it lets
+through are dropped by the joins.
 
 Defined results: null and empty texts have no words; repeated rows are judged each and
 alike (documents are keyed by a 96-bit hash of id and text); an item without words has no
@@ -20,10 +22,14 @@ are not looked at, and those named dc_* are replaced.
 
 from __future__ import annotations
 
+import itertools
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +37,10 @@ from pyspark.sql import types as T
 from tidewater.llm.common import stored, table, text_or_empty
 
 WINDOW = 13
-MAX_TERMS = 1_000_000
+#: Hash values of terms that the bitmap tells apart; a power of two.
+BITS = 1 << 24
+#: What the index is in buckets by.
+POSTING = ["dc_a", "dc_b", "dc_term"]
 #: Contract: words are runs of digits, letters a-z and all beyond ASCII; A-Z count as a-z.
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -53,27 +62,42 @@ def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.withColumn("dc_a", F.xxhash64(F.col(id_col), t)).withColumn("dc_b", F.hash(t, F.col(id_col)))
 
 
-def _post(terms: dict[bytes, int] | None):
+def _bitmap(terms: DataFrame) -> np.ndarray:
+    """Which of ``BITS`` hash values the terms have; packed to 2 MB."""
+    place = F.pmod(F.xxhash64("dc_term"), F.lit(BITS)) + 1  # places count from 1
+    rows = terms.groupBy(F.bitmap_bucket_number(place).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()  # at most BITS / 32768 rows
+    out = np.zeros(BITS, np.uint8)
+    for r in rows:
+        part = np.unpackbits(np.frombuffer(r["bits"], np.uint8), bitorder="little")
+        out[(r["k"] - 1) * len(part) :][: len(part)] = part
+    return np.packbits(out)
+
+
+def _post(bitmap: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(bitmap)
         for whole in batches:
             for start in range(0, whole.num_rows, 512):
                 batch = whole.slice(start, 512)
-                own = {} if terms is None else terms
+                own: dict[bytes, int] = defaultdict(itertools.count().__next__)
                 ids, sizes = [], []
                 for text in batch.column(2).cast(pa.binary()).to_pylist():
                     found = text.translate(BYTES).split()
                     sizes.append(len(found))
-                    ids += [own.setdefault(w, len(own)) for w in found] if terms is None else [own.get(w, -1) for w in found]
+                    ids += map(own.__getitem__, found)
+                names = list(own)
+                # the hash that Spark gives, without its sign, which the number of bits divides out
+                kept = wanted[np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in names), np.uint64, len(names)) % np.uint64(len(wanted))] > 0
                 id_ = np.array(ids, np.int64)
                 size = np.array(sizes, np.int64)
                 doc = np.repeat(np.arange(len(size)), size)
                 place = np.arange(len(id_)) - np.repeat(np.cumsum(size) - size, size)
-                at = np.flatnonzero(id_ >= 0)
+                at = np.flatnonzero(kept[id_]) if len(id_) else np.zeros(0, np.int64)
                 at = at[np.argsort(doc[at] * (len(own) + 1) + id_[at], kind="stable")]
                 doc, id_, place = doc[at], id_[at], place[at].astype(np.int32)
                 first = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (id_[1:] != id_[:-1])]) if len(at) else np.zeros(0, np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), pa.array(place))
-                names = pa.array([w.decode() for w in own] + [SIZE], pa.string())
+                shown = pa.array([w.decode() for w in names] + [SIZE], pa.string())
                 # after the postings, the size of each document
                 lists = pa.concat_arrays([lists, pa.array([[]] * len(size), lists.type)])
                 row = pa.array(np.r_[doc[first], np.arange(len(size))])
@@ -81,7 +105,7 @@ def _post(terms: dict[bytes, int] | None):
                     [
                         batch.column(0).take(row),
                         batch.column(1).take(row),
-                        names.take(pa.array(np.r_[id_[first], np.full(len(size), len(own))])),
+                        shown.take(pa.array(np.r_[id_[first], np.full(len(size), len(own))])),
                         pa.array(np.r_[np.diff(np.r_[first, len(at)]), size].astype(np.int32)),
                         lists,
                     ],
@@ -91,19 +115,25 @@ def _post(terms: dict[bytes, int] | None):
     return run
 
 
-def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str = "text", max_terms: int = MAX_TERMS) -> DataFrame:
-    """(dc_a, dc_b, dc_term, dc_tf, dc_at): the postings of ``terms`` (dc_term), stored.
+def positional_index(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """(dc_a, dc_b, dc_term, dc_tf, dc_at): the postings of ``terms`` (dc_term), stored in buckets by document and term.
 
     Each document also has a row with the term ``SIZE``, whose dc_tf is its number of words.
+    ``drop_index`` deletes the table.
     """
-    few = terms.limit(max_terms + 1).collect()
-    known = {r[0].encode(): i for i, r in enumerate(few)} if len(few) <= max_terms else None
+    spark = docs.sparkSession
     schema = T.StructType().add("dc_a", "long").add("dc_b", "integer").add("dc_term", "string").add("dc_tf", "integer").add("dc_at", T.ArrayType(T.IntegerType()))
     given = keyed(docs, id_col, text).select("dc_a", "dc_b", text_or_empty(text).alias("dc_text"))
-    posted = given.mapInArrow(_post(known), schema)
-    if known is None:
-        posted = posted.join(terms.union(docs.sparkSession.createDataFrame([(SIZE,)], "dc_term string")), "dc_term", "left_semi")
-    return stored(posted)
+    posted = given.mapInArrow(_post(_bitmap(terms)), schema)
+    name, buckets = f"dc_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    posted.repartition(buckets, *POSTING).write.bucketBy(buckets, *POSTING).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out.named = name
+    return out
+
+
+def drop_index(index: DataFrame) -> None:
+    index.sparkSession.sql(f"DROP TABLE IF EXISTS {index.named}")
 
 
 def sizes(index: DataFrame) -> DataFrame:
@@ -150,17 +180,18 @@ def phrase_matches(index: DataFrame, phrases: DataFrame) -> DataFrame:
     # a repeated row has its postings twice: which of the two terms are there, not how many rows
     candidates = stored(rare.filter("dc_start >= 0").groupBy(*spot).agg(F.bit_or("dc_rank").alias("dc_n")).filter("dc_n = if(dc_len = 1, 1, 3)").drop("dc_n"))
     others = candidates.join(ranked.filter("dc_rank > 2").drop("dc_len"), "dc_win")
-    # the postings of documents without a candidate are left out before the rest moves
-    near = index.join(stored(candidates.select("dc_a").distinct()), "dc_a", "left_semi")
+    # the index is in buckets by these keys, so its side isn't moved
     checked = (
-        others.join(near, ["dc_a", "dc_b", "dc_term"])
+        others.join(index, POSTING)
         .filter("array_contains(dc_at, dc_start + dc_off)")
         .groupBy(*spot)
         .agg(F.size(F.collect_set("dc_off")).alias("dc_n"))
         .filter("dc_n = dc_len - 2")
         .drop("dc_n")
     )
-    return checked.union(candidates.filter("dc_len <= 2").select(*spot))
+    out = checked.union(candidates.filter("dc_len <= 2").select(*spot))
+    out.needs = [ranked, candidates]
+    return out
 
 
 def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int) -> DataFrame:
@@ -168,7 +199,7 @@ def proximity_matches(index: DataFrame, phrases: DataFrame, slop: int) -> DataFr
     other term stands within ``slop`` positions of where the phrase has it."""
     ranked = _ranked(index, phrases)
     rare = index.join(ranked.filter("dc_rank = 1"), "dc_term").select("dc_a", "dc_b", "dc_win", "dc_len", F.explode(F.transform("dc_at", lambda p: p - F.col("dc_off"))).alias("dc_start"))
-    near = rare.join(ranked.filter("dc_rank > 1").select("dc_win", "dc_off", "dc_term"), "dc_win").join(index, ["dc_a", "dc_b", "dc_term"])
+    near = rare.join(ranked.filter("dc_rank > 1").select("dc_win", "dc_off", "dc_term"), "dc_win").join(index, POSTING)
     spot = ["dc_a", "dc_b", "dc_win", "dc_start", "dc_len"]
     ok = near.filter(F.exists("dc_at", lambda p: F.abs(p - F.col("dc_start") - F.col("dc_off")) <= slop)).groupBy(*spot).agg(F.size(F.collect_set("dc_off")).alias("dc_n")).filter("dc_n = dc_len - 1")
     return ok.drop("dc_n").union(rare.filter("dc_len = 1").select(*spot)).drop("dc_len")
@@ -180,7 +211,10 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     terms, owners = windows(items, item, item_text, size)
     terms, owners = stored(terms), stored(owners)
     index = positional_index(docs, terms.select("dc_term").distinct(), id_col, text)
-    found = stored(phrase_matches(index, terms))
+    matches = phrase_matches(index, terms)
+    found = stored(matches, terms, *matches.needs)
+    counted = stored(sizes(index))
+    drop_index(index)
     spans = F.array_sort(F.collect_set(F.struct(F.col("dc_start").alias("s"), (F.col("dc_start") + F.col("dc_len")).alias("e"))))
     covered = F.aggregate(
         "dc_spans",
@@ -190,7 +224,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
     )
     hit = found.groupBy("dc_a", "dc_b").agg(spans.alias("dc_spans")).select("dc_a", "dc_b", covered.alias("dc_hit"))
     named = found.select("dc_a", "dc_b", "dc_win").distinct().join(owners, "dc_win").groupBy("dc_a", "dc_b").agg(F.array_sort(F.collect_set("dc_item")).alias("dc_items"))
-    return hit.join(named, ["dc_a", "dc_b"]), sizes(index)
+    return hit.join(named, ["dc_a", "dc_b"]), counted
 
 
 def contaminated(n_hit: Column, n_words: Column) -> Column:
