@@ -47,6 +47,8 @@ TITLES = {
 }
 _FORMS = {g: [*ts, *(t.upper() for t in ts)] for g, ts in TITLES.items()}
 _TITLE = "|".join(t for ts in _FORMS.values() for t in sorted(ts, key=len, reverse=True))
+#: One title or some ("Prof. Dr."); so many at most that no name has more.
+_HEAD = rf"(?:(?:{_TITLE})\b\.? ){{1,4}}+"
 _NAME = r"\p{Lu}[\p{L}'’]+(?:[ \-]\p{Lu}[\p{L}'’]+){0,2}"
 #: Type -> pattern, in the order in which they are tried at a place.
 PATTERNS = {
@@ -55,7 +57,7 @@ PATTERNS = {
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<!\d)(?:\d{4}(?:[ \-]?\d{4}){3}|\d{13,19})(?!\d)",
     "phone": rf"(?<![{_L}+.\-])(?:\+\d{{8,15}}|\+\d{{1,3}}{_SEP}{{0,3}}(?:\(\d{{1,4}}\)|\d{{1,4}})(?:{_SEP}{{1,3}}\d{{2,4}}){{1,4}}|\(\d{{2,4}}\){_SEP}{{0,3}}\d{{3,4}}{_SEP}{{1,3}}\d{{3,4}}|\d{{3}}[\-. ]\d{{3}}[\-. ]\d{{4}})(?!\p{{N}})",
-    "name": rf"\b(?:{_TITLE})\b\.? {_NAME}",
+    "name": rf"\b{_HEAD}{_NAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 NUMBERS = ("ssn", "card", "phone")
@@ -76,11 +78,11 @@ def kind_of(match: Column) -> Column:
 
 
 def _title(match: Column) -> Column:
-    return F.regexp_extract(match, rf"^(?:{_TITLE})\b\.? ", 0)
+    return F.regexp_extract(match, rf"^{_HEAD}", 0)
 
 
 def _untitled(match: Column) -> Column:
-    return F.regexp_replace(match, rf"^(?:{_TITLE})\b\.? ", "")
+    return F.regexp_replace(match, rf"^{_HEAD}", "")
 
 
 def canonical(kind: Column, match: Column) -> Column:
@@ -91,8 +93,9 @@ def canonical(kind: Column, match: Column) -> Column:
 
 
 def gender(match: Column) -> Column:
-    """m or f by the title of a match, null without one that tells."""
-    title = F.regexp_replace(_title(match), r"\.? $", "")
+    """m or f by the first title of a match that tells, else null."""
+    telling = "|".join(sorted([*_FORMS["m"], *_FORMS["f"]], key=len, reverse=True))
+    title = F.regexp_extract(_title(match), rf"(?:^| )({telling})\b\.?(?= )", 1)
     return F.when(title.isin(_FORMS["m"]), "m").when(title.isin(_FORMS["f"]), "f")
 
 
