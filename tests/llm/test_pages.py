@@ -156,6 +156,16 @@ def test_audit_of_any_ids(spark):
     b = spark.createDataFrame([(i, "x" if t == "text 7" else t) for i, t in rows], "id string, t string")
     assert {(r["id"], r["status"], r["length"]) for r in fixity.audit(a, b, "id", ["t"]).collect()} == {("id7", "corrupt", 6)}
     wide = [(i * 2**52 - 2**62, f"t{i}") for i in range(1000)]
-    got = sorted((r["fx_no"], r["fx_id"]) for r in fixity.placed(fixity.records(spark.createDataFrame(wide, "id long, t string"), "id", ["t"]), 16).collect())
-    assert got == [(i, w[0]) for i, w in enumerate(wide)]
+    wide += [(10**18 * 4, "stray")]
+    placed = fixity.placed(fixity.records(spark.createDataFrame(wide, "id long, t string"), "id", ["t"])).collect()
+    order = sorted(wide)
+    assert sorted((r["fx_no"], r["fx_id"]) for r in placed) == [(i, w[0]) for i, w in enumerate(order)]
+    ends = [sum(len(w[1]) for w in order[:i]) for i in range(len(order))]
+    assert [r["fx_offset"] for r in sorted(placed, key=lambda r: r["fx_no"])] == ends
     assert [r["status"] for r in fixity.audit(a, a, "id", ["t"]).collect()] == []
+
+
+def test_audit_of_a_very_long_payload(spark):
+    a = spark.createDataFrame([(1, "x" * 20_000_000), (2, "y")], "id long, t string")
+    b = spark.createDataFrame([(1, "x" * 19_999_999 + "z"), (2, "y")], "id long, t string")
+    assert [tuple(r) for r in fixity.audit(a, b, "id", ["t"]).collect()] == [(1, 0, 0, 20_000_000, "corrupt")]

@@ -8,8 +8,8 @@ from the root down, and only children of nodes that differ are looked at on the
 level: a changed record costs a path, also if its length has changed.
 
 Record numbers and offsets are running counts and sums over the whole archive, made in
-two levels (blocks of neighbouring ids, as wide as the number of records calls for, then
-inside each block). Levels are grouped aggregates by node; each shrinks its input by
+ranges of ids whose borders Spark samples, so that ranges are even however ids are spread.
+Levels are grouped aggregates by node; each shrinks its input by
 ``FANOUT``, and no node has more children than that.
 
 Defined results: a null payload has length 0 and a digest of its own; whole-number ids
@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.llm.common import stored, table
+from tidewater.operators.ranks import in_order
 
 FANOUT = 8
-BLOCK = 4096
 
 
 def records(df: DataFrame, id_col: str, parts: list[str]) -> DataFrame:
@@ -39,30 +39,12 @@ def records(df: DataFrame, id_col: str, parts: list[str]) -> DataFrame:
     return df.select(F.col(id_col).alias("fx_id"), size.cast("long").alias("fx_len"), F.sha2(framed, 256).alias("fx_hash"))
 
 
-def placed(recs: DataFrame, block: int = BLOCK) -> DataFrame:
+def placed(recs: DataFrame) -> DataFrame:
     """Adds fx_no (from 0) and fx_offset, in the order of ids, nulls first."""
     whole = isinstance(recs.schema["fx_id"].dataType, T.IntegralType)
     keyed = recs.withColumn("fx_key", F.col("fx_id").cast("long") if whole else F.when(F.col("fx_id").isNotNull(), F.xxhash64("fx_id")))
-    # so wide that a block has about ``block`` records; one row
-    low, high, n = keyed.agg(F.min("fx_key"), F.max("fx_key"), F.count("fx_key")).first()
-    width = max(1, ((high or 0) - (low or 0)) * block // max(n, 1))
-    span = F.lit(str(low or 0)).cast("decimal(38,0)")
-    numbered = F.floor((F.col("fx_key").cast("decimal(38,0)") - span) / F.lit(str(width)).cast("decimal(38,0)")).cast("long")
-    # null ids are in the order of their digests, whose first digits make blocks
-    unnamed = F.conv(F.substring("fx_hash", 1, 3), 16, 10).cast("long") - 4096
-    based = keyed.withColumn("fx_block", F.coalesce(numbered, unnamed))
-    sums = based.groupBy("fx_block").agg(F.count("*").alias("n"), F.sum("fx_len").alias("bytes"))
-    # blocks of blocks, so that the running sum over all blocks is short in every task
-    upper = sums.withColumn("fx_upper", F.floor(F.col("fx_block") / F.lit(block)))
-    tops = upper.groupBy("fx_upper").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
-    along = Window.orderBy("fx_upper")
-    tops = tops.select("fx_upper", (F.sum("n").over(along) - F.col("n")).alias("n_top"), (F.sum("bytes").over(along) - F.col("bytes")).alias("b_top"))
-    inner = Window.partitionBy("fx_upper").orderBy("fx_block")
-    starts = upper.join(tops, "fx_upper").select("fx_block", (F.col("n_top") + F.sum("n").over(inner) - F.col("n")).alias("n0"), (F.col("b_top") + F.sum("bytes").over(inner) - F.col("bytes")).alias("b0"))
-    w = Window.partitionBy("fx_block").orderBy(F.col("fx_key").asc_nulls_first(), F.col("fx_id").asc_nulls_first(), "fx_hash")
-    return based.join(starts, "fx_block").select(
-        "fx_id", "fx_len", "fx_hash", (F.col("n0") + F.row_number().over(w) - 1).alias("fx_no"), (F.col("b0") + F.sum("fx_len").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("fx_len")).alias("fx_offset")
-    )
+    order = [F.col("fx_key").asc_nulls_first(), F.col("fx_id").asc_nulls_first(), "fx_hash"]
+    return in_order(keyed, order, {"fx_offset": "fx_len"}, "fx_no").select("fx_id", "fx_len", "fx_hash", "fx_no", "fx_offset")
 
 
 def _node(children: Column) -> Column:
@@ -105,7 +87,8 @@ def audit(a: DataFrame, b: DataFrame, id_col: str, parts: list[str], fanout: int
     status: corrupt (same id, other bytes), missing or extra (the id is on one side only)
     or moved (the record is whole, but stands elsewhere since others are missing or extra).
     """
-    x, y = stored(placed(records(a, id_col, parts))), stored(placed(records(b, id_col, parts)))
+    # records are stored, as placing them reads them twice
+    x, y = (stored(placed(stored(records(r, id_col, parts)))) for r in (a, b))
     bad = differing(tree(x, fanout), tree(y, fanout), fanout)
     mine = x.join(bad, x["fx_no"] == bad["no"], "left_semi").alias("x")
     other = y.join(bad, y["fx_no"] == bad["no"], "left_semi").alias("y")
