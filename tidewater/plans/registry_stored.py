@@ -326,7 +326,7 @@ def _row_batches(spark: SparkSession, d: str) -> DataFrame:
 def _session_machine(spark: SparkSession, d: str) -> DataFrame:
     """Events in order of time, a file a batch: sessions that ended in the stream, and those that are open when it stops."""
     path = scratch(spark)
-    # seconds as file times would be: each range of time is a folder, and the stream takes them one by one
+    # files are taken in the order of their times, so ranges of time are written one after the other
     events = behavior(spark, d).select("event_id", "user_id", "timestamp")
     span = events.agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi")).first()
     width = max(1, -(-(span["hi"] - span["lo"] + 1) // 6))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -66,17 +65,13 @@ class RowReader(SimpleDataSourceStreamReader):
                 low, high = max(first, at), min(first + n, at + size)
                 if low < high:
                     part = pq.ParquetFile(file, filesystem=store).read_row_group(group, columns=self.names).slice(low - at, high - low)
-                    out += zip(*[_plain(part[c]) for c in self.names])
+                    out += zip(*[part[c].to_pylist() for c in self.names])
                 at += size
                 if at >= first + n:
                     return out
         return out
 
 
-def _plain(column: pa.ChunkedArray) -> list:
-    return column.to_pylist()
-
-
 def _files(path: str) -> tuple[fs.FileSystem, list[str]]:
     store, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
     found = [f for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file and f.path.endswith(".parquet") and "/_" not in f.path]
