@@ -69,3 +69,22 @@ def test_empty(spark, sf, edge_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
     assert docs.count() == 0
+
+
+def test_edge_rows_through_each_stage(spark, sf, edge_rows):
+    """Nulls in every column, a very long text, repeated rows and columns with names of the operators' results."""
+    long = " ".join(f"word{i * i % 9973}" for i in range(40_000))
+    given = [*edge_rows, (20, long, "en", "a", 1), (None, None, None, None, None), (None, None, None, None, None)]
+    clash = {"kept": "'x'", "size": "1", "rank": "2", "class_id": "3", "spans": "'s'", "item_id": "4"}
+    docs = spark.createDataFrame(given, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"{v} as {k}" for k, v in clash.items()]).repartition(3)
+    key = lambda r: str((r["doc_id"], r["lang"], r["source"], r["n_chars"], *[r[c] for c in clash]))
+    before = [key(r) for r in docs.collect()]
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        assert out.columns == [*docs.columns, *(["mix_copy"] if name == "mixing" else [])], name
+        after = [key(r) for r in out.collect()]
+        assert set(after) <= set(before), name
+        if name == "personal data":
+            assert sorted(after) == sorted(before)
+        if name in ("near duplicates", "decontamination"):
+            assert any(r.startswith("(20,") for r in after) and sum(r.startswith("(None, None") for r in after) == 2
