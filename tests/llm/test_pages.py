@@ -54,6 +54,7 @@ def test_alignment_makes_repeats_and_options():
         ("", ""),
         ("<article><p>1</p><div class='ad'>buy</div><section id=comments><p>c</p></section><p>2</p></article>", "1 2"),
         ("<article><p>a < b</p></article>", "a < b"),
+        ("<article>\n<p><b>a</b> <i>b</i>\n<u>c</u><s>d</s></p> <p> </p>\n<p>e</p></article>", "a b cd e"),
     ],
 )
 def test_small_pages(text, want):
@@ -118,6 +119,41 @@ def test_named_parts_of_an_article(spark):
         assert got[k] == f"Title {k} " + " ".join(f"text {k} {j} is long enough" for j in range(9)) + f" ad-hoc {k}"
 
 
+DOUBTED = ['<p class="ad-hoc">{}</p>', '<div class="share-price">{}</div>', '<div id="related-work">{}</div>', '<section class="comment-on-law">{}</section>', '<figure class="header-image">{}</figure>']
+CERTAIN = ['<p class="ad">{}</p>', '<div class="x share-buttons">{}</div>', '<div id="comment-list">{}</div>', '<section role="banner">{}</section>', '<div class="ad-unit-3">{}</div>']
+
+
+@pytest.mark.parametrize("pages", [1, 6])
+def test_names_in_doubt_stay_in_an_article(spark, pages):
+    """With one page of a host, which no wrapper tells anything of, and with several."""
+    article = lambda k: f"<body><div class=share-price>not this</div><article><h1>Title {k}</h1><div class=text>" + "".join(f"<p>long text {k} {j} of the article</p>" for j in range(9)) + "</div>" + "".join(d.format(f"stays {k} {j}") for j, d in enumerate(DOUBTED)) + "".join(d.format(f"goes {k} {j}") for j, d in enumerate(CERTAIN)) + f"<p>the end {k}</p></article></body>"
+    rows = [(k, "http://a.example/x", article(k)) for k in range(pages)]
+    got = {r["page_id"]: r["text"] for r in wrappers.with_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(pages):
+        want = f"Title {k} " + " ".join(f"long text {k} {j} of the article" for j in range(9)) + "".join(f" stays {k} {j}" for j in range(5)) + f" the end {k}"
+        assert got[k] == want and wrappers.main_text(rows[k][2], set()) == want
+
+
+def test_names_in_doubt_go_outside():
+    assert wrappers.main_text("<body><div class=header-image>x</div><p>y</p></body>", set()) == "y"
+    assert [wrappers.naming(x) for x in ("ad", "x ad-unit", "ad-hoc", "ad-hoc ad", "adhoc", "")] == [".ad", ".ad", ".?ad", ".ad", "", ""]
+
+
+def test_streams_beyond_the_longest(spark):
+    """Long pages of like elements are folded and so aligned; one that nothing folds is extracted with and without the region of its host."""
+    part = lambda n: "".join(f"<li>{''.join(f'<{t}>{j}</{t}>' for t in 'abcdefgh')}</li>" for j in range(n))
+    short, long_ = (wrappers.stream(wrappers.labelled(f"<ul>{part(n)}</ul>")) for n in (2, 900))
+    assert len(long_) < 40 < wrappers.LONGEST < len(wrappers.folded(wrappers.tokens(f"<ul>{part(900)}</ul>")))
+    assert wrappers.folded_elements(short) == long_
+    uneven = "".join(f"<p>{'<b>w</b>' * (j % 7)}{'<i>v</i> <u>t</u>' * (j % 5)} n{j}</p>" for j in range(3000))
+    assert len(wrappers.stream(wrappers.labelled(uneven))) > wrappers.LONGEST
+    text = " ".join(f"{'w' * (j % 7)}{'v t' * (j % 5)} n{j}".strip() for j in range(3000))
+    huge = f'<html><body><div class="top">Site of things</div><article>teaser</article><div class="header-story"><div>Our slogan here</div>{uneven}</div><footer>f</footer></body></html>'
+    rows = [(k, "http://odd.example/x", site(f"story {k * 7}", k)) for k in range(30)] + [(90, "http://odd.example/x", huge), (91, "http://b.example/", f"<article>{uneven}</article>")]
+    got = {r["page_id"]: r["text"] for r in wrappers.with_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), group=4).collect()}
+    assert got[90] == got[91] == text
+
+
 def test_alignment_of_wrappers_and_long_groups():
     long_ = lambda n: [x for _ in range(n) for x in [("<", "li"), *[y for t in "abcdefgh" for y in (("<", t), ("", t), (">", t))], (">", "li")]]
     assert [x[0] for x in wrappers.align(long_(1), long_(4))] == ["rep"]
