@@ -148,3 +148,24 @@ def test_registered_models_are_whole(spark, sf, monkeypatch):
     assert seen == [(100, 10)]
     assert registry.queries()["m7_cross_validate"](spark, sf).count() == 7  # five folds, mean and deviation
     assert seen == [(100, 10)] * 6
+
+
+def test_trees_train_on_partitions_that_go_by_size(spark, monkeypatch):
+    """Not on those of the shuffle before it: every round of every tree is a job over them."""
+    seen = []
+    fit = models.Pipeline.fit
+
+    def spied(self, df, params=None):
+        seen.append(df.rdd.getNumPartitions())
+        return fit(self, df, params)
+
+    monkeypatch.setattr(models.Pipeline, "fit", spied)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        rows = spark.createDataFrame([(i, float(i % 7), float(i % 3), float(i % 2)) for i in range(300)], "id long, x double, y double, label double")
+        got = models.ablation(rows, {"A": ["x"], "B": ["x", "y"]}, "id", rounds=2, depth=2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [g[0] for g in got] == ["A", "B"]
+    assert len(seen) == 2 and max(seen) <= 16
