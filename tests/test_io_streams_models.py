@@ -169,3 +169,22 @@ def test_trees_train_on_partitions_that_go_by_size(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert [g[0] for g in got] == ["A", "B"]
     assert len(seen) == 2 and max(seen) <= 16
+
+
+def test_a_forest_grows_over_groups_of_equal_rows(spark, monkeypatch):
+    """What a tree is fitted on doesn't grow with the rows, and a thousand copies of rows make the same shares."""
+    few = spark.createDataFrame([(i, i % 4, "buy" if i % 4 == 1 or i % 24 == 0 else "pv", 1700000000 + (i % 24) * 3600) for i in range(480)], "user_id long, category_id long, behavior_type string, timestamp long")
+    rows = models.purchase_features(few.crossJoin(spark.range(100).select("id")))
+    seen = []
+    fit = models.RandomForestClassifier.fit
+
+    def spied(self, df, params=None):
+        seen.append(df.count())
+        return fit(self, df, params)
+
+    monkeypatch.setattr(models.RandomForestClassifier, "fit", spied)
+    model = models.train_purchase_model(rows, trees=6, depth=6)
+    assert len(seen) == 6 and max(seen) <= 48  # 24 hours, each with one category, and two labels
+    assert model.stages[-1].getNumTrees == 6 and len(model.stages[-1].trees) == 6
+    wrong = model.transform(rows).filter("prediction != label").count()
+    assert wrong == 0
