@@ -1,5 +1,7 @@
 """Operators on small frames: boundaries, ties, nulls and empty input."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,3 +193,12 @@ def test_the_elt_summary_sums_users_once(spark, sf):
         jobs.elt_funnel(behavior(spark, sf), registry.ELT).explain()
     plan = out.getvalue().split("Initial Plan")[0]
     assert plan.count("FileScan") <= 2 and plan.count("CartesianProduct") == 0 and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_characters_are_counted_without_lambdas(spark):
+    """Lambdas over every character of a text are interpreted; code points beyond 16 bits, line ends and empty texts count as before."""
+    texts = ["aAb\n", "", None, "\U0001f600x\U0001f600", " é é", "z" * 3000]
+    got = features.char_counts(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t")
+    want = {(k, c, n) for k, t in enumerate(texts) if t for c, n in Counter(t.lower()).items()}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert got.columns == ["k", "term", "tf"] and "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
