@@ -202,3 +202,12 @@ def test_characters_are_counted_without_lambdas(spark):
     want = {(k, c, n) for k, t in enumerate(texts) if t for c, n in Counter(t.lower()).items()}
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
     assert got.columns == ["k", "term", "tf"] and "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_extraction_holds_few_texts_at_a_time(spark, tmp_path):
+    """However many rows a batch from Spark has, ``SLICE`` of them are asked and passed on before the next."""
+    rows = spark.range(3 * extract.SLICE + 1).repartition(1).select("id", F.concat(F.lit("t"), "id").alias("t"), F.array(F.lit("x")).alias("tags"))
+    got = extract.extract(rows.withColumn("t", F.when(F.col("id") > 0, F.col("t"))), "t", lambda t: "none" if t is None else t.upper())
+    assert {(r["id"], r["reply"], *r["tags"]) for r in got.collect()} == {(i, f"T{i}" if i else "none", "x") for i in range(3 * extract.SLICE + 1)}
+    node = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in node and "MapInPandas" not in node
