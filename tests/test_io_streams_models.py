@@ -206,3 +206,17 @@ def test_folders_are_written_without_a_sort(spark, tmp_path):
             sorts.append("Sort " in run.physicalPlanDescription())
     assert len(sorts) == 2 and not any(sorts)
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", "0") == "0"
+
+
+def test_a_row_group_is_read_once_for_its_batches(spark, tmp_path, monkeypatch):
+    from tidewater.streaming import row_batches
+
+    spark.range(500).repartition(1).write.parquet(f"{tmp_path}/in")
+    reads = []
+    read = row_batches.pq.ParquetFile.read_row_group
+    monkeypatch.setattr(row_batches.pq.ParquetFile, "read_row_group", lambda self, *a, **k: reads.append(a) or read(self, *a, **k))
+    reader, at, got = row_batches.RowReader(f"{tmp_path}/in", 50, ["id"]), {"row": 0}, []
+    for _ in range(11):
+        rows, at = reader.read(at)
+        got += rows
+    assert sorted(got) == [(i,) for i in range(500)] and len(reads) == 1

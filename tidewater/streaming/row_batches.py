@@ -42,6 +42,7 @@ class RowReader(SimpleDataSourceStreamReader):
     def __init__(self, path: str, rows: int, names: list[str]):
         self.path, self.rows, self.names = path, rows, names
         self.sizes: dict[str, list[int]] = {}
+        self.last: tuple = (None, None)
 
     def initialOffset(self) -> dict:
         return {"row": 0}
@@ -64,7 +65,9 @@ class RowReader(SimpleDataSourceStreamReader):
             for group, size in enumerate(self.sizes[file]):
                 low, high = max(first, at), min(first + n, at + size)
                 if low < high:
-                    part = pq.ParquetFile(file, filesystem=store).read_row_group(group, columns=self.names).slice(low - at, high - low)
+                    if self.last[0] != (file, group):  # the next batches are of the same group
+                        self.last = (file, group), pq.ParquetFile(file, filesystem=store).read_row_group(group, columns=self.names)
+                    part = self.last[1].slice(low - at, high - low)
                     out += zip(*[part[c].to_pylist() for c in self.names])
                 at += size
                 if at >= first + n:
