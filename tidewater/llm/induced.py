@@ -21,12 +21,12 @@ STEP = 7
 class BucketQueues:
     """First-in first-out queues of arrays by bucket; beyond ``memory`` bytes, arrays wait on disk."""
 
-    def __init__(self, buckets: int, memory: int):
-        self.parts = [[] for _ in range(buckets)]
+    def __init__(self, buckets: int, memory: int, kind: type = np.int64):
+        self.parts, self.kind = [[] for _ in range(buckets)], np.dtype(kind)
         self.memory, self.held, self.file = memory, 0, None
 
     def put(self, chars: np.ndarray, suffixes: np.ndarray) -> None:
-        order = np.argsort(chars.astype(np.uint16), kind="stable")  # sorted by radix
+        order = np.argsort(chars.astype(np.uint16, copy=False), kind="stable")  # sorted by radix
         chars, suffixes = chars[order], suffixes[order]
         cuts = np.flatnonzero(np.r_[True, chars[1:] != chars[:-1]]) if len(chars) else []
         for a, b in zip(cuts, [*cuts[1:], len(chars)]):
@@ -45,21 +45,19 @@ class BucketQueues:
         for part in self.parts[char]:
             if isinstance(part, tuple):
                 self.file.seek(part[0])
-                part = np.frombuffer(self.file.read(part[1] * 8), np.int64)
+                part = np.frombuffer(self.file.read(part[1] * self.kind.itemsize), self.kind)
             else:
                 self.held -= part.nbytes
             out.append(part)
         self.parts[char] = []
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        return np.concatenate(out) if out else np.zeros(0, self.kind)
 
 
 def _types(t: np.ndarray) -> np.ndarray:
     """True where a suffix is smaller than the next one (S), False where it is larger (L)."""
-    n = len(t)
     last = np.flatnonzero(np.r_[t[1:] != t[:-1], True])  # last place of each run
-    run = np.searchsorted(last, np.arange(n))
     after = np.r_[t[1:], -1][last]  # what follows the run; nothing is smallest
-    return after[run] > t
+    return np.repeat(after > t[last], np.diff(np.r_[-1, last]))
 
 
 def packed(t: np.ndarray, depth: int) -> np.ndarray:
@@ -75,66 +73,72 @@ def packed(t: np.ndarray, depth: int) -> np.ndarray:
 
 def _lms_order(words: np.ndarray, lms: np.ndarray, depth: int) -> np.ndarray:
     """Leftmost-S places in order of ``depth`` values: each turn refines only those still tied."""
-    order = np.argsort(words[lms], kind="stable")
-    key = words[lms[order]]
+    key = words[lms]
+    order = np.argsort(key)
+    key, order = key[order], lms[order]
     new = np.r_[True, key[1:] != key[:-1]]
+    tied = np.flatnonzero(~(new & np.r_[new[1:], True]))
+    new = new[tied]
     for k in range(STEP, depth, STEP):
-        lone = new & np.r_[new[1:], True]
-        tied = np.flatnonzero(~lone)
         if not len(tied):
             break
-        group = np.cumsum(new[tied])
-        key = words[lms[order[tied]] + k]
-        inner = np.lexsort((key, group))
-        order[tied] = order[tied][inner]
-        key, group = key[inner], group[inner]
-        new[tied] = np.r_[True, (key[1:] != key[:-1]) | (group[1:] != group[:-1])]
-    return lms[order]
-
-
-def suffix_order(t: np.ndarray, depth: int, memory: int = 1 << 28) -> np.ndarray:
-    """Suffixes of ``t`` (values from 0 to 256) ordered by at least their first ``depth`` values."""
+        at = order[tied]
+        key = words[at + k]
+        by_key = np.argsort(key)
+        key = key[by_key]
+        rank = np.empty(len(key), np.int64)
+        rank[by_key] = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+        both = np.cumsum(new) << 32 | rank  # the group, then the rank of the next values
+        inner = np.argsort(both)
+        order[tied] = at[inner]
+        both = both[inner]
+        new = np.r_[True, both[1:] != both[:-1]]
+        more = ~(new & np.r_[new[1:], True])
+        tied, new = tied[more], new[more]
+    return order
+
+
+def suffix_order(t: np.ndarray, depth: int, memory: int = 1 << 28, words: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of ``t`` (values from 0 to 256) ordered by at least their first ``depth`` values; ``words`` are those of ``packed``."""
     n = len(t)
     if not n:
         return np.zeros(0, np.int64)
-    words = packed(t, depth)
-    t = t.astype(np.int64)
+    words = packed(t, depth) if words is None else words
+    kind = np.int32 if n < 1 << 31 else np.int64
     small = _types(t)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(kind)
     ordered = _lms_order(words, lms, depth) if len(lms) else lms
-    heads, seeds = BucketQueues(257, memory), BucketQueues(257, memory)
-    seeds.put(t[ordered], ordered)
-    heads.put(t[-1:], np.array([n - 1]))  # the suffix before the end is of type L
-    larger = BucketQueues(257, memory)
+    both = t.astype(np.uint16) << 1 | small  # value and type of a suffix are looked up together
+    heads, seeds, larger, tails = (BucketQueues(257, memory, kind) for _ in range(4))
+    seeds.put(both[ordered] >> 1, ordered)
+    heads.put(both[-1:] >> 1, np.array([n - 1], kind))  # the suffix before the end is of type L
 
-    def before(suffixes: np.ndarray, kind: bool) -> np.ndarray:
+    def put_before(queues: BucketQueues, suffixes: np.ndarray, kind: bool) -> None:
         p = suffixes[suffixes > 0] - 1
-        return p[small[p] == kind]
+        found = both[p]
+        mine = (found & 1) == kind
+        queues.put(found[mine] >> 1, p[mine])
 
     for c in range(257):
         while len(now := heads.take(c)):
-            larger.put(np.full(len(now), c), now)
-            p = before(now, False)
-            heads.put(t[p], p)
-        p = before(seeds.take(c), False)
-        heads.put(t[p], p)
-    tails, out = BucketQueues(257, memory), []
+            larger.put(np.full(len(now), c, np.uint16), now)
+            put_before(heads, now, False)
+        put_before(heads, seeds.take(c), False)
+    out = []
     for c in range(256, -1, -1):
         smaller = []
         while len(now := tails.take(c)):
             smaller.append(now)
-            p = before(now, True)
-            tails.put(t[p], p)
+            put_before(tails, now, True)
         big = larger.take(c)
-        p = before(big[::-1], True)
-        tails.put(t[p], p)
+        put_before(tails, big[::-1], True)
         out.append(np.concatenate([big, *[x[::-1] for x in reversed(smaller)]]))
     return np.concatenate(out[::-1])
 
 
-def same_prefix(t: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """True where a suffix shares its first ``depth`` values with the one before it in order."""
-    words = packed(t, depth)
+def same_prefix(t: np.ndarray, order: np.ndarray, depth: int, words: np.ndarray | None = None) -> np.ndarray:
+    """True where a suffix shares its first ``depth`` values with the one before it in order; ``order`` may leave suffixes out."""
+    words = packed(t, depth) if words is None else words
     out = np.zeros(len(order), bool)
     alive = np.arange(1, len(order))
     for k in [*range(0, depth - STEP, STEP), depth - STEP]:

@@ -34,8 +34,8 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column without nulls, and the n + 1 places where texts begin."""
-    column = column.cast(pa.large_string())
+    """The bytes (UTF-8) of a string or binary column without nulls, and the n + 1 places where texts begin."""
+    column = column.cast(pa.large_binary())
     n = len(column)
     offsets = np.frombuffer(column.buffers()[1], np.int64, n + 1, column.offset * 8)
     data = column.buffers()[2]
