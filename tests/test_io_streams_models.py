@@ -2,15 +2,18 @@
 
 import json
 import os
+import random
 from datetime import datetime
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import models
 from tidewater.plans import jobs
 from tidewater.sources import io
-from tidewater.streaming import streams
+from tidewater.streaming import session_state, streams
 
 
 def test_csv(spark, tmp_path):
@@ -220,3 +223,84 @@ def test_a_row_group_is_read_once_for_its_batches(spark, tmp_path, monkeypatch):
         rows, at = reader.read(at)
         got += rows
     assert sorted(got) == [(i,) for i in range(500)] and len(reads) == 1
+
+
+def _sessions(events, gap):
+    out = []
+    for user, t in sorted(events):
+        if out and out[-1][0] == user and t - out[-1][2] <= gap:
+            out[-1][2:] = [t, out[-1][3] + 1]
+        else:
+            out.append([user, t, t, 1])
+    return out
+
+
+class _Bucket:
+    """State and timers of one key, which count what is asked of them."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def getMapState(self, *_):
+        raise AssertionError("an entry a session")
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls += 1
+        self.value = value
+
+    def clear(self):
+        self.calls += 1
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+def test_session_state_is_called_by_bucket():
+    rng, gap = random.Random(5), 60
+    big = 1 << 60  # beyond what a double holds
+    events = [(big + rng.randint(0, 300), rng.randint(0, 4000)) for _ in range(5000)]
+    early, late = [e for e in events if e[1] < 2000 or e[1] % 7 == 0], [e for e in events if e[1] >= 2000 and e[1] % 7]
+    bucket = _Bucket()
+    machine = session_state.SessionMachine(gap)
+    machine.init(bucket)
+    frames = lambda rows: iter([pd.DataFrame(rows[k::3], columns=["user_id", "timestamp"]) for k in range(3)])
+    sent = []
+    for rows, passed in ((early, 1500), (late, 3000), ([], 10**6)):
+        if rows:
+            assert not list(machine.handleInputRows((0,), frames(rows), None))
+        assert bucket.timers and min(bucket.timers) <= (min(bucket.value[2]) + gap) * 1000 + 1
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda passed=passed: passed * 1000)
+        for frame in machine.handleExpiredTimer((0,), now, None):
+            assert (frame["last"] + gap < passed).all()
+            sent += frame.values.tolist()
+    assert sorted(sent) == _sessions(events, gap) and bucket.value is None
+    assert bucket.calls <= 15  # for thousands of sessions
+
+
+def test_open_sessions_are_told_by_user(spark, tmp_path):
+    """Two runs of one stream: a session goes on in the second, late events join two, and a bucket of users is one row of the state."""
+    gap, first, second = 100, [(1, 1000), (1, 1090), (2, 1500), (2, 1700), (3, 1900), (4, 2000)], [(2, 1600), (4, 2100), (5, 5000)]
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, session_state.PROVIDER)
+    try:
+        for rows in (first, second):
+            spark.createDataFrame(rows, "user_id long, timestamp long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+            source = spark.readStream.schema("user_id long, timestamp long").parquet(f"{tmp_path}/in")
+            stream = session_state.session_machine(source, gap, delay="600 seconds", buckets=1)
+            stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(conf, before)
+    ended, still = (sorted(map(tuple, df.collect())) for df in (io.read_table(spark, f"{tmp_path}/out"), session_state.open_sessions(spark, f"{tmp_path}/cp")))
+    assert still == [(5, 5000, 5000, 1)]
+    assert ended == [(1, 1000, 1090, 2), (2, 1500, 1700, 3), (3, 1900, 1900, 1), (4, 2000, 2100, 2)]
+    assert spark.read.format("statestore").option("stateVarName", "open").load(f"{tmp_path}/cp").count() == 1

@@ -4,22 +4,38 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-#: The store that processors with timers and maps need; set it before the stream starts.
+#: The store that processors with timers need; set it before the stream starts.
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-STATE = "stop long, n long"
-SESSION = "user_id long, start long, last long, n long"
+COLUMNS = ["user_id", "start", "last", "n"]
+STATE = ", ".join(f"{c} array<long>" for c in COLUMNS)
+SESSION = ", ".join(f"{c} long" for c in COLUMNS)
+#: Groups of users; each has one state and one timer at a time.
+BUCKETS = 512
+
+
+def joined(sessions: pd.DataFrame, gap: int) -> pd.DataFrame:
+    """Sessions of which those of a user that are within ``gap`` of each other are one."""
+    s = sessions.sort_values(["user_id", "start"])
+    user, start, n = (s[c].to_numpy() for c in ("user_id", "start", "n"))
+    reach = s.groupby("user_id")["last"].cummax().to_numpy()
+    first = np.flatnonzero(np.r_[True, (user[1:] != user[:-1]) | (start[1:] - reach[:-1] > gap)]) if len(s) else np.zeros(0, np.int64)
+    end = np.r_[first[1:], len(s)][: len(first)] - 1
+    return pd.DataFrame(dict(zip(COLUMNS, (user[first], start[first], reach[end], np.add.reduceat(n, first) if len(s) else n))), dtype="int64")
 
 
 class SessionMachine(StatefulProcessor):
-    """Open sessions of a user by their first second; an event joins those within ``gap`` of it, and one that is over is sent by its timer.
+    """Open sessions of a bucket of users; an event joins those within ``gap`` of it, and those that are over are sent by a timer.
 
     A session is over once the watermark is beyond its last event by more than ``gap``. Late
-    events that the watermark still lets through may join two sessions into one.
+    events that the watermark still lets through may join two sessions into one. All open
+    sessions of a bucket are one value of the state, and the timer is that of the first of
+    them to end, so the calls to the state go by buckets and batches, not by sessions.
     """
 
     def __init__(self, gap: int):
@@ -27,49 +43,45 @@ class SessionMachine(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("open", "start long", STATE)
+        self.open = handle.getValueState("open", STATE)
+
+    def _read(self) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(COLUMNS, self.open.get() or ([],) * len(COLUMNS))), dtype="int64")
+
+    def _keep(self, sessions: pd.DataFrame) -> None:
+        if sessions.empty:
+            self.open.clear()
+            return
+        self.open.update(tuple(sessions[c].tolist() for c in COLUMNS))
+        # the first millisecond at which the watermark tells that no event can join any more
+        self.handle.registerTimer((int(sessions["last"].min()) + self.gap) * 1000 + 1)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        counts: dict[int, int] = {}
+        sessions = self._read()
         for batch in rows:
-            for t, n in batch.groupby("timestamp").size().items():
-                counts[int(t)] = counts.get(int(t), 0) + int(n)
-        before = {int(k[0]): (int(v[0]), int(v[1])) for k, v in self.open.iterator()}
-        merged: list[list[int]] = []
-        for start, stop, n in sorted([(s, *v) for s, v in before.items()] + [(t, t, n) for t, n in counts.items()]):
-            if merged and start - merged[-1][1] <= self.gap:
-                merged[-1][1] = max(merged[-1][1], stop)
-                merged[-1][2] += n
-            else:
-                merged.append([start, stop, n])
-        now = {s: (e, n) for s, e, n in merged}
-        for start in before.keys() - now.keys():
-            self.open.removeKey((start,))
-        for start, value in now.items():
-            if before.get(start) != value:
-                self.open.updateValue((start,), value)
-                # the first millisecond at which the watermark tells that no event can join any more
-                self.handle.registerTimer((value[0] + self.gap) * 1000 + 1)
-        yield pd.DataFrame({"user_id": [], "start": [], "last": [], "n": []}).astype("int64")
+            t = batch["timestamp"]
+            sessions = joined(pd.concat([sessions, pd.DataFrame({"user_id": batch["user_id"], "start": t, "last": t, "n": 1})]), self.gap)
+        self._keep(sessions)
+        return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs()
-        over = [(int(k[0]), int(v[0]), int(v[1])) for k, v in self.open.iterator() if (int(v[0]) + self.gap) * 1000 < passed]
-        for start, _, _ in over:
-            self.open.removeKey((start,))
-        yield pd.DataFrame([(int(key[0]), *s) for s in over], columns=["user_id", "start", "last", "n"]).astype("int64")
+        sessions = self._read()
+        over = (sessions["last"] + self.gap) * 1000 < timerValues.getCurrentWatermarkInMs()
+        self._keep(sessions[~over])
+        yield sessions[over]
 
     def close(self) -> None:
         pass
 
 
-def session_machine(events: DataFrame, gap: int = 1800, ts: str = "timestamp", user: str = "user_id", delay: str = "10 minutes") -> DataFrame:
+def session_machine(events: DataFrame, gap: int = 1800, ts: str = "timestamp", user: str = "user_id", delay: str = "10 minutes", buckets: int = BUCKETS) -> DataFrame:
     """(user_id, start, last, n): sessions of a stream as they end; epochs in seconds, two events just ``gap`` apart are in one session."""
     timed = events.select(F.col(user).cast("long").alias("user_id"), F.col(ts).cast("long").alias("timestamp"), F.timestamp_seconds(F.col(ts)).alias("at")).filter("user_id is not null and timestamp is not null")
-    return timed.withWatermark("at", delay).groupBy("user_id").transformWithStateInPandas(SessionMachine(gap), SESSION, "append", "eventtime")
+    dealt = timed.withWatermark("at", delay).withColumn("bucket", F.pmod(F.hash("user_id"), F.lit(buckets)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(SessionMachine(gap), SESSION, "append", "eventtime")
 
 
 def open_sessions(spark: SparkSession, checkpoint: str) -> DataFrame:
     """(user_id, start, last, n): the sessions that are still open in the state of a stream that has stopped."""
     state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
-    return state.select(F.col("key.user_id").alias("user_id"), F.col("user_map_key.start").alias("start"), F.col("user_map_value.stop").alias("last"), F.col("user_map_value.n").alias("n"))
+    return state.select(F.inline(F.arrays_zip(*(F.col(f"value.{c}").alias(c) for c in COLUMNS))))
