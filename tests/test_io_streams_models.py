@@ -225,6 +225,52 @@ def test_a_row_group_is_read_once_for_its_batches(spark, tmp_path, monkeypatch):
     assert sorted(got) == [(i,) for i in range(500)] and len(reads) == 1
 
 
+def test_batches_of_rows_do_not_each_cost_a_round(spark, sf):
+    from tidewater.plans import registry
+
+    with streams.watching(spark) as log:
+        got = registry.queries()["st6_row_batches"](spark, sf)
+        n = got.count()
+    rounds = [r["rows"] for r in log.table().collect() if r["rows"]]
+    assert n == sum(rounds) == spark.read.parquet(f"{sf}/events.parquet").count() and got.filter("not bounded").count() == 0
+    assert len(rounds) == 2  # one for each half, however many batches
+
+
+def test_a_call_gets_a_batch_whole_and_nothing_else(spark, tmp_path):
+    """Over row groups that aren't multiples of a batch, Arrow parts smaller and larger than one, and a stop."""
+    import uuid
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidewater.streaming import row_batches
+
+    def named(batch):
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([uuid.uuid4().hex] * batch.num_rows)], names=[*batch.schema.names, "call"])
+
+    (tmp_path / "in").mkdir()
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for i, part in enumerate((3, 10_000)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", part)
+            pq.write_table(pa.table({"id": pa.array(range(i * 1000, i * 1000 + 1000), pa.int64()), "at": pa.array(range(1000), pa.timestamp("ms"))}), f"{tmp_path}/in/{i}.parquet", row_group_size=330)
+            stream = row_batches.by_batch(row_batches.stream_batches(spark, f"{tmp_path}/in", 7), named, "id long, at timestamp_ntz, row_batch long, call string")
+            query = stream.writeStream.format("parquet").options(path=f"{tmp_path}/out", checkpointLocation=f"{tmp_path}/cp").start()
+            query.processAllAvailable()
+            query.stop()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    rows = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted(r["id"] for r in rows) == list(range(2000))
+    calls = {}
+    for r in rows:
+        calls.setdefault(r["call"], []).append((r["row_batch"], r["id"]))
+    first = sorted(min(i for _, i in c) for c in calls.values())
+    # groups of 330 rows: 47 batches of 7 and one of 1, and 1 batch of 7 and one of 3 for the last 10
+    assert first == [f * 1000 + g * 330 + k for f in range(2) for g in range(4) for k in range(0, min(330, 1000 - g * 330), 7)]
+    assert all({b for b, _ in c} == {min(i for _, i in c)} and len(c) <= 7 for c in calls.values())
+
+
 def _sessions(events, gap):
     out = []
     for user, t in sorted(events):
