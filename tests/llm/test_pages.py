@@ -154,6 +154,54 @@ def test_streams_beyond_the_longest(spark):
     assert got[90] == got[91] == text
 
 
+def free(k, n=1200):
+    """Paragraphs of a form that nothing folds, other ones on each page, and their text."""
+    counts = [((j * (k + 3)) % 7, (j * j + k) % 5) for j in range(n)]
+    html_ = "".join(f"<p>{'<b>w</b>' * a}{'<i>v</i> <u>t</u>' * b} n{k}.{j}</p>" for j, (a, b) in enumerate(counts))
+    return html_, " ".join(f"{'w' * a}{'v t' * b} n{k}.{j}".strip() for j, (a, b) in enumerate(counts))
+
+
+def test_hosts_of_long_pages_have_a_wrapper(spark):
+    """No stream is too long to be aligned: also a host that has only such ones has a region and frame texts."""
+    long_ = lambda html_: f'<html><body><div class="top">Site of things</div><article>teaser</article><div class="header-story"><div>Our slogan here</div>{html_}</div><footer>f</footer></body></html>'
+    rows = [(k, "http://long.example/x", long_(free(k)[0])) for k in range(6)]
+    assert all(len(wrappers.stream(wrappers.labelled(h))) > wrappers.LONGEST for _, _, h in rows)
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    told = wrappers.wrappers(pages, group=4).collect()
+    assert [(r["wr_host"], r["wr_region"]) for r in told] == [("long.example", "body:1/div.header-story:1")]
+    assert {"Our slogan here", "Site of things"} <= set(told[0]["wr_frame"])
+    got = {r["page_id"]: r["text"] for r in wrappers.with_main_text(pages, group=4).collect()}
+    assert got == {k: free(k)[1] for k in range(6)}
+
+
+def test_all_streams_of_a_shape_are_aligned(spark):
+    """A text that one page of many has otherwise is no frame, whichever page it is."""
+    body = lambda k, odd: f"<html><body><h1>All rights reserved</h1><div><p>text {k:02} of the page</p></div><h2>{'Another note' if k == odd else 'The note'}</h2></body></html>"
+    rows = [(f"http://h{odd}.example/", body(k, odd)) for odd in range(20) for k in range(20)]
+    told = {r["wr_host"]: r["wr_frame"] for r in wrappers.wrappers(spark.createDataFrame(rows, "url string, html string").repartition(3)).collect()}
+    assert told == {f"h{odd}.example": ["All rights reserved"] for odd in range(20)}
+
+
+def test_alignment_takes_time_in_proportion():
+    import time
+
+    pages = [wrappers.stream(wrappers.labelled(free(k, 8000)[0])) for k in range(3)]
+    assert min(map(len, pages)) > 60_000
+    began = time.perf_counter()
+    whole = wrappers.merged(pages)
+    wrappers.align([("<", f"a{i}") for i in range(100_000)], [("<", f"a{i}") for i in range(100_000, 0, -1)])
+    assert time.perf_counter() - began < 10
+    assert wrappers.size(whole) <= min(map(len, pages))
+
+
+def test_wide_wrappers_keep_what_all_pages_share(monkeypatch):
+    pages = [wrappers.stream(wrappers.labelled(page(t, e, n))) for t, e, n in (("a", "", 1), ("b", "<ul><li>x</li></ul>", 4), ("c", "<hr>", 2), ("d", "<table><tr><td>q</td></tr></table>", 2))]
+    whole = wrappers.merged(pages)
+    monkeypatch.setattr(wrappers, "WIDEST", 10)
+    least = wrappers.merged(pages)
+    assert wrappers.size(least) < wrappers.size(whole) and wrappers.frame_texts(least) == wrappers.frame_texts(whole) == ["All rights reserved", "Home", "Site name", "nice!"]
+
+
 def test_alignment_of_wrappers_and_long_groups():
     long_ = lambda n: [x for _ in range(n) for x in [("<", "li"), *[y for t in "abcdefgh" for y in (("<", t), ("", t), (">", t))], (">", "li")]]
     assert [x[0] for x in wrappers.align(long_(1), long_(4))] == ["rep"]
