@@ -48,7 +48,9 @@ class RowBatches(DataSource):
         if not files:
             raise FileNotFoundError(f"no Parquet file in {self.options['path']}")
         schema = from_arrow_schema(pq.read_schema(files[0], filesystem=store))
-        return schema.add(self.options["number"], LongType()) if "number" in self.options else schema
+        if (number := self.options.get("number")) in schema.names:
+            raise ValueError(f"the files have a column {number} of their own")
+        return schema.add(number, LongType()) if number else schema
 
     def streamReader(self, schema: StructType) -> BatchReader:
         if "number" not in self.options:
